@@ -1,0 +1,18 @@
+"""Registered queries and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def filter_and_select_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    kept = orders.filter((F.col("o_totalprice") > 200000) & (F.col("o_orderstatus") == "F"))
+    return kept.select("o_orderkey", "o_orderstatus", "o_totalprice").orderBy("o_orderkey").limit(20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"filter_and_select_take": filter_and_select_take}
+ORACLE_SQL: dict[str, str] = {"filter_and_select_take": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 20"}
