@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import mmap
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm import textkernels as K
-from terrace.llm.shared import extended, ship_file
+from terrace.llm.arrayfile import map_arrays, pack_arrays
+from terrace.llm.shared import extended, ship_file, written
 
 #: Words that the lexicon holds at most (some megabytes on each executor), and the count below which a word is left out.
 MAX_WORDS, MIN_COUNT = 1 << 17, 3
@@ -300,26 +299,6 @@ def character_classes() -> np.ndarray:
     return out
 
 
-def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
-    """One file image: a JSON head with names, types and places, then the arrays at multiples of 64 bytes."""
-    head, body = {}, bytearray()
-    for name, a in arrays.items():
-        body.extend(b"\0" * (-len(body) % 64))
-        head[name] = (a.dtype.str, a.shape, len(body))
-        body += np.ascontiguousarray(a).tobytes()
-    text = json.dumps(head).encode()
-    text += b" " * (-(len(text) + 8) % 64)
-    return struct.pack("<Q", len(text)) + text + bytes(body)
-
-
-def map_arrays(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a packed file, memory-mapped."""
-    with open(path, "rb") as f:
-        view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    n = struct.unpack("<Q", view[:8])[0]
-    return {name: np.frombuffer(view, dtype, int(np.prod(shape)), 8 + n + at).reshape(shape) for name, (dtype, shape, at) in json.loads(view[8 : 8 + n]).items()}
-
-
 def compile_lexicon(vocabulary: Vocabulary, words: Iterable[bytes]) -> bytes:
     """File image of the transducer, its table of ids and the vocabulary."""
     words = sorted({w for w in words if 0 < len(w) <= MAX_WORD_BYTES})
@@ -559,8 +538,15 @@ def ship_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", max_
     """Compile the ``max_words`` most frequent words of ``docs`` and ship the file; returns its name for :func:`codec`."""
     spark = docs.sparkSession
     classes = ship_file(spark, "classes", pack_arrays({"classes": character_classes()}))
-    top = word_counts(docs, text, classes).filter(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(max_words)
-    words = [bytes(r[0]) for r in top.select("word").collect()]  # bounded by max_words
+    counts = written(word_counts(docs, text, classes).filter(F.col("n") >= min_count), "words")
+    # the words at or above the count that keeps them within max_words, found from a short histogram of counts
+    step = F.floor(F.log2("n") * 32).cast("int")
+    need, room = None, max_words
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # at most 32 * 64 rows
+        if r["words"] > room:
+            break
+        need, room = r["step"], room - r["words"]
+    words = [bytes(r[0]) for r in counts.filter(step >= need).select("word").collect()] if need is not None else []  # at most max_words
     return ship_file(spark, "lexicon", compile_lexicon(Vocabulary(vocabulary_path), words))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, fingerprints, packing, url_rules
+from terrace.llm import bagminhash, bpe, fingerprints, kneser_ney, packing, url_rules
 
 
 def _vocabulary() -> str:
@@ -19,6 +19,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, bpe.ship_lexicon(docs, _vocabulary()))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -32,8 +36,12 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_rules.rule_table(spark))
 
 
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op4_fingerprints, op6_packing, op7_url_rules)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_kneser_ney, op4_fingerprints, op6_packing, op7_url_rules, op8_bagminhash)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_rules": url_rules.oracle()}
