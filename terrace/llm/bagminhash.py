@@ -35,6 +35,7 @@ BANDS, ROWS = 25, 5
 #: Rounds in which buckets are held against single members; the rest is compared across components.
 STAR_ROUNDS = 3
 _U = np.uint64
+_TICKS = float(1 << 32)
 _STEP, _RANGE = _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7)
 
 
@@ -48,9 +49,9 @@ def weighted_shingles(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH)
 
 
 def _points(seed: np.ndarray, k: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Waiting time (of rate 1), register bits and cell bits of each process's k-th point."""
+    """Waiting time (of rate 1, in whole ticks, so that sums are exact in any order), register bits and cell bits of each process's k-th point."""
     x = K.mix(seed + np.asarray(k, np.int64).astype(_U) * _STEP)
-    wait = -np.log(((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
+    wait = (-np.log(((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53) * _TICKS).astype(np.int64)
     y = K.mix(x ^ _STEP)
     return wait, y >> _U(32), y & _U(0xFFFFFFFF)
 
@@ -85,18 +86,19 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int,
                 p = np.repeat(some, n)
                 k = K.ragged_positions(np.zeros(len(some), np.int64), n)
                 wait, register, cell = _points(seed[p], k)
-                run = np.cumsum(wait / rate[p])
+                run = np.cumsum(wait)
                 first = np.cumsum(n) - n
-                t = run - np.repeat(np.where(first > 0, run[first - 1], 0.0), n)
-                _keep(out, owner[p], register, cell, t, horizon, cells[p], wide[p], size)
+                t = run - np.repeat(np.where(first > 0, run[first - 1], 0), n)
+                _keep(out, owner[p], register, cell, t / (_TICKS * rate[p]), horizon, cells[p], wide[p], size)
                 continue
             # many processes with few points each: the next point of every process that is not past its row's horizon
-            t, k = np.zeros(len(some)), 0
+            ticks, k = np.zeros(len(some), np.int64), 0
             while len(some):
                 wait, register, cell = _points(seed[some], k)
-                t = t + wait / rate[some]
+                ticks = ticks + wait
+                t = ticks / (_TICKS * rate[some])
                 near = t <= horizon[owner[some]]
-                some, t = some[near], t[near]
+                some, t, ticks = some[near], t[near], ticks[near]
                 _keep(out, owner[some], register[near], cell[near], t, horizon, cells[some], wide[some], size)
                 k += 1
         pending = pending[~np.isfinite(out[pending]).all(1)]
