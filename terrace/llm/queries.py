@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bagminhash, bpe, fingerprints, kneser_ney, packing, url_rules
+from terrace.llm import bagminhash, bpe, fingerprints, kneser_ney, packing, url_rules, warc
 
 
 def _vocabulary() -> str:
@@ -40,8 +40,12 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_kneser_ney, op4_fingerprints, op6_packing, op7_url_rules, op8_bagminhash)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_kneser_ney, op4_fingerprints, op6_packing, op7_url_rules, op8_bagminhash, op9_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_rules": url_rules.oracle()}
