@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bagminhash, bpe, fingerprints, kneser_ney, packing, url_rules, warc
+from terrace.llm import bagminhash, bpe, fingerprints, kneser_ney, media, packing, url_rules, warc
 
 
 def _vocabulary() -> str:
@@ -27,6 +27,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack_documents(docs, bpe.ship_lexicon(docs, _vocabulary()))
@@ -45,7 +49,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_kneser_ney, op4_fingerprints, op6_packing, op7_url_rules, op8_bagminhash, op9_warc)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_kneser_ney, op4_fingerprints, op5_media, op6_packing, op7_url_rules, op8_bagminhash, op9_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_rules": url_rules.oracle()}
