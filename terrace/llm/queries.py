@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bagminhash, bpe, fingerprints, kneser_ney, media, packing, url_rules, warc
+from terrace.llm import bagminhash, bpe, fingerprints, kneser_ney, media, packing, quality, url_rules, warc
 
 
 def _vocabulary() -> str:
@@ -48,8 +48,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_kneser_ney, op4_fingerprints, op5_media, op6_packing, op7_url_rules, op8_bagminhash, op9_warc)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_kneser_ney, op4_fingerprints, op5_media, op6_packing, op7_url_rules, op8_bagminhash, op9_warc, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_rules": url_rules.oracle()}

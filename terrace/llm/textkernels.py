@@ -72,12 +72,12 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h + (ends - starts).astype(_U) * _MIX2)
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words between ASCII white space, and where each row's words begin among them."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words between bytes that set ``apart``, and where each row's words begin among them."""
     n = len(buf)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = IS_SPACE[buf]
+    space = apart[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first = ~space & edge[:-1]
