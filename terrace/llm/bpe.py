@@ -552,6 +552,7 @@ def ship_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", max_
 
 def encode(docs: DataFrame, lexicon: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with an array column ``ids`` of token ids."""
+    docs = docs.drop(ids)
     schema = extended(docs.schema, f"`{ids}` array<int>")
     k = docs.columns.index(text)
 
@@ -569,6 +570,7 @@ def encode(docs: DataFrame, lexicon: str, text: str = "text", ids: str = "ids")
 
 def decode(rows: DataFrame, lexicon: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` with the text of an array column of ids; broken UTF-8 is replaced as in Python's ``errors="replace"``."""
+    rows = rows.drop(text)
     schema = extended(rows.schema, f"`{text}` string")
     k = rows.columns.index(ids)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bagminhash, bpe, fingerprints, kneser_ney, media, packing, quality, url_rules, warc
+from terrace.llm import bagminhash, bpe, fingerprints, kneser_ney, line_dedup, media, packing, quality, url_rules, warc
 
 
 def _vocabulary() -> str:
@@ -23,6 +23,11 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return line_dedup.dedup_lines(docs.select("doc_id", "text"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -53,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_kneser_ney, op4_fingerprints, op5_media, op6_packing, op7_url_rules, op8_bagminhash, op9_warc, op10_quality)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_kneser_ney, op3_line_dedup, op4_fingerprints, op5_media, op6_packing, op7_url_rules, op8_bagminhash, op9_warc, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_rules": url_rules.oracle()}
