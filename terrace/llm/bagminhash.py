@@ -6,10 +6,12 @@ range, a cell found by halving; it counts if the cell lies below the weight. A r
 texts agree on a register with their weighted Jaccard similarity as probability, and points after the time by which all
 registers are filled are never made.
 
-Texts that share a band of registers are candidates. In a bucket, members are first held against one of them; buckets
-whose members are then still in different components are held against others, and what is left is compared pair by pair
-across components, so no link that joins two components is lost and no group of copies is multiplied out. Equal texts are
-one node. Candidates are verified on the whole multisets.
+Texts that share a band of registers are candidates. Equal texts are one node. In a bucket, all members are first held
+against one of them, then, where the bucket still has several components, against another one of its own. What then lies
+in different components is compared within the bucket's blocks, signature by signature, and pairs that agree on at least
+AGREE registers (at a similarity of 0.8, all but one in two thousand) go on; each pair goes on from the first band it
+shares. So no group of copies is multiplied out, and pairs that one component holds already are not made. All links
+are verified on the whole multisets.
 
 Defined cases: a null text is empty; empty texts are copies of each other; a text of one to four words is one shingle;
 rows with a null key are alone in their class; rows that share a key share a class; ties of keys go to the smallest.
@@ -32,8 +34,10 @@ from terrace.llm.shared import extended, written
 WIDTH, SIMILARITY = 5, 0.8
 #: At the similarity asked for, all bands of a pair differ with probability below 1e-4.
 BANDS, ROWS = 25, 5
-#: Rounds in which buckets are held against single members; the rest is compared across components.
-STAR_ROUNDS = 3
+#: Registers, of BANDS * ROWS, that pairs agree on at least where a bucket is compared pair by pair.
+AGREE = 85
+#: Members of a block of a bucket.
+BLOCK = 1024
 _U = np.uint64
 _TICKS = float(1 << 32)
 _STEP, _RANGE = _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7)
@@ -175,33 +179,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = written(signed(docs.withColumn(key, F.col(key).cast("long")), key, text, width), "signatures")
     classes = rows.filter("key IS NOT NULL").groupBy("digest").agg(F.min(F.struct("key", "bands")).alias("m"))
     nodes = written(classes.select("digest", F.col("m.key").alias("node"), F.col("m.bands").alias("bands")), "texts")
-    members = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
     buckets = written(members.join(shared, "bucket"), "buckets")
     involved = buckets.select("node").distinct()
     own = docs.select(F.col(key).cast("long").alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     texts = written(own.join(involved, "node").dropDuplicates(["node"]), "candidates")
 
-    links, roots = None, involved.withColumn("root", F.col("node"))
-    tried = None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("bucket")
-        placed = placed.join(mixed, "bucket")
-        if turn < STAR_ROUNDS:
-            rank = F.struct((F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("h"), "node", "root")
-            centre = placed.groupBy("bucket").agg(F.min(rank).alias("c"))
-            pairs = placed.join(centre, "bucket").filter(F.col("root") != F.col("c.root")).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+    links, tried, roots = None, None, involved.withColumn("root", F.col("node"))
+    for turn in range(3):
+        mixed = _mixed(buckets, roots)
+        if turn < 2:
+            rank = F.struct((F.col("node") if turn == 0 else F.xxhash64("bucket", "node")).alias("h"), "node", "root")
+            centre = mixed.groupBy("bucket").agg(F.min(rank).alias("c"))
+            pairs = mixed.join(centre, "bucket").filter(F.col("root") != F.col("c.root")).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         else:
-            other = placed.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
-            pairs = placed.join(other, "bucket").filter("root < root2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        pairs = pairs.distinct()
+            pairs = _across(written(mixed, "mixed"), texts, width)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
             break
         found = written(verified(pairs, texts, width, similarity), "links")
         tried = pairs if tried is None else tried.union(pairs)
@@ -211,6 +208,60 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return _classes(docs, rows, nodes, links, roots, key)
 
 
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, node and root of the members of buckets that reach into several components."""
+    placed = buckets.join(roots, "node")
+    several = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).filter("r1 < r2")
+    return placed.join(several.select("bucket", "members"), "bucket")
+
+
+def _across(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and agree on AGREE registers, each once.
+
+    A bucket's members are dealt to blocks, and every two blocks meet in one task of at most 2 * BLOCK members or so.
+    """
+    wanted = texts.join(mixed.select("node").distinct(), "node").select("node", "text")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = K.buffers(batch.column(1))
+            for a, b in K.slices(offsets):
+                times = signatures(*weighted_shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width), b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([t.tobytes() for t in times.astype(np.float32)], pa.binary())], ["node", "signature"])
+
+    signed_ = wanted.mapInArrow(sign, "node long, signature binary")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(signed_, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root, own = (table.column(n).to_numpy() for n in ("node", "root", "own"))
+        times = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), BANDS, ROWS)
+        hashes, bucket = band_hashes(times.view(np.float32).reshape(len(node), -1)), table.column("bucket")[0].as_py()
+        band = int(np.flatnonzero(hashes[0] == bucket)[0])
+        one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        left, right = (np.arange(len(node)),) * 2 if one_block else (np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max()))
+        flat, out_a, out_b = times.reshape(len(node), -1), [], []
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            agree = np.zeros((len(x), len(right)), np.uint8)
+            for k in range(flat.shape[1]):
+                agree += flat[x, k][:, None] == flat[right, k][None, :]
+            i, j = np.nonzero((agree >= AGREE) & (root[x][:, None] != root[right][None, :]))
+            i, j = x[i], right[j]
+            fresh = np.ones(len(i), bool)
+            if one_block:
+                fresh = i < j
+            fresh &= ~(hashes[i][:, :band] == hashes[j][:, :band]).any(1)
+            out_a.append(node[i[fresh]])
+            out_b.append(node[j[fresh]])
+        a, b = np.concatenate([*out_a, np.empty(0, np.int64)]), np.concatenate([*out_b, np.empty(0, np.int64)])
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, links: DataFrame | None, roots: DataFrame, key: str) -> DataFrame:
     named = nodes.select("digest", "node")
     if links is None:
