@@ -8,9 +8,9 @@ registers are filled are never made.
 
 Texts that share a band of registers are candidates. Equal texts are one node. In a bucket, all members are first held
 against one of them, then, where the bucket still has several components, against another one of its own. What then lies
-in different components is compared within the bucket's blocks, signature by signature, and pairs that agree on at least
-AGREE registers (at a similarity of 0.8, all but one in two thousand) go on; each pair goes on from the first band it
-shares. So no group of copies is multiplied out, and pairs that one component holds already are not made. All links
+in different components is compared within the bucket's blocks, signature by signature: pairs go on that agree on at least
+AGREE of the registers and LONG_AGREE of a longer signature, as all but one in five thousand do at a similarity of 0.8;
+each goes on from the first band it shares. So no group of copies is multiplied out, and pairs that one component holds already are not made. All links
 are verified on the whole multisets.
 
 Defined cases: a null text is empty; empty texts are copies of each other; a text of one to four words is one shingle;
@@ -34,8 +34,8 @@ from terrace.llm.shared import extended, written
 WIDTH, SIMILARITY = 5, 0.8
 #: At the similarity asked for, all bands of a pair differ with probability below 1e-4.
 BANDS, ROWS = 25, 5
-#: Registers, of BANDS * ROWS, that pairs agree on at least where a bucket is compared pair by pair.
-AGREE = 85
+#: Registers, of BANDS * ROWS, that pairs agree on at least where a bucket is compared pair by pair; then, of a longer signature.
+AGREE, LONG, LONG_AGREE = 80, 500, 369
 #: Members of a block of a bucket.
 BLOCK = 1024
 _U = np.uint64
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """bucket, node and root of the members of buckets that reach into several components."""
-    placed = buckets.join(roots, "node")
+    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).filter("r1 < r2")
     return placed.join(several.select("bucket", "members"), "bucket")
 
@@ -226,8 +226,9 @@ def _across(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             buf, offsets = K.buffers(batch.column(1))
             for a, b in K.slices(offsets):
-                times = signatures(*weighted_shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width), b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([t.tobytes() for t in times.astype(np.float32)], pa.binary())], ["node", "signature"])
+                found = weighted_shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                times = np.hstack([signatures(*found, b - a, size).astype(np.float32) for size in (BANDS * ROWS, LONG)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([t.tobytes() for t in times], pa.binary())], ["node", "signature"])
 
     signed_ = wanted.mapInArrow(sign, "node long, signature binary")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -237,12 +238,13 @@ def _across(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         node, root, own = (table.column(n).to_numpy() for n in ("node", "root", "own"))
-        times = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), BANDS, ROWS)
-        hashes, bucket = band_hashes(times.view(np.float32).reshape(len(node), -1)), table.column("bucket")[0].as_py()
+        times = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), -1)
+        flat, more = np.ascontiguousarray(times[:, : BANDS * ROWS]), times[:, BANDS * ROWS :]
+        hashes, bucket = band_hashes(flat.view(np.float32)), table.column("bucket")[0].as_py()
         band = int(np.flatnonzero(hashes[0] == bucket)[0])
         one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         left, right = (np.arange(len(node)),) * 2 if one_block else (np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max()))
-        flat, out_a, out_b = times.reshape(len(node), -1), [], []
+        out_a, out_b = [], []
         for at in range(0, len(left), 64):
             x = left[at : at + 64]
             agree = np.zeros((len(x), len(right)), np.uint8)
@@ -254,8 +256,11 @@ def _across(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             if one_block:
                 fresh = i < j
             fresh &= ~(hashes[i][:, :band] == hashes[j][:, :band]).any(1)
-            out_a.append(node[i[fresh]])
-            out_b.append(node[j[fresh]])
+            i, j = i[fresh], j[fresh]
+            for k in range(0, len(i), 4096):
+                near = (more[i[k : k + 4096]] == more[j[k : k + 4096]]).sum(1) >= LONG_AGREE
+                out_a.append(node[i[k : k + 4096][near]])
+                out_b.append(node[j[k : k + 4096][near]])
         a, b = np.concatenate([*out_a, np.empty(0, np.int64)]), np.concatenate([*out_b, np.empty(0, np.int64)])
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
