@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrace.functions.binding import bound
 from terrace.operators.chunking import tokens
 
 
 def bleu(candidate: Column, reference: Column) -> Column:
     """Share of the candidate's words that the reference has, each as often at most as there; one-word, unsmoothed."""
-    c, r = tokens(candidate), tokens(reference)
-    hits = F.aggregate(F.array_distinct(c), F.lit(0), lambda acc, w: acc + F.least(F.size(F.filter(c, lambda x: x == w)), F.size(F.filter(r, lambda x: x == w))))
-    return F.when(F.size(c) > 0, hits / F.size(c)).otherwise(0.0)
+
+    def share(c: Column, r: Column) -> Column:
+        hits = F.aggregate(F.array_distinct(r), F.lit(0), lambda acc, w: acc + F.least(F.size(F.filter(c, lambda x: x == w)), F.size(F.filter(r, lambda x: x == w))))
+        return F.when(F.size(c) > 0, hits / F.size(c)).otherwise(0.0)
+
+    return bound(share, tokens(candidate), tokens(reference))
 
 
 def common_subsequence(a: Column, b: Column) -> Column:
@@ -34,9 +38,8 @@ def common_subsequence(a: Column, b: Column) -> Column:
 
 def rouge_l(candidate: Column, reference: Column) -> Column:
     """F1 of the longest common subsequence of words."""
-    c, r = tokens(candidate), tokens(reference)
-    both = common_subsequence(c, r)
-    return F.when(both > 0, 2.0 * both / (F.size(c) + F.size(r))).otherwise(0.0)
+    f1 = lambda n, c, r: F.when(n > 0, 2.0 * n / (F.size(c) + F.size(r))).otherwise(0.0)
+    return bound(lambda c, r: bound(lambda n: f1(n, c, r), common_subsequence(c, r)), tokens(candidate), tokens(reference))
 
 
 def _hits(hits: Column, keywords: Column, k: int) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.errors import DataError
+from terrace.functions.binding import bound
 
 
 def tokens(text: Column) -> Column:
@@ -24,8 +25,7 @@ def chunk_tokens(text: Column, size: int = 200, overlap: int = 40) -> Column:
     """Chunks of ``size`` words, as an array of texts."""
     if size <= 0:
         return F.array().cast("array<string>")
-    words = tokens(text)
-    return F.transform(_starts(F.size(words), size, overlap), lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " "))
+    return bound(lambda words: F.transform(_starts(F.size(words), size, overlap), lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " ")), tokens(text))
 
 
 def chunk_chars(text: Column, size: int, overlap: int = 0) -> Column:

@@ -41,10 +41,10 @@ def path_values(kind: T.DataType, value: Column, steps: list[str | int]) -> tupl
                 kinds = {f.dataType.simpleString() for f in many.fields}
                 if len(kinds) != 1:
                     return None
-                nodes = F.flatten(F.transform(below, lambda x, names=many.names: F.array(*[x.getField(n) for n in names])))
+                nodes = F.flatten(F.transform(below, _members(many.names)))
                 many = many.fields[0].dataType
             elif step in many.names:
-                nodes = F.transform(below, lambda x, s=step: x.getField(s))
+                nodes = F.transform(below, _member(step))
                 many = many[step].dataType
             else:
                 return None
@@ -52,19 +52,45 @@ def path_values(kind: T.DataType, value: Column, steps: list[str | int]) -> tupl
             if step == "*":
                 nodes = F.flatten(below)
             elif isinstance(step, int):
-                inside = F.filter(below, lambda x, s=step: F.size(x) > s)
-                nodes = F.transform(inside, lambda x, s=step: F.get(x, F.lit(s)))
+                nodes = F.transform(F.filter(below, _longer(step)), _element(step))
             else:
                 return None
             many = many.elementType
         elif isinstance(many, T.MapType) and isinstance(step, str) and step != "*":
-            nodes = F.transform(F.filter(below, lambda x, s=step: F.map_contains_key(x, s)), lambda x, s=step: F.element_at(x, s))
+            nodes = F.transform(F.filter(below, _has(step)), _entry(step))
             many = many.valueType
         else:
             return None
     return nodes, many
 
 
+# Spark counts a lambda's parameters, so steps are bound by these instead of by defaults.
+
+
+def _member(name: str):
+    return lambda x: x.getField(name)
+
+
+def _members(names: list[str]):
+    return lambda x: F.array(*[x.getField(n) for n in names])
+
+
+def _longer(i: int):
+    return lambda x: F.size(x) > i
+
+
+def _element(i: int):
+    return lambda x: F.get(x, F.lit(i))
+
+
+def _has(key: str):
+    return lambda x: F.map_contains_key(x, key)
+
+
+def _entry(key: str):
+    return lambda x: F.element_at(x, key)
+
+
 def filter_jsonpath(df: DataFrame, path: str) -> DataFrame:
     """Rows in which the path, from the row's object, reaches at least one value."""
     steps = parse_path(path)
@@ -209,7 +235,7 @@ def violations(kind: T.DataType, value: Column, schema: dict[str, Any], path: st
         if isinstance(schema.get("items"), dict):
             inner = schema["items"]
             for k, (p, message, _) in enumerate(violations(kind.elementType, F.lit(None).cast(kind.elementType), inner, f"{path}[]")):
-                out.append((p, message, F.exists(value, lambda x, k=k: F.coalesce(violations(kind.elementType, x, inner)[k][2], F.lit(False)))))
+                out.append((p, message, F.exists(value, _breaks(kind.elementType, inner, k))))
     if isinstance(kind, T.StructType):
         for name in schema.get("required", []):
             full = f"{path}.{name}" if path else name
@@ -221,6 +247,10 @@ def violations(kind: T.DataType, value: Column, schema: dict[str, Any], path: st
     return out
 
 
+def _breaks(kind: T.DataType, schema: dict[str, Any], k: int):
+    return lambda x: F.coalesce(violations(kind, x, schema)[k][2], F.lit(False))
+
+
 def validate_incremental(df: DataFrame, schema: dict[str, Any], row_key: str) -> DataFrame:
     """All violations: row (the key), path and message."""
     found = violations(df.schema, F.struct(*[F.col(f"`{c}`") for c in df.columns]), schema)

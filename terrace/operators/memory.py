@@ -134,10 +134,10 @@ def rank_kind(objects: DataFrame, kind: str, backend: str = "basic", options: Re
     """Objects of a kind with score and place in their space."""
     backend = strategy(backend)
     rows = objects.filter(F.lower("kind") == kind.lower())
-    millis = F.unix_millis("updated_at") / 1e9
+    millis = F.unix_millis(F.col("updated_at").cast("timestamp")) / 1e9
     pinned = F.col("pinned").cast("int")
     if backend == "basic":
-        score = F.unix_millis("updated_at").cast("double")
+        score = F.unix_millis(F.col("updated_at").cast("timestamp")).cast("double")
     elif backend == "patricia":
         liked = F.arrays_overlap(_tags(), F.array(*[F.lit(t) for t in options.prefer_tags])).cast("int") if options.prefer_tags else F.lit(0)
         score = F.lit(1.0) / F.size(F.split("path", "/")) + pinned * 2.0 + liked

@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 CAPACITY = 100
 
 
+def _millis(at: Column | str) -> Column:
+    return F.unix_millis((F.col(at) if isinstance(at, str) else at).cast("timestamp"))
+
+
 def live(log: DataFrame, now: Column) -> DataFrame:
     """Entries whose time to live, if they have one, is not over."""
-    age = F.unix_millis(now) - F.unix_millis("created_at")
+    age = _millis(now) - _millis("created_at")
     return log.filter(F.col("ttl_ms").isNull() | (age <= F.col("ttl_ms")))
 
 
@@ -32,7 +36,7 @@ def last_write(log: DataFrame, by: list[str], value: str, seq: str = "seq") -> D
 def lookup(log: DataFrame, keys: DataFrame, by: list[str], value: str, now: Column, seq: str = "seq") -> DataFrame:
     """Keys with known (ever written) and the last value, null if it has expired."""
     last = log.groupBy(*by).agg(F.max_by(F.struct(value, "created_at", "ttl_ms"), seq).alias("e"))
-    age = F.unix_millis(now) - F.unix_millis("e.created_at")
+    age = _millis(now) - _millis("e.created_at")
     fresh = F.col("e").isNotNull() & (F.col("e.ttl_ms").isNull() | (age <= F.col("e.ttl_ms")))
     return keys.join(last, by, "left").select(*by, F.col("e").isNotNull().alias("known"), F.when(fresh, F.col(f"e.{value}")).alias(value))
 
@@ -59,7 +63,7 @@ def history(turns: DataFrame, session: str, order: list[str], role: str, text: s
 def sessions(turns: DataFrame, session: str, at: str, now: Column, ttl_seconds: int) -> DataFrame:
     """Sessions with turns, first and last time, and whether they have expired."""
     out = turns.groupBy(session).agg(F.count("*").alias("turns"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
-    return out.withColumn("expired", F.unix_seconds(now) - F.unix_seconds("last_at") > ttl_seconds)
+    return out.withColumn("expired", _millis(now) - _millis("last_at") > ttl_seconds * 1000)
 
 
 def collect_garbage(turns: DataFrame, session: str, at: str, now: Column, ttl_seconds: int) -> DataFrame:

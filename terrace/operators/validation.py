@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.errors import DataError
+from terrace.functions.binding import bound
 from terrace.operators.chunking import tokens
 
 # Phrases that make a text suspicious.
@@ -20,22 +21,31 @@ NEGATIONS = (("no is", "is"), ("no can", "can"), ("never", "always"))
 CLAIMS = (r"the \d+% of", r"according to.*,", r"in the year \d+", r"studies show", r"research indicates", r"data reveals", r"statistics confirm")
 
 
-def _shared(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Words of both, and how many of a's, repeats counted, b has, those over three bytes only."""
-    x, y = tokens(F.lower(a)), tokens(F.lower(b))
-    return x, y, F.size(F.filter(x, lambda w: (F.octet_length(w) > 3) & F.array_contains(y, w)))
+def _shared(x: Column, y: Column) -> Column:
+    """How many of x's words, repeats counted, y has, those over three bytes only."""
+    return F.size(F.filter(x, lambda w: (F.octet_length(w) > 3) & F.array_contains(y, w)))
+
+
+def _words(a: Column, b: Column) -> tuple[Column, Column]:
+    return tokens(F.lower(a)), tokens(F.lower(b))
 
 
 def relevance(prompt: Column, response: Column) -> Column:
     """Share of the prompt's words that the response has; 0 if either is empty."""
-    x, y, both = _shared(prompt, response)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), both / F.size(x)).otherwise(0.0)
+    return bound(lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), _shared(x, y) / F.size(x)).otherwise(0.0), *_words(prompt, response))
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Common words of the first over the words of both; 0 if either is empty."""
-    x, y, both = _shared(a, b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.when(F.size(x) + F.size(y) == both, 1.0).otherwise(both / (F.size(x) + F.size(y) - both))).otherwise(0.0)
+
+    def ratio(x: Column, y: Column) -> Column:
+        def of(both: Column) -> Column:
+            union = F.size(x) + F.size(y) - both
+            return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(union == 0, 1.0).otherwise(both / union)
+
+        return bound(of, _shared(x, y))
+
+    return bound(ratio, *_words(a, b))
 
 
 def contradicts(a: Column, b: Column) -> Column:
