@@ -15,6 +15,8 @@ from terrace.operators.dataset import Dataset
 
 #: Environment variable that must be 1 before anything is fetched over HTTP.
 HTTP_GATE = "TERRACE_ALLOW_HTTP"
+#: Only whole timestamps are read as such; Spark's own rule would take a bare "T1" for a time of day.
+_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]"
 OUTPUT_TYPE = "struct<primary_text:string,files:array<struct<name:string,mime_type:string,size:bigint,content:binary>>,metadata:map<string,string>>"
 
 
@@ -31,7 +33,7 @@ def load(spark: SparkSession, path: str, name: str | None = None, schema: str |
     suffix = _suffix(path)
     reader = spark.read.schema(schema) if schema else spark.read
     if suffix == "csv":
-        df = reader.csv(path, header=options.get("header", True), sep=options.get("delimiter", ","), inferSchema=schema is None)
+        df = reader.csv(path, header=options.get("header", True), sep=options.get("delimiter", ","), inferSchema=schema is None, preferDate=False, timestampFormat=_TIMESTAMP)
     elif suffix in ("ndjson", "jsonl"):
         df = reader.json(path, mode="FAILFAST")
     elif suffix == "json":
