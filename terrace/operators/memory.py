@@ -161,7 +161,7 @@ def recall_context(objects: DataFrame, topic: str, backend: str = "basic", optio
     if options.include_metadata:
         section.append(F.col("metadata"))
     row = F.struct("place", F.struct(*section).alias("section"), F.struct("path", clamp(F.col("raw"), 1200).alias("raw"), "kind").alias("raw"))
-    held = best.groupBy("space").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    held = best.groupBy("space").agg(F.array_sort(F.collect_list(row), lambda x, y: x["place"] - y["place"]).alias("r"))  # metadata, a map, has no order
     snippets = F.transform(F.filter("r", lambda x: x["place"] <= (options.snippets if options.include_raw else 0)), lambda x: x["raw"])
     lines = F.transform(F.slice("r", 1, 6), lambda x: F.concat(F.lit("• "), x["section"]["path"], F.lit(" — "), F.coalesce(x["section"]["summary_micro"], F.lit(""))))
     head = F.concat(F.lit(f"Context bundle for '{topic}' ("), F.size("r").cast("string"), F.lit(" items):"))

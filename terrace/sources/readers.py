@@ -33,7 +33,7 @@ def load(spark: SparkSession, path: str, name: str | None = None, schema: str |
     suffix = _suffix(path)
     reader = spark.read.schema(schema) if schema else spark.read
     if suffix == "csv":
-        df = reader.csv(path, header=options.get("header", True), sep=options.get("delimiter", ","), inferSchema=schema is None, preferDate=False, timestampFormat=_TIMESTAMP)
+        df = reader.csv(path, header=options.get("header", True), sep=options.get("delimiter", ","), inferSchema=schema is None, timestampFormat=_TIMESTAMP)
     elif suffix in ("ndjson", "jsonl"):
         df = reader.json(path, mode="FAILFAST")
     elif suffix == "json":

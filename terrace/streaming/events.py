@@ -39,9 +39,10 @@ def distinct_events(events: DataFrame, at: str, late: str, keys: list[str]) -> D
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def limited(events: DataFrame, by: str, at: str, key: str, limit: int, window_seconds: int = 60) -> DataFrame:
+def limited(events: DataFrame, by: str, at: str, key: str, limit: int, window_seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """Events with accepted: a caller's window opens with its first event and takes ``limit``; the next event after its end
-    opens another. State is window begin and count, dropped when the caller stays away for two windows."""
+    opens another. State is window begin and count, dropped when the watermark is past the window's end; events later
+    than ``late`` are left out."""
     out = f"{by} long, {key} long, {at} timestamp, accepted boolean"
 
     def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,10 +59,11 @@ def limited(events: DataFrame, by: str, at: str, key: str, limit: int, window_se
             used += 1
             accepted.append(used <= limit)
         state.update((opened, used))
-        state.setTimeoutDuration(2000 * window_seconds)
+        state.setTimeoutTimestamp(max(int(1000 * (opened + window_seconds)), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({by: who[0], key: rows[key].to_numpy(), at: rows[at].to_numpy(), "accepted": accepted})
 
-    return events.groupBy(by).applyInPandasWithState(step, out, "opened double, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # a timeout in processing time would keep a run over what is available from ever ending
+    return events.withWatermark(at, late).groupBy(by).applyInPandasWithState(step, out, "opened double, used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def last_values(events: DataFrame, key: str, at: str, value: str) -> DataFrame:
