@@ -36,8 +36,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Registers, of BANDS * ROWS, that pairs agree on at least where a bucket is compared pair by pair; then, of a longer signature.
 AGREE, LONG, LONG_AGREE = 80, 500, 369
-#: Members of a block of a bucket.
-BLOCK = 1024
+#: Members of a block of a bucket, and points of Poisson processes made at once.
+BLOCK, POINTS = 1024, 1 << 18
 _U = np.uint64
 _TICKS = float(1 << 32)
 _STEP, _RANGE = _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7)
@@ -84,16 +84,16 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int,
             if not len(some):
                 continue
             if len(e) and horizon[owner[some[0]]] * rate[some[0]] > 16:
-                # few processes with many points each: all points of a process at once
+                # few processes with many points each: all points of a process at once, of some processes at a time
                 expect = horizon[owner[some]] * rate[some]
                 n = (expect + 6 * np.sqrt(expect) + 10).astype(np.int64)
-                p = np.repeat(some, n)
-                k = K.ragged_positions(np.zeros(len(some), np.int64), n)
-                wait, register, cell = _points(seed[p], k)
-                run = np.cumsum(wait)
-                first = np.cumsum(n) - n
-                t = run - np.repeat(np.where(first > 0, run[first - 1], 0), n)
-                _keep(out, owner[p], register, cell, t / (_TICKS * rate[p]), horizon, cells[p], wide[p], size)
+                for a, b in K.slices(np.concatenate([[0], np.cumsum(n)]), POINTS):
+                    p, few = np.repeat(some[a:b], n[a:b]), n[a:b]
+                    wait, register, cell = _points(seed[p], K.ragged_positions(np.zeros(b - a, np.int64), few))
+                    run = np.cumsum(wait)
+                    first = np.cumsum(few) - few
+                    t = run - np.repeat(np.where(first > 0, run[first - 1], 0), few)
+                    _keep(out, owner[p], register, cell, t / (_TICKS * rate[p]), horizon, cells[p], wide[p], size)
                 continue
             # many processes with few points each: the next point of every process that is not past its row's horizon
             ticks, k = np.zeros(len(some), np.int64), 0
