@@ -273,7 +273,7 @@ def render_template(template: Column, values: dict[str, Column]) -> Column:
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?\d{0,3}[ .-]?\(?\d{3}\)?[ .-]\d{3}[ .-]?\d{4}"
+PHONE = r"(?:\+?\d{1,3}[ .-])?\(?\d{3}\)?[ .-]\d{3}[ .-]?\d{4}"
 
 
 def pii_redact(s: Column) -> Column:

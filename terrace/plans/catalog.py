@@ -621,7 +621,7 @@ def rouge_l(spark, sf_dir):
     return items.join(other, "item_id").select("item_id", _r(evaluation.rouge_l(F.col("text"), F.col("other"))).alias("rouge_l"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\+?\d{0,3}[ .-]?\(?\d{3}\)?[ .-]\d{3}[ .-]?\d{4}', '[PHONE]', 'g') AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '(?:\+?\d{1,3}[ .-])?\(?\d{3}\)?[ .-]\d{3}[ .-]?\d{4}', '[PHONE]', 'g') AS text FROM documents")
 def pii_redact(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", stdlib.pii_redact(F.col("text")).alias("text"))
 
