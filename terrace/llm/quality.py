@@ -26,6 +26,10 @@ from terrace.llm.shared import extended, written
 
 #: Documents that the models are fitted on at most, and the telling words they look for.
 LABELLED, POOL, WORDS = 6000, 4000, 256
+#: Labelled documents that a telling word is in at least.
+LEAST_DOCS = 4
+#: Probabilities from which a document counts as of low quality and as toxic.
+LOW_FROM, TOXIC_FROM = 0.5, 0.2
 ROUNDS, PER_ROUND, SURE = 3, 400, 0.97
 FAULTS = ("low", "toxic")
 _U = np.uint64
@@ -124,7 +128,7 @@ class Logistic:
             columns.append((np.searchsorted(e, numbers[:, k], "right")[:, None] == np.arange(len(e) + 1)).astype(np.float32))
         return np.concatenate([*columns, marks.astype(np.float32)], axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 250) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 250) -> None:
         """Accelerated gradient steps, with the step size of each column's own curvature bound."""
         w = seen = np.zeros(x.shape[1], np.float32)
         row = x.sum(1).max()
@@ -238,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     labelled = sample.filter("low >= 0").select("text", "low", "toxic")
     totals = labelled.agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
-    counts = written(labelled.mapInArrow(telling, "h long, n long, low long, toxic long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "low", "toxic")]).filter("n >= 8"), "telling")
+    counts = written(labelled.mapInArrow(telling, "h long, n long, low long, toxic long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "low", "toxic")]).filter(F.col("n") >= LEAST_DOCS), "telling")
     words: set[int] = set()
     for fault in FAULTS:
         up, all_ = totals[fault] or 0, totals["n"]
@@ -298,7 +302,7 @@ def judged(docs: DataFrame, model: Model, keep: list[str], text: str = "text", o
                 marks = np.zeros((b - a, len(model.vocabulary)), np.float32)
                 marks[row, word] = 1
                 p = model.probabilities(x, marks, g)
-                good = pa.array((p["low"] < 0.5) & (p["toxic"] < 0.5))
+                good = pa.array((p["low"] < LOW_FROM) & (p["toxic"] < TOXIC_FROM))
                 own = [batch.column(k).slice(a, b - a) for k in range(n)]
                 if only_good:
                     yield pa.RecordBatch.from_arrays(own, schema.names).filter(good)
