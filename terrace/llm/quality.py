@@ -25,7 +25,7 @@ from terrace.llm import textkernels as K
 from terrace.llm.shared import extended, written
 
 #: Documents that the models are fitted on at most, and the telling words they look for.
-LABELLED, POOL, WORDS = 6000, 4000, 256
+LABELLED, POOL, WORDS = 6000, 4000, 512
 #: Labelled documents that a telling word is in at least.
 LEAST_DOCS = 4
 #: Probabilities from which a document counts as of low quality and as toxic.

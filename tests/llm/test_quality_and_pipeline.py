@@ -27,7 +27,7 @@ def test_held_out_labels(spark, tables):
     clean = [r for r in judged if r["good"] == 1 and r["toxic"] == 0]
     assert right / len(judged) > 0.95 and sum(r["accepted"] for r in clean) / len(clean) > 0.97
     toxic = [r for r in judged if r["toxic"] == 1]
-    assert sum(r["toxicity"] >= 0.5 for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["toxicity"] >= quality.TOXIC_FROM for r in toxic) >= 0.9 * len(toxic)
 
 
 def test_odd_tables(spark, tables):
