@@ -1,9 +1,12 @@
 """Line deduplication across all documents by a deletion-neighbourhood join.
 
 A line is the sequence of its lower-cased words; its edit distance to another counts words put in, left out or changed.
-Lines with equal words are found by hash. Lines within one edit of each other, with at least five words in the longer
-(a similarity of 0.8), are found by their deletion variants: of two lines of equal length that differ in one word, both
-give the same variant when they leave out that place, and of lines that differ by one word the longer gives the shorter.
+Lines with equal words are found by hash. Two lines are near if their distance is at most a fifth of the longer one's
+words (a similarity of 0.8), so lines of one to four words have no near ones.
+
+Where the longer has five to nine words the bound is one edit, and near lines are found by their deletion variants: of
+two lines of equal length that differ in one word, both give the same variant when they leave out that place, and of
+lines that differ by one word the longer gives the shorter.
 Variants travel as hashed keys; equal keys are joined to the earliest line of the bucket, and the pair's edit distance is
 verified on the words. Buckets of one place are cliques and buckets of a shorter line are stars, so one partner each
 suffices. A line goes if an earlier line, by key and then line number, is equal or near; the earliest stays.
@@ -12,6 +15,12 @@ Variants are many, so lines that cannot have a partner are passed over first, ex
 their first or their last half words, and the keys of these halves that two lines share, like the variants' own keys that
 two lines share, are told to the tasks by a Bloom filter of fixed size, whose false answers cost time only.
 
+Where the longer has ten words or more, near lines are found by the pairs of neighbouring words that they share. Each
+line is known by its first pairs in one order for all lines, from rare to common: by so many that more of them lie apart
+than there may be edits. Then no near line can lack all of them, and of two near lines the one whose first pairs end
+earlier in the order shares one with the first pairs of the other. Members of a bucket are first held against its earliest
+line, and those that stay open after that against every earlier line in it.
+
 Defined cases: a null text is empty and stays null; lines without words stay; rows with a null key are left as they are;
 rows that share a key count as one document; a document may lose all its lines and then has an empty text.
 """
@@ -30,8 +39,10 @@ from terrace.llm import bloom
 from terrace.llm import textkernels as K
 from terrace.llm.shared import extended, written
 
-#: The bound of the edit distance, and the words that the longer of two near lines has at least.
-MAX_EDITS, MIN_WORDS = 1, 5
+#: Lines with fewer than MIN_WORDS words have no near ones; of MIN_WORDS * e words and more, near ones are up to e edits away.
+MIN_WORDS = 5
+#: Marks by which pairs of lines are passed over, a power of two; the longer of two lines from which on shared runs of RUN words (two: _prefix counts on it) find them, below it variants; spots for counts of runs.
+MARKS, LONG_WORDS, RUN, SPOTS = 32, 2 * MIN_WORDS, 2, 1 << 18
 _U = np.uint64
 _FRONT, _BACK, _PLACE, _SHORT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3)
 
@@ -102,31 +113,48 @@ def variants(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([K.mix(v + (k.astype(_U) + _U(1)) * _FRONT), v ^ _SHORT, whole]), np.repeat(np.array([0, 1, 2], np.int8), [n, n, 1])
 
 
-def within_edits(a: np.ndarray, b: np.ndarray, most: int = MAX_EDITS) -> bool:
-    """Whether two word sequences are within ``most`` edits: by the furthest place that each diagonal reaches."""
-    if abs(len(a) - len(b)) > most:
+def distance(a: list[int], b: list[int]) -> int:
+    """Edit distance of two word sequences, one column of the table at a time in the bits of whole numbers (Myers, Hyyro)."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[int, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, out = full, 0, len(a)
+    for w in b:
+        equal = at.get(w, 0)
+        level = equal | down
+        across = ((equal & up) + up ^ up) | equal
+        more, less = down | full & ~(across | up), up & across
+        out += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | full & ~(level | more), more & level
+    return out
+
+
+def within_edits(a: np.ndarray, b: np.ndarray, most: int = 1) -> bool:
+    """Whether two word sequences are within ``most`` edits."""
+    n = min(len(a), len(b))
+    if max(len(a), len(b)) - n > most:
         return False
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    a, b = a[head:], b[head:]
+    n -= head
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(differ[0]) if len(differ) else n
+    a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    return max(len(a), len(b)) <= most or distance(a, b) <= most
 
-    def run(i: int, j: int) -> int:
-        n = min(len(a) - i, len(b) - j)
-        differ = np.flatnonzero(a[i : i + n] != b[j : j + n])
-        return i + (int(differ[0]) if len(differ) else n)
 
-    reach = {0: run(0, 0)}
-    for _ in range(most):
-        if reach.get(len(a) - len(b), -1) >= len(a):
-            return True
-        new: dict[int, int] = {}
-        for d, i in reach.items():
-            for e, x in ((d, i + 1), (d + 1, i + 1), (d - 1, i)):
-                if x <= len(a) and x - e <= len(b) and x - e >= 0:
-                    new[e] = max(new.get(e, -1), x)
-        reach = {e: run(x, x - e) for e, x in new.items()}
-    return reach.get(len(a) - len(b), -1) >= len(a)
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two word sequences are within an edit for each MIN_WORDS words of the longer."""
+    return within_edits(a, b, max(len(a), len(b)) // MIN_WORDS)
 
 
 def _lines(frame: DataFrame) -> DataFrame:
-    """First line of each kind in each document: hash, key, line number, and the half keys of long enough lines."""
+    """First line of each kind in each document: hash, key, line number, and the half keys of lines that variants can find."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +165,8 @@ def _lines(frame: DataFrame) -> DataFrame:
                 real = np.flatnonzero(h != 0)
                 pick = real[np.sort(np.unique(h[real] ^ K.mix(row[real].astype(_U) + _U(1)), return_index=True)[1])]
                 keys = half_keys(seq, first[pick], last[pick]).view(np.int64)
-                long = last[pick] - first[pick] >= MIN_WORDS - 1
+                size = last[pick] - first[pick]
+                long = (size >= MIN_WORDS - 1) & (size < LONG_WORDS)
                 key_at = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[pick].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row[pick])), pa.array((pick - at[row[pick]]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(key_at), pa.array(keys[long].reshape(-1)))],
@@ -157,7 +186,7 @@ def _candidates(frame: DataFrame, filter_words) -> DataFrame:
             for a, b in K.slices(offsets):
                 _, _, at, first, last, seq, h = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row = np.repeat(np.arange(b - a), np.diff(at))
-                long = np.flatnonzero(last - first >= MIN_WORDS - 1)
+                long = np.flatnonzero((last - first >= MIN_WORDS - 1) & (last - first < LONG_WORDS))
                 keys = half_keys(seq, first[long], last[long])
                 pick = long[bloom.may_hold(held, keys.reshape(-1)).reshape(-1, 4).any(1)] if len(long) else long
                 words = (np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]).view(np.uint8)
@@ -212,17 +241,208 @@ def near_lines(frame: DataFrame, lines: DataFrame) -> DataFrame:
     heads = rows.groupBy("key").agg(F.min(F.when(F.col("kind") != 1, place)).alias("a"), F.min(F.when(F.col("kind") == 1, place)).alias("b"))
     met = rows.join(heads, "key").withColumn("w", F.when(F.col("kind") == 2, F.col("b")).otherwise(F.col("a")))
     pairs = met.filter(F.col("w") < place).select("h", F.col("w.h").alias("by")).filter("h <> by").distinct()
-    words = found.select("h", "words")
+    return _verified(pairs, found.select("h", "words"))
+
+
+def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Each h of ``pairs`` (h, by) that is within the bound of one of its ``by``, once."""
     both = pairs.join(words, "h").join(words.select(F.col("h").alias("by"), F.col("words").alias("by_words")), "by").select("h", "words", "by_words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [within_edits(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(batch.column(1), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0)], ["h"]).filter(pa.array(near, pa.bool_()))
+            held = [near(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["h"]).filter(pa.array(held, pa.bool_()))
 
     return both.mapInArrow(verify, "h long").distinct()
 
 
+def _long_lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, line number, hash and words of the lines that shared runs can find, each kind once a row, and the line and hash of each of their runs."""
+    _, _, at, first, last, seq, h = line_hashes(buf, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+    # the shorter of two lines may lack a fifth of the longer one's words
+    real = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
+    pick = real[np.sort(np.unique(h[real] ^ K.mix(row[real].astype(_U) + _U(1)), return_index=True)[1])]
+    size = last[pick] - first[pick]
+    start = K.ragged_positions(first[pick], size - RUN + 1)
+    return row[pick], pick - at[row[pick]], h[pick], size, np.repeat(np.arange(len(pick)), size - RUN + 1), seq(start, start + RUN)
+
+
+def _common_runs(frame: DataFrame) -> np.ndarray:
+    """How often runs occur in a sixteenth of the documents, by hash; it orders runs, so it decides speed only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = K.buffers(batch.column(1))
+            for a, b in K.slices(offsets):
+                found = _long_lines(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[5]
+                spot, n = np.unique(found & _U(SPOTS - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int32)), pa.array(n.astype(np.int64))], ["spot", "n"])
+
+    counts = frame.filter(F.pmod(F.xxhash64("doc"), F.lit(16)) == 0).mapInArrow(run, "spot int, n long").groupBy("spot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SPOTS, np.int64)
+    out[counts.column("spot").to_numpy()] = counts.column("n").to_numpy()
+    return out
+
+
+def _prefix(rank: np.ndarray, owner: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """How many runs of each line, by rank, it takes to hold more runs without a word in common than the line's edits."""
+    new = np.ones(len(rank), bool)
+    new[1:] = owner[1:] != owner[:-1]
+    index, low, high = np.arange(len(rank)), edits + 1, RUN * edits + 1
+    while (low < high).any():
+        middle = (low + high) // 2
+        held = rank < middle[owner]
+        begins = held.copy()
+        begins[1:] &= new[1:] | ~held[:-1]
+        apart = held & ((index - np.maximum.accumulate(np.where(begins, index, 0))) % RUN == 0)
+        enough = np.bincount(owner[apart], minlength=len(edits)) > edits
+        low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
+    return high
+
+
+def _run_rows(frame: DataFrame, common) -> DataFrame:
+    """The runs by which each line may be found: key, the line's hash, document, line number and number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = common.value
+        for batch in batches:
+            buf, offsets = K.buffers(batch.column(1))
+            for a, b in K.slices(offsets):
+                row, line, h, size, owner, found = _long_lines(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if not len(h):
+                    continue
+                runs = size - RUN + 1
+                order = np.lexsort((found, counts[(found & _U(SPOTS - 1)).astype(np.int64)], owner))
+                nth = np.arange(len(order)) - np.repeat(np.cumsum(runs) - runs, runs)
+                rank = np.empty(len(order), np.int64)
+                rank[order] = nth
+                # a line of n words has near ones of up to 5n/4 words, n/4 edits away
+                order = order[nth < _prefix(rank, owner, size // (MIN_WORDS - 1))[owner[order]]]
+                order = order[np.sort(np.unique(found[order] ^ K.mix(owner[order].astype(_U) + _U(1)), return_index=True)[1])]
+                of = owner[order]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[order].view(np.int64)), pa.array(h[of].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row[of])), pa.array(line[of].astype(np.int32)), pa.array(size[of].astype(np.int32))],
+                    ["key", "h", "doc", "line", "n"],
+                )
+
+    return frame.mapInArrow(run, "key long, h long, doc long, line int, n int")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns key, h, doc, line and n of whole buckets from rows sorted by key, each h once, the earliest first, and where each row's bucket begins."""
+
+    def ordered(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        order = np.lexsort((columns[3], columns[2], columns[0]))
+        columns = [c[order] for c in columns]
+        once = np.sort(np.unique(K.mix(columns[0].view(_U)) ^ columns[1].view(_U), return_index=True)[1])
+        columns = [c[once] for c in columns]
+        new = np.ones(len(once), bool)
+        new[1:] = columns[0][1:] != columns[0][:-1]
+        return columns, np.maximum.accumulate(np.where(new, np.arange(len(once)), 0))
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
+        if not len(columns[0]):
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut or (held and held[-1][0][-1] != columns[0][0]):
+            held.append([c[:cut] for c in columns])
+            yield ordered([np.concatenate(c) for c in zip(*held)])
+            held = []
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield ordered([np.concatenate(c) for c in zip(*held)])
+
+
+def _may_be_near(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    longer = np.maximum(n, m)
+    return (longer >= LONG_WORDS) & (longer - np.minimum(n, m) <= longer // MIN_WORDS)
+
+
+def near_long_lines(frame: DataFrame) -> DataFrame:
+    """Hashes of lines that an earlier line is within the bound of, where the longer has LONG_WORDS or more."""
+    sc = frame.sparkSession.sparkContext
+    keyed = _run_rows(frame, sc.broadcast(_common_runs(frame)))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, start in _buckets(batches):
+            members = np.bincount(start, minlength=len(start))[start]
+            shared = members > 1
+            n, by = columns[4], start[shared]
+            fits = (by != np.flatnonzero(shared)) & _may_be_near(n[shared], n[by])
+            yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in columns] + [pa.array(columns[1][by]), pa.array(fits), pa.array(members[shared] > 2)], ["key", "h", "doc", "line", "n", "by", "fits", "more"])
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key")
+
+    rows = written(by_key(keyed).mapInArrow(heads, "key long, h long, doc long, line int, n int, by long, fits boolean, more boolean"), "runs")
+    met = rows.select("h").distinct()
+    marks = written(_long_words(frame, met, True), "marks")
+    first = _verified_long(frame, rows.filter("fits").select("h", "by").distinct(), marks)
+    still = sc.broadcast(bloom.build(met.join(first, "h", "left_anti"), "h"))
+
+    def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, start in _buckets(batches):
+            h, n = columns[1], columns[4]
+            at = np.flatnonzero(bloom.may_hold(still.value, h.view(_U)))
+            # the head has been tried
+            others = np.maximum(at - start[at] - 1, 0)
+            for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
+                x, y = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + 1, others[a:b])
+                fits = _may_be_near(n[x], n[y])
+                x, y = h[x[fits]], h[y[fits]]
+                once = np.unique(K.mix(x.view(_U)) ^ y.view(_U), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(x[once]), pa.array(y[once])], ["h", "by"])
+
+    pairs = by_key(rows.filter("more").select("key", "h", "doc", "line", "n")).mapInArrow(earlier, "h long, by long").distinct()
+    return first.union(_verified_long(frame, pairs, marks))
+
+
+def _verified_long(frame: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """:func:`_verified` of lines of the frame, whose words are fetched for pairs only that are near by their marks."""
+    both = pairs.join(marks, "h").join(marks.select(F.col("h").alias("by"), F.col("words").alias("by_words"), F.col("n").alias("by_n")), "by").select("h", "by", "words", "by_words", "n", "by_n")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MARKS).astype(np.int16) for k in (2, 3))
+            # an edit takes one word from its mark, gives one to another, or both
+            edits = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
+            most = np.maximum(batch.column(4).to_numpy(), batch.column(5).to_numpy()) // MIN_WORDS
+            yield batch.select(["h", "by"]).filter(pa.array(edits <= most))
+
+    pairs = written(both.mapInArrow(likely, "h long, by long"), "pairs")
+    words = written(_long_words(frame, pairs.select(F.explode(F.array("h", "by")).alias("h")).distinct()), "long-lines")
+    return written(_verified(pairs, words.select("h", "words")), "near")
+
+
+def _long_words(frame: DataFrame, wanted: DataFrame, marks: bool = False) -> DataFrame:
+    """h, words (or how many of them fall to each of MARKS marks, a byte each) and n of the lines of the frame with the hashes wanted, once each; some others too."""
+    filter_words = frame.sparkSession.sparkContext.broadcast(bloom.build(wanted, "h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = filter_words.value
+        for batch in batches:
+            buf, offsets = K.buffers(batch.column(1))
+            for a, b in K.slices(offsets):
+                _, _, _, first, last, seq, h = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                long = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
+                pick = long[np.unique(h[long], return_index=True)[1]]
+                pick = pick[bloom.may_hold(held, h[pick])] if len(pick) else pick
+                size = last[pick] - first[pick]
+                words = np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]
+                if marks:
+                    spot = np.repeat(np.arange(len(pick)), size) * MARKS + (words[K.ragged_positions(first[pick], size)] & _U(MARKS - 1)).astype(np.int64)
+                    count = np.minimum(np.bincount(spot, minlength=len(pick) * MARKS), 255).astype(np.uint8)
+                    body = K.binary_array(count, np.arange(len(pick)) * MARKS, np.full(len(pick), MARKS))
+                else:
+                    body = K.binary_array(words.view(np.uint8), first[pick] * 8, size * 8)
+                yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), body, pa.array(size.astype(np.int32))], ["h", "words", "n"])
+
+    return frame.mapInArrow(run, "h long, words binary, n int").groupBy("h").agg(F.first("words").alias("words"), F.first("n").alias("n"))
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = True) -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and n_lines and n_removed after the other columns."""
     docs = docs.drop("n_lines", "n_removed")
@@ -232,7 +452,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
     places = lines.select("h", "doc")
     gone = places.join(seen, "h").filter("doc > low").select("doc", "h")
     if near:
-        gone = gone.union(places.join(near_lines(frame, lines), "h").select("doc", "h"))
+        gone = gone.union(places.join(near_lines(frame, lines).union(near_long_lines(frame)).distinct(), "h").select("doc", "h"))
     gone = gone.groupBy("doc").agg(F.collect_set("h").alias("__gone"))
     names = docs.columns
     joined = docs.join(gone, docs[key].cast("long") == gone["doc"], "left").select(*[docs[c] for c in names], "__gone")
