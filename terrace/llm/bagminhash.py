@@ -10,8 +10,9 @@ Texts that share a band of registers are candidates. Equal texts are one node. I
 against one of them, then, where the bucket still has several components, against another one of its own. What then lies
 in different components is compared within the bucket's blocks, signature by signature: pairs go on that agree on at least
 AGREE of the registers and LONG_AGREE of a longer signature, as all but one in five thousand do at a similarity of 0.8;
-each goes on from the first band it shares. So no group of copies is multiplied out, and pairs that one component holds already are not made. All links
-are verified on the whole multisets.
+each goes on from the first band it shares. So the classes are told without multiplying out a group of near copies. For the
+counts of links, the pairs inside a component are then compared in the same way, each pair of different texts that share
+a band; copies stay one node. All links are verified on the whole multisets.
 
 Defined cases: a null text is empty; empty texts are copies of each other; a text of one to four words is one shingle;
 rows with a null key are alone in their class; rows that share a key share a class; ties of keys go to the smallest.
@@ -174,8 +175,11 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row: key, class_id (the smallest key of its class), n_links (verified links of its text) and kept (the row of each class with the smallest key)."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, all_links: bool = True) -> DataFrame:
+    """Per row: key, class_id (the smallest key of its class), n_links (other texts that its text is so similar to) and kept (the row of each class with the smallest key).
+
+    Without ``all_links`` only those links are made, and counted, that it takes to tell the classes.
+    """
     rows = written(signed(docs.withColumn(key, F.col(key).cast("long")), key, text, width), "signatures")
     classes = rows.filter("key IS NOT NULL").groupBy("digest").agg(F.min(F.struct("key", "bands")).alias("m"))
     nodes = written(classes.select("digest", F.col("m.key").alias("node"), F.col("m.bands").alias("bands")), "texts")
@@ -194,7 +198,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             centre = mixed.groupBy("bucket").agg(F.min(rank).alias("c"))
             pairs = mixed.join(centre, "bucket").filter(F.col("root") != F.col("c.root")).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         else:
-            pairs = _across(written(mixed, "mixed"), texts, width)
+            pairs = _agreeing(written(mixed, "mixed"), texts, width)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -205,6 +209,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         links = found if links is None else links.union(found)
         if not found.isEmpty():
             roots = components(links)
+    if all_links and links is not None:
+        # texts of one class as well: every node is a root of its own
+        many = buckets.groupBy("bucket").agg(F.count("*").alias("members"))
+        pairs = _agreeing(written(buckets.join(many, "bucket").withColumn("root", F.col("node")), "whole"), texts, width)
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(written(verified(pairs, texts, width, similarity), "links"))
     return _classes(docs, rows, nodes, links, roots, key)
 
 
@@ -215,8 +225,8 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(several.select("bucket", "members"), "bucket")
 
 
-def _across(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and agree on AGREE registers, each once.
+def _agreeing(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of different roots that share a bucket and agree on AGREE registers, each once.
 
     A bucket's members are dealt to blocks, and every two blocks meet in one task of at most 2 * BLOCK members or so.
     """
@@ -283,7 +293,7 @@ def _classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, links: DataFram
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of near-duplicates, that with the smallest key; of repeated rows one stays, and rows without key stay."""
-    classes = near_duplicates(docs, key, text)
+    classes = near_duplicates(docs, key, text, all_links=False)
     kept = classes.filter(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_kept")).distinct()
     named = docs.filter(F.col(key).isNotNull())
     return named.join(kept, named[key] == F.col("_kept"), "left_semi").dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
