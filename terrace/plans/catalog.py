@@ -115,6 +115,12 @@ def select_jsonpath(spark, sf_dir):
     return jsonops.select_jsonpath(orders, "$[*].items[*].quantity")
 
 
+@query("SELECT CAST(l_quantity AS VARCHAR) AS result FROM lineitem")
+def select_jsonpath_all(spark, sf_dir):
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"))).alias("items"))
+    return jsonops.select_jsonpath(orders, "$[*].items[*].quantity")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def variant_members(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", stdlib.json_get(stdlib.json_parse(F.col("props")), "k", "bigint").alias("k"))
