@@ -10,7 +10,9 @@ import re
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.errors import DataError
@@ -23,6 +25,8 @@ KEYWORDS = (
     "function", "implementation", "system", "data", "algorithm", "database", "file", "content", "analysis", "processing",
 )
 DIMENSIONS = 128
+#: Rows and queries that meet in one task of a search for many queries.
+ROW_BLOCK, QUERY_BLOCK = 4096, 256
 
 
 def keyword_features(text: Column, name: str = "") -> Column:
@@ -110,6 +114,55 @@ def all_pages(rows: DataFrame, query: str, query_vector: Sequence[float] | Colum
     return hybrid_search(rows, query, query_vector, k * pages, **options)
 
 
+def search_many(rows: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", embedding: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector", alpha: float = 1.0, text: Column | float = 0.0, offset: int = 0) -> DataFrame:
+    """For each query the rows of positive alpha * cosine + (1 - alpha) * text, k after ``offset``: query_key, key and score.
+
+    Queries and rows are dealt to blocks. Every two blocks meet in one task, which keeps the best of each query; these are
+    merged by query. Sums run in the order of :func:`dot`, so equal vectors have equal scores.
+    """
+    alpha = min(max(alpha, 0.0), 1.0)
+    most = k + offset
+    parts = [1 + (df.count() - 1) // size for df, size in ((rows, ROW_BLOCK), (queries, QUERY_BLOCK))]
+    if min(parts) < 1:
+        return queries.select(query_key).join(rows.select(key)).select(query_key, key, F.lit(0.0).alias("score")).limit(0)
+
+    def dealt(df: DataFrame, own: str, other: str, n: int, others: int, name: str, values: str, more: Column | float) -> DataFrame:
+        more = more if isinstance(more, Column) else F.lit(more)
+        df = df.select(F.col(name).alias("id"), F.coalesce(F.col(values).cast("array<double>"), F.array().cast("array<double>")).alias("v"), more.cast("double").alias("t"))
+        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left = dealt(queries, "j", "i", parts[1], parts[0], query_key, query_vector, 0.0)
+    right = dealt(rows, "i", "j", parts[0], parts[1], key, embedding, text)
+    kinds = {f.name: f.dataType for f in left.schema.fields}["id"].simpleString(), {f.name: f.dataType for f in right.schema.fields}["id"].simpleString()
+
+    def best(q: pa.Table, r: pa.Table) -> pa.Table:
+        q, r = q.combine_chunks(), r.sort_by("id").combine_chunks()
+        vectors = [t.column("v").to_pylist() for t in (q, r)]
+        sizes = [np.array([len(v) for v in found], np.int64) for found in vectors]
+        cosines = np.zeros((len(q), len(r)))
+        for size in np.intersect1d(*sizes):
+            x, y = (np.flatnonzero(s == size) for s in sizes)
+            a, b = (np.array([found[i] for i in at], np.float64).reshape(-1, size).T for found, at in zip(vectors, (x, y)))
+            norms = [np.sqrt(sum((v * v for v in m), np.zeros(m.shape[1]))) for m in (a, b)]
+            total = np.zeros((len(x), len(y)))
+            for d in range(size):
+                total += a[d][:, None] * b[d][None, :]
+            scale = norms[0][:, None] * norms[1][None, :]
+            cosines[np.ix_(x, y)] = np.divide(total, scale, out=np.zeros_like(total), where=~(scale <= 0))
+        score = cosines * alpha + r.column("t").to_numpy() * (1 - alpha)
+        score = np.where(score > 0, score, -1.0)
+        # rows are in the order of their keys, which a stable sort keeps among ties
+        at = np.argsort(-score, axis=1, kind="stable")[:, :most]
+        of = np.repeat(np.arange(len(q)), at.shape[1])
+        at = at.reshape(-1)
+        held = score[of, at] > 0
+        return pa.table({query_key: q.column("id").take(pa.array(of[held])), key: r.column("id").take(pa.array(at[held])), "score": score[of, at][held]})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, f"`{query_key}` {kinds[0]}, `{key}` {kinds[1]}, score double")
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
+    return found.withColumn("__place", place).filter((F.col("__place") > offset) & (F.col("__place") <= most)).drop("__place")
+
+
 def metadata_filter(filters: dict[str, str], metadata: str = "metadata") -> Column:
     """Every key has exactly this value; a missing key counts as the empty text."""
     out = F.lit(True)
@@ -212,8 +265,7 @@ def distinct_passages(hits: DataFrame, key: str, most: int, threshold: float, sc
 
 def optimize_window(hits: DataFrame, key: str, budget: int, margin: int = 0, score: str = "score", content: str = "content") -> DataFrame:
     """Best hits first while their words together stay within the budget less the margin; adds tokens and total."""
-    from pyspark.sql import Window
-
+    
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), key).rowsBetween(Window.unboundedPreceding, 0)
     counted = hits.withColumn("tokens", F.size(tokens(F.col(content))))
     return counted.withColumn("total", F.sum("tokens").over(order)).filter(F.col("total") <= budget - margin)

@@ -262,6 +262,50 @@ def hybrid_filtered(spark, sf_dir):
     return hits.select("doc_id", _r(F.col("score")).alias("score"))
 
 
+def _queries(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+_MANY = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), "
+_BEST = " QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, {0}) BETWEEN {1} AND {2}"
+_HYBRID_MANY = f"""{_MANY}s AS (SELECT query_id, doc_id, lang, 0.7 * list_cosine_similarity(embedding::DOUBLE[], v) + (1 - 0.7) * ({_TEXT_SCORE}) AS raw FROM documents JOIN embeddings ON doc_id = vec_id, q)
+SELECT query_id, doc_id, round(raw, 6) AS score FROM s WHERE raw > 0"""
+
+
+@query(_MANY + "s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS raw FROM embeddings, q) SELECT query_id, vec_id, round(raw, 6) AS score FROM s WHERE raw > 0" + _BEST.format("vec_id", 1, 10))
+def vector_search_many(spark, sf_dir):
+    hits = retrieval.search_many(_table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 10, key="vec_id")
+    return hits.select("query_id", "vec_id", _r(F.col("score")).alias("score"))
+
+
+def _hybrid_many(spark, sf_dir, k: int, offset: int = 0, filters: dict[str, str] | None = None) -> DataFrame:
+    rows = _indexed(spark, sf_dir)
+    if filters:
+        rows = rows.filter(retrieval.metadata_filter(filters))
+    hits = retrieval.search_many(rows, _queries(spark, sf_dir), k, alpha=0.7, text=retrieval.text_score(F.col("content"), " ".join(_WORDS)), offset=offset)
+    return hits.select("query_id", "doc_id", _r(F.col("score")).alias("score"))
+
+
+@query(_HYBRID_MANY + _BEST.format("doc_id", 1, 10))
+def hybrid_search_many(spark, sf_dir):
+    return _hybrid_many(spark, sf_dir, 10)
+
+
+@query(_HYBRID_MANY + _BEST.format("doc_id", 6, 10))
+def hybrid_page_many(spark, sf_dir):
+    return _hybrid_many(spark, sf_dir, 5, offset=5)
+
+
+@query(_HYBRID_MANY + _BEST.format("doc_id", 1, 15))
+def hybrid_all_pages_many(spark, sf_dir):
+    return _hybrid_many(spark, sf_dir, 15)
+
+
+@query(_HYBRID_MANY + " AND lang = 'de'" + _BEST.format("doc_id", 1, 10))
+def hybrid_filtered_many(spark, sf_dir):
+    return _hybrid_many(spark, sf_dir, 10, filters={"lang": "de"})
+
+
 @query("SELECT doc_id FROM documents WHERE lang IN ('de', 'fr') AND source = 'src1' AND n_chars >= 500 AND n_chars < 3000")
 def rich_filter(spark, sf_dir):
     meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string"))
