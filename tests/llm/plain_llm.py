@@ -1,7 +1,9 @@
 """Plain versions of the operators, over Python lists, that tests hold results against."""
 
+import bisect
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,3 +134,58 @@ def held_out(key):
 def padded(text):
     data = (text or "").encode()
     return data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
+
+
+def span_hash(data):
+    """The 64-bit hash of a byte string by which vocabularies of words are kept."""
+    whole = (1 << 64) - 1
+    h = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(data)) + len(data) * 0xC4CEB9FE1A85EC53
+    return mixed(h & whole)
+
+
+def mixed(x):
+    whole = (1 << 64) - 1
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> 33)) * factor & whole
+    return x ^ (x >> 33)
+
+
+def shape_numbers(text):
+    """The numbers of a text's shape, counted byte by byte."""
+    data = (text or "").encode()
+    size, tokens = max(len(data), 1), re.findall(rb"[^\x20\x09-\x0D]+", data.lower())
+    marks = rb"|!#$%&*+<=>@^_`~\\"
+    count = lambda some: sum(b in some for b in data)
+    many, lines = max(len(tokens), 1), [x for x in data.split(b"\n") if x]
+    lower, upper, digit = (sum(a <= b <= z for b in data) for a, z in ((97, 122), (65, 90), (48, 57)))
+    blank, foreign = count(b" \t\x0b\x0c\r"), sum(b >= 128 for b in data)
+    stops, bars, shouts, markers = count(b".,"), count(b"|"), count(b"!"), count(b"#$%&*+<=>@^_`~\\")
+    other = len(data) - lower - upper - digit - blank - data.count(b"\n") - stops - bars - shouts - markers - foreign
+    return [
+        math.log1p(len(tokens)), (len(data) - blank - data.count(b"\n")) / many, sum(any(b in marks for b in w) for w in tokens) / many, upper / max(lower + upper, 1), digit / size, stops / many, bars / many, shouts / many,
+        markers / size, other / size, foreign / size, len(set(tokens)) / many, max(Counter(tokens).values(), default=0) / many, len(set(lines)) / max(len(lines), 1), len(tokens) / max(len(lines), 1),
+    ]
+
+
+def fault_probability(fault, vocabulary, text, source, lang):
+    """Probability of a fault by plain sums of a fitted model's weights."""
+    data = (text or "").encode()
+    held = {int(h): k for k, h in enumerate(vocabulary)}
+    found = set()
+    for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", data):
+        w = w.lower()
+        found.add(held.get(span_hash(w)))
+        found |= {held.get(mixed((span_hash(w[:k]) + k) & ((1 << 64) - 1))) for k in (4, 5, 6, 7) if len(w) > k}
+    bucket = lambda x, n: span_hash(x.encode()) % n if x else 0
+    total = -fault.prior
+    for view, numbers in ((fault.text, shape_numbers(text)), (fault.page, [bucket(source, 64), bucket(lang, 16), math.log1p(len(data))])):
+        w, at = [float(x) for x in view.weights], 1
+        z = w[0]
+        for edges, x in zip(view.edges, numbers):
+            short = struct.unpack("f", struct.pack("f", x))[0]  # numbers are kept as single floats
+            z += w[at + bisect.bisect_right([float(e) for e in edges], short)]
+            at += len(edges) + 1
+        if view is fault.text:
+            z += sum(w[at + k] for k in found if k is not None)
+        total += view.scale * z + view.shift
+    return 1 / (1 + math.exp(-total))

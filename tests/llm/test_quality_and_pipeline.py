@@ -17,19 +17,18 @@ def tables(spark):
     return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
 
 
-def test_held_out_labels(spark, tables):
+@pytest.mark.parametrize("split", range(4))
+def test_held_out_labels(spark, tables, split):
     docs, labels = tables
-    aside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    aside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == split
     model = quality.train(docs, labels.filter(~aside))
     judged = quality.judged(docs.join(labels.filter(aside), "doc_id"), model, ["doc_id", "toxic"]).join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id").collect()
     assert len(judged) > 500
     right = sum(r["accepted"] == (r["good"] == 1 and r["toxic"] == 0) for r in judged)
     clean = [r for r in judged if r["good"] == 1 and r["toxic"] == 0]
-    assert right / len(judged) > 0.95 and sum(r["accepted"] for r in clean) / len(clean) > 0.97
+    assert right / len(judged) > 0.95 and sum(r["accepted"] for r in clean) / len(clean) > 0.98
     toxic = [r for r in judged if r["toxic"] == 1]
-    caught = sum(r["toxicity"] >= quality.TOXIC_FROM for r in toxic)
-    if caught < 0.9 * len(toxic):
-        pytest.xfail(f"known shortfall, in the README: toxicity alone catches {caught} of {len(toxic)}; 0.9 is asked for")
+    assert sum(r["toxicity"] >= model.faults["toxic"].least for r in toxic) >= 0.9 * len(toxic)
 
 
 def test_odd_tables(spark, tables):
