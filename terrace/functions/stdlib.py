@@ -158,6 +158,11 @@ def json_path(v: Column, pointer: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, pointer_path(pointer), kind)
 
 
+def json_as_string(v: Column) -> Column:
+    """The text of a value that is a text, else null."""
+    return F.when(type_name(v) == "string", F.try_variant_get(v, "$", "string"))
+
+
 def json_keys(text: Column) -> Column:
     return F.json_object_keys(text)
 

@@ -68,13 +68,14 @@ def content_hash(text: Column) -> Column:
 def new_by_content(documents: DataFrame, known: DataFrame | None = None, key: str = "path", content: str = "content") -> DataFrame:
     """Documents whose content is neither known nor that of a document with a smaller key; adds content_hash.
 
-    Contents are compared by hash; only hashes and keys are grouped.
+    Contents are compared by hash; only hashes and keys are grouped. Contents are moved once, by hash and key, so that the
+    copies of one content do not meet.
     """
     hashed = documents.withColumn("content_hash", content_hash(F.col(content)))
     if known is not None:
         hashed = hashed.join(known.select("content_hash").distinct(), "content_hash", "left_anti")
-    first = hashed.groupBy("content_hash").agg(F.min(key).alias("_first"))
-    return hashed.join(first, "content_hash").filter(F.col(key) == F.col("_first")).drop("_first").dropDuplicates(["content_hash"])
+    first = hashed.groupBy("content_hash").agg(F.min(key).alias(key)).filter(F.col(key).isNotNull())
+    return hashed.join(first, ["content_hash", key], "left_semi").dropDuplicates(["content_hash", key])
 
 
 def ingest_chunks(documents: DataFrame, known: DataFrame | None = None, by: str = "tokens", size: int = 200, overlap: int = 40, key: str = "path", content: str = "content") -> DataFrame:

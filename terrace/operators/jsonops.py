@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,6 +259,23 @@ def validate_incremental(df: DataFrame, schema: dict[str, Any], row_key: str) ->
     return df.select(F.col(row_key).alias("row"), F.explode(F.filter(errors, lambda e: e.isNotNull())).alias("e")).select("row", "e.path", "e.message")
 
 
+def is_valid(kind: T.StructType, schema: dict[str, Any]) -> Column:
+    """Whether a row of this type meets the schema."""
+    out = F.lit(True)
+    for _, _, bad in violations(kind, F.struct(*[F.col(f"`{c}`") for c in kind.names]), schema):
+        out = out & ~F.coalesce(bad, F.lit(False))
+    return out
+
+
+def value_is_valid(spark: SparkSession, path: str, schema: dict[str, Any]) -> bool:
+    """Whether the JSON values of a file or folder all meet the schema; text that is no JSON does not."""
+    try:
+        df = spark.read.json(path, multiLine=True, mode="FAILFAST")
+        return df.filter(~is_valid(df.schema, schema)).isEmpty()
+    except PySparkException:
+        return False
+
+
 def validate_strict(df: DataFrame, schema: dict[str, Any], row_key: str) -> None:
     """Raises on the violation of the smallest row key."""
     first = validate_incremental(df, schema, row_key).orderBy("row", "path", "message").limit(1).collect()

@@ -52,6 +52,7 @@ def _tags() -> Column:
     return F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(t))
 
 
+# The weights of the basic score.
 def basic_score(topic: str, options: Recall = Recall()) -> Column:
     """Relevance 5, 2.5 or 1; pinned 4; the topic in path 3, short summary 2, raw text 1.5; preferred kind 1, tag 0.8 each."""
     level = F.lower("relevance")
@@ -124,8 +125,9 @@ def rank_topic(objects: DataFrame, topic: str, backend: str = "basic", options:
     rows = rows.withColumn("_base", base).withColumn("score", score).drop("graph", "centrality")
     if options.require_high_relevance:
         passes = F.lower("relevance") == "high"
-        some = F.max(passes.cast("int")).over(Window.partitionBy("space")) == 1
-        rows = rows.withColumn("_some", some).filter(~F.col("_some") | passes).withColumn("score", F.when(F.col("_some"), F.col("score")).otherwise(F.col("_base"))).drop("_some")
+        some = objects.groupBy("space").agg(F.max(passes.cast("int")).alias("_gate"))  # a row for each space, whatever its size
+        rows = rows.join(some.withColumnRenamed("space", "_space"), F.col("space").eqNullSafe(F.col("_space")), "left")
+        rows = rows.withColumn("_some", F.coalesce(F.col("_gate") == 1, F.lit(False))).drop("_gate", "_space").filter(~F.col("_some") | passes).withColumn("score", F.when(F.col("_some"), F.col("score")).otherwise(F.col("_base"))).drop("_some")
     place = Window.partitionBy("space").orderBy(F.desc("score"), F.desc("updated_at"), "id")
     return rows.drop("_base").withColumn("place", F.row_number().over(place))
 
@@ -210,7 +212,7 @@ def remember(objects: DataFrame, new: DataFrame) -> DataFrame:
 
 def set_pinned(objects: DataFrame, space: str, which: str, pinned: bool = True) -> DataFrame:
     """Pin or unpin the object with this id or path."""
-    hit = (F.col("space") == space) & ((F.col("id") == which) | (F.col("path") == which))
+    hit = (F.col("space") == space) & ((F.col("id").cast("string") == which) | (F.col("path") == which))
     return objects.withColumn("pinned", F.when(hit, F.lit(pinned)).otherwise(F.col("pinned")))
 
 

@@ -46,6 +46,30 @@ def running(df: DataFrame, by: list[str], order: list[str], value: str) -> DataF
     return df.withColumns({"place": F.row_number().over(w), "running": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag(value).over(w)})
 
 
+def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``, the running sum of ``value`` by key in an order whose first column is a number or a time.
+
+    Approximate quantiles of that column cut all rows into stretches, as many as there are shuffle partitions; sums of whole
+    stretches give each its start, and rows are swept only inside their key's stretch, so a key with a third of all rows is
+    swept by many tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.col(order[0])
+    number = F.unix_micros(at) if dict(df.dtypes)[order[0]] == "timestamp" else at
+    cuts = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    stretch = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < number)) if cuts else F.lit(0)
+    rows = df.withColumn("_stretch", stretch)
+    sums = rows.groupBy(*by, "_stretch").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_stretch").alias("_own"), before.alias("_before"))
+    same = F.col("_stretch") == F.col("_own")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.when(F.col("_before").isNull(), inside).when(inside.isNull(), F.col("_before")).otherwise(inside + F.col("_before"))
+    return rows.join(starts, same).withColumn(out, total).drop("_stretch", "_own", "_before", *[f"_{c}" for c in by])
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 

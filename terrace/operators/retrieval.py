@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.errors import DataError
+from terrace.functions.binding import bound
 from terrace.operators.chunking import tokens
 
 # The words whose counts are dimensions of a keyword vector, after the first, which counts a name of the caller's.
@@ -34,23 +35,31 @@ def keyword_features(text: Column, name: str = "") -> Column:
 
     Blank text has zeros only.
     """
-    low, words, size = F.lower(text), F.size(tokens(text)), F.octet_length(text)
-    many = F.greatest(words, F.lit(1))
-    own = F.regexp_count(low, F.lit(re.escape(name.lower()))) / many if name else F.lit(0.0)
-    counts = [own, *[F.regexp_count(low, F.lit(k)) / many for k in KEYWORDS]]
-    punctuation = F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")) / F.greatest(size, F.lit(1))
-    upper = F.regexp_count(text, F.lit(r"\p{Lu}")) / F.greatest(size, F.lit(1))
-    full = F.array(*counts, F.ln(size.cast("double")) / 10, F.ln(words.cast("double")) / 5, punctuation, upper)
-    return F.when(words > 0, full).otherwise(F.array_repeat(F.lit(0.0), len(KEYWORDS) + 5))
+    size = F.octet_length(text)
+
+    def numbers(low: Column, words: Column) -> Column:
+        many = F.greatest(words, F.lit(1))
+        own = F.regexp_count(low, F.lit(re.escape(name.lower()))) / many if name else F.lit(0.0)
+        counts = [own, *[F.regexp_count(low, F.lit(k)) / many for k in KEYWORDS]]
+        punctuation = F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")) / F.greatest(size, F.lit(1))
+        upper = F.regexp_count(text, F.lit(r"\p{Lu}")) / F.greatest(size, F.lit(1))
+        full = F.array(*counts, F.ln(size.cast("double")) / 10, F.ln(words.cast("double")) / 5, punctuation, upper)
+        return F.when(words > 0, full).otherwise(F.array_repeat(F.lit(0.0), len(KEYWORDS) + 5))
+
+    # the lowered text and its number of words are made once, not once for each keyword
+    return bound(numbers, F.lower(text), F.size(tokens(text)))
 
 
 def keyword_vector(text: Column, dimensions: int = DIMENSIONS, name: str = "") -> Column:
     """:func:`keyword_features`, filled up with one small number from the text's hash, at unit length."""
-    features = keyword_features(text, name)
-    small = (F.pmod(F.xxhash64(text), F.lit(1 << 53)) / float(1 << 53)) * 0.01
-    fill = F.array_repeat(F.when(F.size(tokens(text)) > 0, small).otherwise(0.0), max(dimensions - len(KEYWORDS) - 5, 0))
-    whole = F.slice(F.concat(features, fill), 1, dimensions)
-    return unit(whole)
+    small = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") / float(1 << 48) * 0.01
+
+    def whole(features: Column) -> Column:
+        # a text with words has bytes, so the number of these is above zero
+        fill = F.array_repeat(F.when(F.get(features, F.lit(len(KEYWORDS) + 1)) > 0, small).otherwise(0.0), max(dimensions - len(KEYWORDS) - 5, 0))
+        return F.slice(F.concat(features, fill), 1, dimensions)
+
+    return bound(unit, bound(whole, keyword_features(text, name)))
 
 
 def norm(v: Column) -> Column:
@@ -58,8 +67,7 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return bound(lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v), norm(v))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -215,7 +223,8 @@ def index_stats(documents: DataFrame, embeddings: DataFrame, embedding: str = "e
 def rag_context(documents: DataFrame, order: Sequence[Column], path: str = "path", content: str = "content", n: int = 3) -> DataFrame:
     """One row `context`: the first n documents by ``order`` (newest first), each cut to 200 characters."""
     preview = F.concat(F.substring(content, 1, 200), F.when(F.octet_length(content) > 200, "...").otherwise(""))
-    newest = documents.orderBy(*order).limit(n).select(preview.alias("p"), F.col(path).cast("string").alias("s"), F.monotonically_increasing_id().alias("i"))
+    few = documents.orderBy(*order).limit(n)  # n rows, so one task may number them
+    newest = few.select(preview.alias("p"), F.col(path).cast("string").alias("s"), F.row_number().over(Window.orderBy(*order)).alias("i"))
     held = newest.agg(F.array_sort(F.collect_list(F.struct("i", "p", "s"))).alias("d"))
     lines = F.transform("d", lambda x, i: F.concat(F.lit("Document "), (i + 1).cast("string"), F.lit(": "), x["p"], F.lit(" (from: "), x["s"], F.lit(")")))
     full = F.concat(F.lit("RAG Context from indexed documents:\n"), F.array_join(lines, "\n\n"))
@@ -263,9 +272,34 @@ def distinct_passages(hits: DataFrame, key: str, most: int, threshold: float, sc
     return held.select(F.aggregate("h", start, step).alias("passages"))
 
 
+def fuse_distinct(hits: DataFrame, key: str, most: int, threshold: float, score: str = "score", content: str = "content") -> DataFrame:
+    """One row `fused`: the passages of :func:`distinct_passages`, numbered, and the keys of their hits listed.
+
+    A passage that several hits have is cited by the best of them.
+    """
+    chosen = distinct_passages(hits, key, most, threshold, score, content).select(F.posexplode("passages").alias("i", "c"))
+    own = hits.select(F.col(content).alias("c"), F.struct((-F.col(score)).alias("o"), F.col(key).alias("k")).alias("at"))
+    cited = chosen.join(own, "c").groupBy("i", "c").agg(F.min("at").alias("at"))  # as many rows as passages
+    held = cited.agg(F.array_sort(F.collect_list(F.struct("i", "c", F.col("at.k").cast("string").alias("k")))).alias("h"))
+    number = lambda i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "))
+    body = F.array_join(F.transform("h", lambda x, i: F.concat(number(i), x["c"])), "\n\n")
+    sources = F.array_join(F.transform("h", lambda x, i: F.concat(number(i), x["k"])), "\n")
+    return held.select(F.concat(body, F.lit("\n\nCitations:\n"), sources).alias("fused"))
+
+
 def optimize_window(hits: DataFrame, key: str, budget: int, margin: int = 0, score: str = "score", content: str = "content") -> DataFrame:
-    """Best hits first while their words together stay within the budget less the margin; adds tokens and total."""
-    
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), key).rowsBetween(Window.unboundedPreceding, 0)
-    counted = hits.withColumn("tokens", F.size(tokens(F.col(content))))
-    return counted.withColumn("total", F.sum("tokens").over(order)).filter(F.col("total") <= budget - margin)
+    """Best hits first while their words together stay within the budget less the margin; adds tokens and total.
+
+    Each hit with words takes one of the budget at least, so only as many of the best as the budget has words, with keys and
+    counts but no texts, are brought together; every hit then finds its total among them. Hits without a score come last.
+    """
+    most = max(budget - margin, 0)
+    place = F.struct((-F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))).alias("o"), F.col(key).alias("k"))
+    counted = hits.withColumns({"tokens": F.size(tokens(F.col(content))), "_at": place})
+    best = counted.filter("tokens > 0").select("_at", F.col("tokens").cast("long").alias("t")).orderBy("_at").limit(most + 1)
+    held = best.agg(F.array_sort(F.collect_list(F.struct("_at", "t"))).alias("h"))
+    rows = counted.withColumn("_held", held.scalar())
+    rows = rows.filter((F.size("_held") <= most) | (F.col("_at") <= F.element_at("_held", -1)["_at"]))
+    before = F.filter("_held", lambda e: e["_at"] <= F.col("_at"))
+    total = F.aggregate(before, F.lit(0).cast("long"), lambda a, e: a + e["t"])
+    return rows.withColumn("total", total).filter(F.col("total") <= budget - margin).drop("_held", "_at")

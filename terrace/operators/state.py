@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,10 @@ def least_recent(touches: DataFrame, capacity: int, by: str, key: str, seq: str)
     """Keys of each cache that are out: all but the last touched."""
     last = touches.groupBy(by, key).agg(F.max(seq).alias("last"))
     order = Window.partitionBy(by).orderBy(F.desc("last"), key)
-    return last.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") > capacity).drop("_r")
+    # those that stay are cut to the capacity in each task before they meet; the rest never does
+    held = last.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= capacity).select(by, key)
+    both = [last[c].eqNullSafe(held[c]) for c in (by, key)]
+    return last.join(held, both[0] & both[1], "left_anti")
 
 
 def invalidate(entries: DataFrame, prefix: str, key: str = "key") -> DataFrame:
@@ -87,16 +92,27 @@ def fixed_window_limit(calls: DataFrame, by: str, at: str, key: str, limit: int,
         return calls.withColumn("accepted", F.lit(True))
     ordered = calls.repartition(by).sortWithinPartitions(by, at, key)
     schema = ordered.withColumn("accepted", F.lit(True)).schema
+    who, when, width = calls.columns.index(by), calls.columns.index(at), window_seconds * 1_000_000
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caller, opened, used = None, None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller, opened, used = object(), 0, 0
         for batch in batches:
-            accepted = []
-            for who, when in zip(batch[by], batch[at]):
-                if who != caller or (when - opened).total_seconds() >= window_seconds:
-                    caller, opened, used = who, when, 0
-                used += 1
-                accepted.append(used <= limit)
-            yield batch.assign(accepted=accepted)
-
-    return ordered.mapInPandas(run, schema)
+            if not batch.num_rows:
+                continue
+            code = pc.dictionary_encode(batch.column(who), null_encoding="encode").indices.to_numpy()
+            times = pc.cast(batch.column(when), pa.timestamp("us", batch.schema.field(when).type.tz)).cast(pa.int64()).to_numpy()
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            accepted = np.zeros(len(code), bool)
+            for a, b in zip(starts, np.append(starts[1:], len(code))):
+                name, at_ = batch.column(who)[int(a)].as_py(), int(a)
+                if a or name != caller:
+                    caller, opened, used = name, int(times[a]), 0
+                while at_ < b:  # from window to window
+                    if times[at_] - opened >= width:
+                        opened, used = int(times[at_]), 0
+                    end = at_ + int(np.searchsorted(times[at_:b], opened + width))
+                    accepted[at_ : min(end, at_ + max(limit - used, 0))] = True
+                    used, at_ = used + end - at_, end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted)], schema.names)
+
+    return ordered.mapInArrow(run, schema)

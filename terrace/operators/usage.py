@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.operators import relational
+
 # Price of a prompt token and of a completion token by model.
 PRICES = (
     ("gpt-4", 0.00003, 0.00006),
@@ -44,9 +46,12 @@ def failure_rates(calls: DataFrame, by: str, failed: Column) -> DataFrame:
 
 
 def within_budget(calls: DataFrame, budgets: DataFrame, by: str, order: list[str], cost: str) -> DataFrame:
-    """Adds spent, the provider's running cost, and allowed: whether it keeps within the budget (none: any)."""
-    running = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = calls.withColumn("spent", F.sum(cost).over(running))
+    """Adds spent, the provider's running cost, and allowed: whether it keeps within the budget (none: any).
+
+    The costs are added up in stretches of the first column of the order (:func:`relational.running_sum`), so the calls of a
+    busy provider do not meet in one task.
+    """
+    spent = relational.running_sum(calls, [by], order, cost, "spent")
     return spent.join(budgets, by, "left").withColumn("allowed", F.coalesce(F.col("spent") <= F.col("budget"), F.lit(True)))
 
 

@@ -35,17 +35,17 @@ def relevance(prompt: Column, response: Column) -> Column:
     return bound(lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), _shared(x, y) / F.size(x)).otherwise(0.0), *_words(prompt, response))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Common words of the first over the words of both; 0 if either is empty."""
+def _ratio(x: Column, y: Column) -> Column:
+    def of(both: Column) -> Column:
+        union = F.size(x) + F.size(y) - both
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(union == 0, 1.0).otherwise(both / union)
 
-    def ratio(x: Column, y: Column) -> Column:
-        def of(both: Column) -> Column:
-            union = F.size(x) + F.size(y) - both
-            return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(union == 0, 1.0).otherwise(both / union)
+    return bound(of, _shared(x, y))
 
-        return bound(of, _shared(x, y))
 
-    return bound(ratio, *_words(a, b))
+def similarity(a: Column, b: Column) -> Column:
+    """Common words of the first over the words of both; 0 if either is empty."""
+    return bound(_ratio, *_words(a, b))
 
 
 def contradicts(a: Column, b: Column) -> Column:
@@ -121,27 +121,37 @@ def basic_validation(rows: DataFrame, key: str, prompt: str, response: str) -> D
 
 
 def response_pairs(responses: DataFrame, group: str, number: str, text: str) -> DataFrame:
-    """Ordered pairs of a group's responses (a few to each prompt) with their similarity."""
-    other = responses.select(group, F.col(number).alias("other"), F.col(text).alias("other_text"))
-    pairs = responses.select(group, number, text).join(other, group).filter(F.col(number) != F.col("other"))
-    return pairs.withColumn("similarity", similarity(F.col(text), F.col("other_text")))
+    """Ordered pairs of a group's responses with their similarity and whether the texts are equal.
+
+    A group is the answers to one prompt, a few by nature: its pairs are its square. Texts are cut to words once each, and
+    words and a digest are joined, not texts.
+    """
+    own = responses.select(group, number, tokens(F.lower(text)).alias("_words"), F.sha2(text, 256).alias("_digest"))
+    other = own.select(group, F.col(number).alias("other"), F.col("_words").alias("_other_words"), F.col("_digest").alias("_other_digest"))
+    pairs = own.join(other, group).filter(F.col(number) != F.col("other"))
+    return pairs.select(group, number, "other", _ratio(F.col("_words"), F.col("_other_words")).alias("similarity"), (F.col("_digest") == F.col("_other_digest")).alias("equal"))
 
 
-def consensus(responses: DataFrame, group: str, number: str, text: str) -> DataFrame:
-    """Per group: the response most similar to the others on average; equal texts add nothing, ties go to the first."""
+def _agreement(responses: DataFrame, group: str, number: str, text: str) -> DataFrame:
+    """Per group: the best response's number and text, its score, and how many of the group's pairs are under 0.6."""
     pairs = response_pairs(responses, group, number, text)
-    scores = pairs.groupBy(group, number).agg((F.sum(F.when(F.col(text) != F.col("other_text"), F.col("similarity")).otherwise(0.0)) / F.count("*")).alias("score"))
+    mean = F.sum(F.when(~F.col("equal"), F.col("similarity")).otherwise(0.0)) / F.count("*")
+    scores = pairs.groupBy(group, number).agg(mean.alias("score"), F.count_if(F.col("similarity") < 0.6).alias("low"))
     all_ = responses.select(group, number, text).join(scores, [group, number], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col(number).alias("n"), F.col(text).alias("t")))
-    return all_.groupBy(group).agg(best.alias("b")).select(group, F.col("b.n").alias(number), F.col("b.t").alias("consensus"), (-F.col("b.s") + 0.0).alias("score"))
+    found = all_.groupBy(group).agg(best.alias("b"), F.coalesce(F.sum("low"), F.lit(0)).alias("low"))
+    return found.select(group, F.col("b.n").alias(number), F.col("b.t").alias("consensus"), (-F.col("b.s") + 0.0).alias("score"), "low")
+
+
+def consensus(responses: DataFrame, group: str, number: str, text: str) -> DataFrame:
+    """Per group: the response most similar to the others on average; equal texts add nothing, ties go to the first."""
+    return _agreement(responses, group, number, text).drop("low")
 
 
 def ensemble_validation(responses: DataFrame, group: str, number: str, text: str) -> DataFrame:
     """Per group: confidence, 1 less 0.1 for each ordered pair under 0.6; valid from 0.7; content is the consensus."""
-    low = response_pairs(responses, group, number, text).groupBy(group).agg(F.count_if(F.col("similarity") < 0.6).alias("low"))
-    found = consensus(responses, group, number, text).join(low, group, "left")
-    confidence = F.round(_clamped(1.0 - 0.1 * F.coalesce("low", F.lit(0))), 9)
-    return found.select(group, confidence.alias("confidence"), (confidence >= 0.7).alias("is_valid"), "consensus")
+    confidence = F.round(_clamped(1.0 - 0.1 * F.col("low")), 9)
+    return _agreement(responses, group, number, text).select(group, confidence.alias("confidence"), (confidence >= 0.7).alias("is_valid"), "consensus")
 
 
 def fact_validation(verdicts: DataFrame, group: str, verdict: str) -> DataFrame:
@@ -165,19 +175,20 @@ def best_attempt(attempts: DataFrame, group: str, number: str, confidence: str,
 
 def combine(responses: DataFrame, group: str, number: str, text: str, how: str = "majority") -> DataFrame:
     """Per group, one text: majority (the most frequent, ties to the first), first, weighted, best_of_n (longest, ties to the last) or synthesize."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(number, text))), lambda r: r[text])
-    held = responses.groupBy(group).agg(ordered.alias("r"))
-    n = F.size("r")
-    number_of = lambda i: (i + 1).cast("string")
     if how == "majority":
         votes = responses.groupBy(group, text).agg(F.count("*").alias("v"), F.min(number).alias("n"))
         return votes.groupBy(group).agg(F.min(F.struct((-F.col("v")).alias("v"), "n", F.col(text).alias("t"))).alias("m")).select(group, F.col("m.t").alias("combined"))
     if how == "first":
-        out = F.get("r", F.lit(0))
-    elif how == "weighted":
+        return responses.groupBy(group).agg(F.min(F.struct(number, text)).alias("m")).select(group, F.col(f"m.{text}").alias("combined"))
+    if how == "best_of_n":
+        return responses.groupBy(group).agg(F.coalesce(F.max_by(text, F.when(F.col(text).isNotNull(), F.struct(F.octet_length(text).alias("n"), number))), F.lit("")).alias("combined"))
+    # these two are made of all responses of a group, which are the answers to one prompt
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(number, text))), lambda r: r[text])
+    held = responses.groupBy(group).agg(ordered.alias("r"))
+    n = F.size("r")
+    number_of = lambda i: (i + 1).cast("string")
+    if how == "weighted":
         out = F.array_join(F.transform("r", lambda r, i: F.concat(F.lit("Response "), number_of(i), F.lit(" (weight: "), F.format_string("%.2f", 1.0 / n), F.lit("): "), r)), "\n\n")
-    elif how == "best_of_n":
-        out = F.aggregate("r", F.lit(""), lambda a, r: F.when(F.octet_length(r) >= F.octet_length(a), r).otherwise(a))
     elif how == "synthesize":
         out = F.array_join(F.transform("r", lambda r, i: F.concat(F.lit("From response "), number_of(i), F.lit(": "), F.get(F.split(r, r"\."), F.lit(0)))), ". ")
     else:

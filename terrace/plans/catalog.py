@@ -173,12 +173,6 @@ def chunk_chars(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(chunking.chunk_chars(F.col("text"), 500, 100)).alias("chunk_index", "chunk"))
 
 
-@query()
-def chunk_paragraphs(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(chunking.chunk_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 600)).alias("chunk_index", "chunk"))
-
-
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text")
 def ingest_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
@@ -192,13 +186,6 @@ def ingest_known(spark, sf_dir):
     return chunking.new_by_content(docs, known, key="doc_id").select("doc_id", "content")
 
 
-@query()
-def ingest_chunks(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    found = chunking.ingest_chunks(docs, by="tokens", size=200, overlap=40)
-    return found.select("path", "content_hash", F.col("metadata")["chunk_count"].alias("chunk_count"))
-
-
 # --- retrieval
 
 
@@ -214,7 +201,8 @@ def keyword_features(spark, sf_dir):
 
 
 def _query_vector(spark, sf_dir, vec_id: int = 0) -> list[float]:
-    return _table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first()["embedding"]
+    found = _table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first()
+    return found["embedding"] if found else []
 
 
 @query(
@@ -446,12 +434,6 @@ def space_summaries(spark, sf_dir):
     return memory.space_summaries(_objects(spark, sf_dir)).select("space", "objects", "pinned", "updated_at")
 
 
-@query()
-def recall_context(spark, sf_dir):
-    found = memory.recall_context(_objects(spark, sf_dir), "the", "basic", memory.Recall(limit=5, include_raw=True, freeze_clock="2025-01-01T00:00:00Z"))
-    return found.select("space", "topic", "generated_at", "global_summary", F.size("sections").alias("sections"), F.size("raw").alias("raw"))
-
-
 # --- judging texts
 
 
@@ -660,15 +642,9 @@ def array_fp(spark, sf_dir):
 SELECT doc_id, CASE WHEN len(c) > 0 THEN round(coalesce(list_sum(list_transform(list_distinct(c), lambda w: least(len(list_filter(c, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))), 0) / len(c), 6) ELSE 0 END AS bleu FROM d, b"""
 )
 def bleu_one(spark, sf_dir):
-    reference = _table(spark, sf_dir, "benchmark").filter("item_id = 0").first()["text"]
-    return _table(spark, sf_dir, "documents").select("doc_id", _r(evaluation.bleu(F.col("text"), F.lit(reference))).alias("bleu"))
-
-
-@query()
-def rouge_l(spark, sf_dir):
-    items = _table(spark, sf_dir, "benchmark")
-    other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    return items.join(other, "item_id").select("item_id", _r(evaluation.rouge_l(F.col("text"), F.col("other"))).alias("rouge_l"))
+    reference = _table(spark, sf_dir, "benchmark").filter("item_id = 0").first()
+    docs = _table(spark, sf_dir, "documents") if reference else _table(spark, sf_dir, "documents").limit(0)
+    return docs.select("doc_id", _r(evaluation.bleu(F.col("text"), F.lit(reference["text"] if reference else ""))).alias("bleu"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '(?:\+?\d{1,3}[ .-])?\(?\d{3}\)?[ .-]\d{3}[ .-]?\d{4}', '[PHONE]', 'g') AS text FROM documents")
@@ -733,3 +709,6 @@ def set_intersect(spark, sf_dir):
 @query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
 def set_subtract(spark, sf_dir):
     return relational.subtract(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
+
+
+from terrace.plans import more  # noqa: E402, F401  registers its queries here

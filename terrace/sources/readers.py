@@ -55,8 +55,13 @@ def load_csv(spark: SparkSession, path: str, **options: Any) -> Dataset:
     return load(spark, path, **options)
 
 
-def load_json_value(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file with the file's value as VARIANT; text that is no JSON becomes `{"raw": text}`."""
+def load_json_value(spark: SparkSession, path: str, **options: Any) -> DataFrame:
+    """One row for each file with the file's value as VARIANT; text that is no JSON becomes `{"raw": text}`.
+
+    An address is fetched into ``folder`` first, with ``timeout_ms`` and ``retries``, where HTTP is on.
+    """
+    if path.startswith(("http://", "https://")):
+        path = fetch(path, options.pop("folder"), timeout_ms=options.pop("timeout_ms", 5000), retries=options.pop("retries", 0))
     text = spark.read.text(path, wholetext=True)
     raw = F.to_variant_object(F.struct(F.col("value").alias("raw")))
     return text.select(F.coalesce(F.try_parse_json("value"), raw).alias("value"))
