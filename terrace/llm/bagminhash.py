@@ -6,21 +6,26 @@ range, a cell found by halving; it counts if the cell lies below the weight. A r
 texts agree on a register with their weighted Jaccard similarity as probability, and points after the time by which all
 registers are filled are never made.
 
-Texts that share a band of registers are candidates. Equal texts are one node. In a bucket, all members are first held
-against one of them, then, where the bucket still has several components, against another one of its own. What then lies
-in different components is compared within the bucket's blocks, signature by signature: pairs go on that agree on at least
-AGREE of the registers and LONG_AGREE of a longer signature, as all but one in five thousand do at a similarity of 0.8;
-each goes on from the first band it shares. So the classes are told without multiplying out a group of near copies. For the
-counts of links, the pairs inside a component are then compared in the same way, each pair of different texts that share
-a band; copies stay one node. All links are verified on the whole multisets.
+Texts that share a band of registers are candidates. Equal texts are one node, named by a 64-bit hash of the text. In a
+bucket, all members are first held against one of them, then, where the bucket still has several components, against
+another one of its own: work that is linear in the members and does for groups of copies and near copies. What then lies
+in different components is compared within the bucket's blocks, signature by signature: pairs go on that agree on as many
+of the registers, and of a longer signature, as all but some one in a hundred thousand do at the similarity asked for; each
+goes on from the first band it shares. So the classes are told without multiplying out a group of near copies: they are the
+components of all links, found by a spanning part of them. All links are verified on the whole multisets.
+
+``all_links`` compares the members of one component in the same way and counts each text's links, which takes work that is
+quadratic in the members of a group of near copies, in tasks of bounded size.
 
 Defined cases: a null text is empty; empty texts are copies of each other; a text of one to four words is one shingle;
-rows with a null key are alone in their class; rows that share a key share a class; ties of keys go to the smallest.
+rows with a null key are alone in their class; ties of keys go to the smallest, then to the smallest hash of the text;
+unlike texts under one key are documents of their own, whose classes, if the key names both, differ in ``class_hash``;
+keys are whole numbers.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +38,8 @@ from terrace.llm.components import components
 from terrace.llm.shared import extended, written
 
 WIDTH, SIMILARITY = 5, 0.8
-#: At the similarity asked for, all bands of a pair differ with probability below 1e-4.
-BANDS, ROWS = 25, 5
-#: Registers, of BANDS * ROWS, that pairs agree on at least where a bucket is compared pair by pair; then, of a longer signature.
-AGREE, LONG, LONG_AGREE = 80, 500, 369
+#: Registers of a band, the share of pairs of the similarity asked for whose bands may all differ, and registers of the longer signature.
+ROWS, MISSED, LONG = 5, 5e-5, 500
 #: Members of a block of a bucket, and points of Poisson processes made at once.
 BLOCK, POINTS = 1024, 1 << 18
 _U = np.uint64
@@ -44,6 +47,16 @@ _TICKS = float(1 << 32)
 _STEP, _RANGE = _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7)
 
 
+def bands_for(similarity: float) -> int:
+    """Bands by which all but MISSED pairs of the similarity share one."""
+    return math.ceil(math.log(MISSED) / math.log1p(-(similarity**ROWS))) if similarity < 1 else 1
+
+
+def agreeing(registers: int, similarity: float) -> int:
+    """Registers that pairs of the similarity agree on at least, but for some one in a hundred thousand: 4.5 standard deviations below the mean."""
+    return max(math.floor(registers * similarity - 4.5 * math.sqrt(registers * similarity * (1 - similarity))), 1)
+
+
 def weighted_shingles(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, shingle hash and weight of each row's distinct shingles."""
     words, rows = K.word_hashes(buf, offsets)
@@ -61,7 +74,7 @@ def _points(seed: np.ndarray, k: np.ndarray | int) -> tuple[np.ndarray, np.ndarr
     return wait, y >> _U(32), y & _U(0xFFFFFFFF)
 
 
-def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int, size: int = BANDS * ROWS) -> np.ndarray:
+def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int, size: int) -> np.ndarray:
     """Earliest time of each register for each row; rows without shingles keep infinity."""
     out = np.full((n_rows, size), np.inf)
     total = np.bincount(row, weights=weight, minlength=n_rows)
@@ -117,7 +130,8 @@ def _keep(out: np.ndarray, row: np.ndarray, register: np.ndarray, cell: np.ndarr
     np.minimum.at(out.reshape(-1), (row * size + register)[inside], t[inside])
 
 
-def band_hashes(times: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_hashes(times: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    bands = times.shape[1] // rows
     bits = times.astype(np.float32).view(np.uint32).astype(_U).reshape(len(times), bands, rows)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=_U), (len(times), bands))
     for k in range(rows):
@@ -125,26 +139,28 @@ def band_hashes(times: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
     return h.view(np.int64)
 
 
-def signed(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """Per row: key, digest of the text, and the hashes of its bands (none where it has no words)."""
-    frame = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = extended(frame.select("key").schema, "digest binary, bands array<long>")
+def _nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, node (the hash of the text) and text of every row."""
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(own).alias("node"), own.alias("text"))
+
+
+def signed(docs: DataFrame, key: str, text: str, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Per row: key, node and the hashes of its bands (none where it has no words)."""
+    bands_ = bands_for(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = K.buffers(batch.column(1))
+            buf, offsets = K.buffers(batch.column(2))
             for a, b in K.slices(offsets):
                 part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                whole = memoryview(part.tobytes())
-                digests = [hashlib.blake2b(whole[s:e], digest_size=16).digest() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
-                row, h, weight = weighted_shingles(part, at, width)
-                times = signatures(row, h, weight, b - a)
+                times = signatures(*weighted_shingles(part, at, width), b - a, bands_ * ROWS)
                 full = np.isfinite(times[:, 0])
-                spots = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
+                spots = np.concatenate([[0], np.cumsum(full * bands_)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(spots), pa.array(band_hashes(times[full]).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), bands], schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), bands], ["key", "node", "bands"])
 
-    return frame.mapInArrow(run, schema)
+    return _nodes(docs, key, text).mapInArrow(run, "key long, node long, bands array<long>")
 
 
 def overlaps(row_a: np.ndarray, h_a: np.ndarray, w_a: np.ndarray, row_b: np.ndarray, h_b: np.ndarray, w_b: np.ndarray, n: int) -> np.ndarray:
@@ -176,29 +192,28 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, all_links: bool = True) -> DataFrame:
-    """Per row: key, class_id (the smallest key of its class), n_links (other texts that its text is so similar to) and kept (the row of each class with the smallest key).
-
-    Without ``all_links`` only those links are made, and counted, that it takes to tell the classes.
+    """Per row: key, class_id (the smallest key of its class), class_hash (the hash of the text of that key) and kept (whether
+    it is that text under that key); with ``all_links`` also n_links, how many other texts its text is so similar to.
     """
-    rows = written(signed(docs.withColumn(key, F.col(key).cast("long")), key, text, width), "signatures")
-    classes = rows.filter("key IS NOT NULL").groupBy("digest").agg(F.min(F.struct("key", "bands")).alias("m"))
-    nodes = written(classes.select("digest", F.col("m.key").alias("node"), F.col("m.bands").alias("bands")), "texts")
+    rows = written(signed(docs, key, text, width, similarity), "signatures")
+    classes = rows.filter("key IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
+    nodes = written(classes, "texts")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
     buckets = written(members.join(shared, "bucket"), "buckets")
-    involved = buckets.select("node").distinct()
-    own = docs.select(F.col(key).cast("long").alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    texts = written(own.join(involved, "node").dropDuplicates(["node"]), "candidates")
+    involved = buckets.select("node").distinct().join(nodes.select("node", "key"), "node")
+    # of copies, only the text under the smallest key is moved
+    texts = written(_nodes(docs, key, text).join(involved, ["key", "node"]).dropDuplicates(["node"]).select("node", "text"), "candidates")
 
-    links, tried, roots = None, None, involved.withColumn("root", F.col("node"))
+    links, tried, roots = None, None, involved.select("node", F.col("node").alias("root"))
     for turn in range(3):
         mixed = _mixed(buckets, roots)
         if turn < 2:
-            rank = F.struct((F.col("node") if turn == 0 else F.xxhash64("bucket", "node")).alias("h"), "node", "root")
+            rank = F.struct(F.xxhash64(*([] if turn == 0 else ["bucket"]), "node").alias("h"), "node", "root")
             centre = mixed.groupBy("bucket").agg(F.min(rank).alias("c"))
             pairs = mixed.join(centre, "bucket").filter(F.col("root") != F.col("c.root")).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         else:
-            pairs = _agreeing(written(mixed, "mixed"), texts, width)
+            pairs = _agreeing(written(mixed, "mixed"), texts, width, similarity)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -212,10 +227,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     if all_links and links is not None:
         # texts of one class as well: every node is a root of its own
         many = buckets.groupBy("bucket").agg(F.count("*").alias("members"))
-        pairs = _agreeing(written(buckets.join(many, "bucket").withColumn("root", F.col("node")), "whole"), texts, width)
+        pairs = _agreeing(written(buckets.join(many, "bucket").withColumn("root", F.col("node")), "whole"), texts, width, similarity)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.union(written(verified(pairs, texts, width, similarity), "links"))
-    return _classes(docs, rows, nodes, links, roots, key)
+    return _classes(rows, nodes, links, roots, key, all_links)
 
 
 def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -225,11 +240,13 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(several.select("bucket", "members"), "bucket")
 
 
-def _agreeing(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of different roots that share a bucket and agree on AGREE registers, each once.
+def _agreeing(mixed: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different roots that share a bucket and agree on enough registers, each once.
 
     A bucket's members are dealt to blocks, and every two blocks meet in one task of at most 2 * BLOCK members or so.
     """
+    size = bands_for(similarity) * ROWS
+    least, least_long = agreeing(size, similarity), agreeing(LONG, similarity)
     wanted = texts.join(mixed.select("node").distinct(), "node").select("node", "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +254,7 @@ def _agreeing(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             buf, offsets = K.buffers(batch.column(1))
             for a, b in K.slices(offsets):
                 found = weighted_shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                times = np.hstack([signatures(*found, b - a, size).astype(np.float32) for size in (BANDS * ROWS, LONG)])
+                times = np.hstack([signatures(*found, b - a, n).astype(np.float32) for n in (size, LONG)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([t.tobytes() for t in times], pa.binary())], ["node", "signature"])
 
     signed_ = wanted.mapInArrow(sign, "node long, signature binary")
@@ -249,7 +266,7 @@ def _agreeing(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         node, root, own = (table.column(n).to_numpy() for n in ("node", "root", "own"))
         times = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), -1)
-        flat, more = np.ascontiguousarray(times[:, : BANDS * ROWS]), times[:, BANDS * ROWS :]
+        flat, more = np.ascontiguousarray(times[:, :size]), times[:, size:]
         hashes, bucket = band_hashes(flat.view(np.float32)), table.column("bucket")[0].as_py()
         band = int(np.flatnonzero(hashes[0] == bucket)[0])
         one_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
@@ -257,10 +274,10 @@ def _agreeing(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         out_a, out_b = [], []
         for at in range(0, len(left), 64):
             x = left[at : at + 64]
-            agree = np.zeros((len(x), len(right)), np.uint8)
+            agree = np.zeros((len(x), len(right)), np.uint16)
             for k in range(flat.shape[1]):
                 agree += flat[x, k][:, None] == flat[right, k][None, :]
-            i, j = np.nonzero((agree >= AGREE) & (root[x][:, None] != root[right][None, :]))
+            i, j = np.nonzero((agree >= least) & (root[x][:, None] != root[right][None, :]))
             i, j = x[i], right[j]
             fresh = np.ones(len(i), bool)
             if one_block:
@@ -268,7 +285,7 @@ def _agreeing(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             fresh &= ~(hashes[i][:, :band] == hashes[j][:, :band]).any(1)
             i, j = i[fresh], j[fresh]
             for k in range(0, len(i), 4096):
-                near = (more[i[k : k + 4096]] == more[j[k : k + 4096]]).sum(1) >= LONG_AGREE
+                near = (more[i[k : k + 4096]] == more[j[k : k + 4096]]).sum(1) >= least_long
                 out_a.append(node[i[k : k + 4096][near]])
                 out_b.append(node[j[k : k + 4096][near]])
         a, b = np.concatenate([*out_a, np.empty(0, np.int64)]), np.concatenate([*out_b, np.empty(0, np.int64)])
@@ -277,23 +294,25 @@ def _agreeing(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, links: DataFrame | None, roots: DataFrame, key: str) -> DataFrame:
-    named = nodes.select("digest", "node")
-    if links is None:
-        named = named.withColumn("class_id", F.col("node")).withColumn("n_links", F.lit(0).cast("long"))
-    else:
-        first = roots.groupBy("root").agg(F.min("node").alias("class_id"))
-        classes = roots.join(first, "root").select("node", "class_id")
-        counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        named = named.join(classes, "node", "left").join(counts, "node", "left").select("digest", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("key", "digest").join(named, "digest", "left")
+def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame | None, roots: DataFrame, key: str, all_links: bool) -> DataFrame:
+    own = nodes.select("node", F.col("key").alias("first"))
+    named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("c")), "root").select("node", F.col("c.first").alias("class_id"), F.col("c.node").alias("class_hash"))
+    counts = [F.lit(0).cast("long").alias("n_links")]
+    if links is not None:
+        named = named.join(links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
+        counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    out = rows.select("key", "node").join(named, "node", "left")
     lone = F.col("key").isNull()
-    return out.select(F.col("key").alias(key), F.when(~lone, F.col("class_id")).alias("class_id"), F.when(lone, 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"), (lone | (F.col("key") == F.col("class_id"))).alias("kept"))
-
-
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of near-duplicates, that with the smallest key; of repeated rows one stays, and rows without key stay."""
-    classes = near_duplicates(docs, key, text, all_links=False)
-    kept = classes.filter(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_kept")).distinct()
-    named = docs.filter(F.col(key).isNotNull())
-    return named.join(kept, named[key] == F.col("_kept"), "left_semi").dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    where = [F.when(~lone, F.col(c)).alias(c) for c in ("class_id", "class_hash")]
+    kept = lone | ((F.col("key") == F.col("class_id")) & (F.col("node") == F.col("class_hash")))
+    return out.select(F.col("key").alias(key), *where, *(counts if all_links else []), kept.alias("kept"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class of near-duplicates, that with the smallest key; of rows that repeat key and text one stays, and rows without key stay."""
+    classes = near_duplicates(docs, key, text, width, similarity, all_links=False)
+    kept = classes.filter(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_kept"), F.col("class_hash").alias("_node")).distinct()
+    named = docs.filter(F.col(key).isNotNull()).withColumns({"_kept": F.col(key).cast("long"), "_node": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    first = named.join(kept, ["_kept", "_node"], "left_semi").dropDuplicates(["_kept", "_node"]).select(docs.columns)
+    return first.unionByName(docs.filter(F.col(key).isNull()))

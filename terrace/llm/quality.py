@@ -1,14 +1,14 @@
 """Quality classification by co-training a text-content view and a page-metadata view.
 
 Two faults are learned, low quality and toxicity. For each, the text view sees the shape of a text (kinds of characters,
-repetition, lengths) and the presence of words and word beginnings that Spark's counts over all labelled documents found
+repetition, lengths) and the presence of words and word beginnings that Spark's counts over labelled documents found
 telling (by the likelihood ratio of their presence); the metadata view sees source, language and length.
 
 Every document's numbers are made once and written to the shared folder as a row of some 150 bytes. In each round both
 views judge all unlabelled documents, and those of which a view is surer than SURE become examples of the other view. All
 confident documents of the table are counted and stand for choice; of each kind, PER_ROUND times the number of the round
-at most, those of the smallest key hashes, are put into the other view's fit. The fits themselves take LABELLED labelled
-documents at most, chosen in the same way. Both views are calibrated on labelled documents by cross-fitting: each document is judged by a fit that left its
+at most, those of the smallest key hashes, are put into the other view's fit. Words are counted in COUNTED labelled
+documents and the fits take LABELLED of them, at most, chosen in the same way: so no text is moved to meet its label. Both views are calibrated on labelled documents by cross-fitting: each document is judged by a fit that left its
 fold out, and one line through those logits, its slope held positive, gives probabilities. The views' evidence is then
 added to score every document whole.
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from terrace.llm import textkernels as K
 from terrace.llm.shared import extended, written
 
-#: Labelled documents that the models are fitted on at most, and the telling words they look for.
-LABELLED, WORDS = 6000, 512
+#: Labelled documents whose words are counted and that the models are fitted on, at most; the telling words they look for.
+COUNTED, LABELLED, WORDS = 50_000, 6000, 512
 #: Labelled documents that a telling word is in at least, and lengths of the word beginnings that are looked at.
 LEAST_DOCS, BEGINNINGS = 4, (4, 5, 6, 7)
 #: Probabilities from which a document counts as of low quality and as toxic, and clean documents that may be rejected for each.
@@ -317,7 +317,7 @@ def _arrays(rows: pa.Table | pa.RecordBatch, words: int) -> tuple[np.ndarray, np
 
 
 def telling_words(labelled: DataFrame) -> np.ndarray:
-    """Sorted hashes of the words and beginnings whose presence tells most of either fault, counted over all rows (low, toxic, __text)."""
+    """Sorted hashes of the words and beginnings whose presence tells most of either fault, counted over the rows (low, toxic, __text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,9 +353,14 @@ def _least(rows: DataFrame, most: int) -> pa.Table:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> Model:
-    """Fit both faults' views; what comes to the driver is LABELLED labelled rows and ROUNDS * PER_ROUND rows of each kind and exchange at most, of a few hundred bytes each."""
+    """Fit both faults' views; what comes to the driver are LABELLED labelled rows and ROUNDS * PER_ROUND rows of each kind and exchange at most, of a few hundred bytes each."""
     marked = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("_id")).agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
-    vocabulary = telling_words(_own(docs, text, F.col(key).alias("_id")).join(marked, "_id").select("low", "toxic", "__text"))
+    labelled = docs.select(F.col(key).alias("_id")).filter("_id IS NOT NULL").distinct().join(marked, "_id")
+    n = labelled.count()
+    if n > COUNTED:
+        labelled = labelled.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(0.95 * COUNTED / n * (1 << 40))).limit(COUNTED)
+    counted = written(labelled, "labelled")  # COUNTED short rows at most, so they may be sent to every task
+    vocabulary = telling_words(_own(docs, text, F.col(key).alias("_id")).join(F.broadcast(counted), "_id").select("low", "toxic", "__text"))
     table = written(featured(docs, vocabulary, key, text).join(marked, "_id", "left"), "features")
     first = _least(table.filter("low IS NOT NULL"), LABELLED)
     arrays = _arrays(first, len(vocabulary))

@@ -53,6 +53,42 @@ def test_near_duplicates_of_odd_tables(spark):
     assert bagminhash.keep_first(odd).count() == 3
 
 
+def test_near_duplicates_of_repeated_keys(spark):
+    """Two unlike texts under one key, each with copies elsewhere, stay two documents, whatever the partitions."""
+    rng = random.Random(4)
+    one, two = " ".join(prose(rng, 60)), " ".join(prose(rng, 60))
+    docs = documents(spark, [one, one, two, two + " x", "own words of a text that is alone"])
+    docs = docs.union(docs.filter("doc_id = 2").withColumn("doc_id", F.lit(0).cast("long"))).union(docs.filter("doc_id = 0"))
+    found = set()
+    for parts in (1, 5):
+        rows = bagminhash.near_duplicates(docs.repartition(parts), all_links=False).collect()
+        assert len(rows) == 7 and sorted(r["class_id"] for r in rows) == [0] * 6 + [4]
+        assert len({(r["class_id"], r["class_hash"]) for r in rows}) == 3
+        found.add(tuple(sorted((r["doc_id"], r["class_hash"], r["kept"]) for r in rows)))
+        assert sorted((r["doc_id"], r["text"]) for r in bagminhash.keep_first(docs.repartition(parts)).collect()) == sorted([(0, one), (0, two), (4, "own words of a text that is alone")])
+    assert len(found) == 1
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8])
+def test_recall_just_above_the_similarity(spark, similarity):
+    """Planted pairs of unlike texts whose overlap lies between the similarity asked for and 0.05 more, among many of less."""
+    rng, texts, planted = random.Random(9), [], 0
+    while planted < 150:
+        base = prose(rng, 100)
+        other = list(base)
+        for at in rng.sample(range(100), rng.randrange(1, 6)):
+            other[at] = f"new{rng.randrange(1000)}"
+        like = weighted_jaccard(shingles(" ".join(base)), shingles(" ".join(other)))
+        planted += similarity <= like < similarity + 0.05
+        if like >= similarity + 0.05:
+            continue
+        texts += [" ".join(base), " ".join(other)]
+    rows = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(documents(spark, texts), similarity=similarity, all_links=False).collect()}
+    pairs = [(i, weighted_jaccard(shingles(texts[i]), shingles(texts[i + 1]))) for i in range(0, len(texts), 2)]
+    wrong = [like for i, like in pairs if (rows[i] == rows[i + 1]) != (like >= similarity)]
+    assert len(wrong) == 0
+
+
 def test_registers_agree_as_often_as_multisets_overlap():
     rng = random.Random(3)
     a = " ".join(f"w{rng.randrange(40)}" for _ in range(300))
