@@ -39,7 +39,7 @@ from terrace.llm.shared import extended, written
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Registers of a band, the share of pairs of the similarity asked for whose bands may all differ, and registers of the longer signature.
-ROWS, MISSED, LONG = 5, 5e-5, 500
+ROWS, MISSED, LONG = 5, 5e-5, 1000
 #: Members of a block of a bucket, and points of Poisson processes made at once.
 BLOCK, POINTS = 1024, 1 << 18
 _U = np.uint64
@@ -198,10 +198,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = written(signed(docs, key, text, width, similarity), "signatures")
     classes = rows.filter("key IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
     nodes = written(classes, "texts")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "key", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
     buckets = written(members.join(shared, "bucket"), "buckets")
-    involved = buckets.select("node").distinct().join(nodes.select("node", "key"), "node")
+    involved = buckets.select("node", "key").distinct()
     # of copies, only the text under the smallest key is moved
     texts = written(_nodes(docs, key, text).join(involved, ["key", "node"]).dropDuplicates(["node"]).select("node", "text"), "candidates")
 
@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     for turn in range(3):
         mixed = _mixed(buckets, roots)
         if turn < 2:
-            rank = F.struct(F.xxhash64(*([] if turn == 0 else ["bucket"]), "node").alias("h"), "node", "root")
+            # first the text of the smallest key, of which the others are the likeliest to be copies, then any
+            rank = F.struct((F.col("key") if turn == 0 else F.xxhash64("bucket", "node")).alias("h"), "node", "root")
             centre = mixed.groupBy("bucket").agg(F.min(rank).alias("c"))
             pairs = mixed.join(centre, "bucket").filter(F.col("root") != F.col("c.root")).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         else:
