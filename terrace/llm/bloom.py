@@ -1,4 +1,4 @@
-"""A Bloom filter of fixed size, built by Spark's aggregation, that lets tasks pass by rows with no partner."""
+"""A Bloom filter, built by Spark's aggregation, that lets tasks pass by rows with no partner."""
 
 from __future__ import annotations
 
@@ -6,19 +6,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a filter: two megabytes for each worker. Beyond about a million keys more rows pass; none is lost.
-BITS = 1 << 24
+#: Bits of a filter: sixteen for each key, up to 32 megabytes for each worker. Beyond some sixteen million keys more rows pass; none is lost.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _U = np.uint64
 
 
 def build(keys: DataFrame, key: str) -> np.ndarray:
-    """Words of the filter of a column of 64-bit hashes; at most BITS / 64 rows come to the driver."""
+    """Words of the filter of a column of 64-bit hashes; at most MOST_BITS / 32 rows of a word each come to the driver."""
+    bits = LEAST_BITS
+    n = keys.count()
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
     h = F.col(key)
-    spots: list[Column] = [h.bitwiseAND(BITS - 1), F.shiftrightunsigned(h, 32).bitwiseAND(BITS - 1)]
-    bits = keys.select(F.explode(F.array(*spots)).alias("bit"))
+    spots: list[Column] = [h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)]
     # bit 63 is the sign of a long: words hold 32 bits each
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31 AS INT))")).alias("bits"))
-    out = np.zeros(BITS // 32, np.uint32)
+    places = keys.select(F.explode(F.array(*spots)).alias("bit"))
+    words = places.groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31 AS INT))")).alias("bits"))
+    out = np.zeros(bits // 32, np.uint32)
     found = words.toArrow()
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return out
@@ -26,9 +30,9 @@ def build(keys: DataFrame, key: str) -> np.ndarray:
 
 def may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each 64-bit key may be in the filter; false is certain."""
-    keys = keys.astype(_U)
+    keys, mask = keys.astype(_U), _U(len(words) * 32 - 1)
     out = np.ones(len(keys), bool)
-    for spot in (keys & _U(BITS - 1), (keys >> _U(32)) & _U(BITS - 1)):
+    for spot in (keys & mask, (keys >> _U(32)) & mask):
         spot = spot.astype(np.int64)
         out &= (words[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1 == 1
     return out

@@ -16,10 +16,13 @@ their first or their last half words, and the keys of these halves that two line
 two lines share, are told to the tasks by a Bloom filter of fixed size, whose false answers cost time only.
 
 Where the longer has ten words or more, near lines are found by the pairs of neighbouring words that they share. Each
-line is known by its first pairs in one order for all lines, from rare to common: by so many that more of them lie apart
+line is known by its first pairs in one order for all lines, long words first: by so many that more of them lie apart
 than there may be edits. Then no near line can lack all of them, and of two near lines the one whose first pairs end
-earlier in the order shares one with the first pairs of the other. Members of a bucket are first held against its earliest
-line, and those that stay open after that against every earlier line in it.
+earlier in the order shares one with the first pairs of the other. Pairs that two lines have are found by their hashes
+alone; only these are sent again with the line's place, number of words and marks, counts of its words by a few bits of
+their hashes, which bound the edits from below. Lines of a small bucket are tried by marks against every earlier one in it,
+those of a large one first against its earliest line only; what passes is verified on the words. Lines of large buckets that
+stay open after that are tried against every earlier line there.
 
 Defined cases: a null text is empty and stays null; lines without words stay; rows with a null key are left as they are;
 rows that share a key count as one document; a document may lose all its lines and then has an empty text.
@@ -35,14 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm import bloom
+from terrace.llm import blocks, bloom
 from terrace.llm import textkernels as K
-from terrace.llm.shared import extended, written
+from terrace.llm.shared import count_slices, dropped, extended, written
 
 #: Lines with fewer than MIN_WORDS words have no near ones; of MIN_WORDS * e words and more, near ones are up to e edits away.
 MIN_WORDS = 5
-#: Marks by which pairs of lines are passed over, a power of two; the longer of two lines from which on shared runs of RUN words (two: _prefix counts on it) find them, below it variants; spots for counts of runs.
-MARKS, LONG_WORDS, RUN, SPOTS = 32, 2 * MIN_WORDS, 2, 1 << 18
+#: Marks by which pairs of lines are passed over, a power of two; the longer of two lines from which on shared runs of RUN words (two: _prefix counts on it) find them, below it variants; lines of a small bucket.
+MARKS, LONG_WORDS, RUN, FEW = 16, 2 * MIN_WORDS, 2, 16
 _U = np.uint64
 _FRONT, _BACK, _PLACE, _SHORT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3)
 
@@ -256,33 +259,32 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "h long").distinct()
 
 
-def _long_lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, line number, hash and words of the lines that shared runs can find, each kind once a row, and the line and hash of each of their runs."""
+def _long_lines(buf: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> dict[str, np.ndarray]:
+    """Row, line number, hash, first word and size of the lines that shared runs can find, each kind once in the slice, its
+    earliest by document and line; the words' hashes; and the line and hash of each run by which a line is known."""
     _, _, at, first, last, seq, h = line_hashes(buf, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     # the shorter of two lines may lack a fifth of the longer one's words
     real = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
-    pick = real[np.sort(np.unique(h[real] ^ K.mix(row[real].astype(_U) + _U(1)), return_index=True)[1])]
-    size = last[pick] - first[pick]
-    start = K.ragged_positions(first[pick], size - RUN + 1)
-    return row[pick], pick - at[row[pick]], h[pick], size, np.repeat(np.arange(len(pick)), size - RUN + 1), seq(start, start + RUN)
-
-
-def _common_runs(frame: DataFrame) -> np.ndarray:
-    """How often runs occur in a sixteenth of the documents, by hash; it orders runs, so it decides speed only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = K.buffers(batch.column(1))
-            for a, b in K.slices(offsets):
-                found = _long_lines(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[5]
-                spot, n = np.unique(found & _U(SPOTS - 1), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int32)), pa.array(n.astype(np.int64))], ["spot", "n"])
-
-    counts = frame.filter(F.pmod(F.xxhash64("doc"), F.lit(16)) == 0).mapInArrow(run, "spot int, n long").groupBy("spot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SPOTS, np.int64)
-    out[counts.column("spot").to_numpy()] = counts.column("n").to_numpy()
-    return out
+    real = real[np.lexsort((real, docs[row[real]], h[real]))]
+    pick = real[np.r_[True, h[real][1:] != h[real][:-1]]] if len(real) else real
+    size, first = last[pick] - first[pick], first[pick]
+    start = K.ragged_positions(first, size - RUN + 1)
+    owner = np.repeat(np.arange(len(pick)), size - RUN + 1)
+    runs = seq(start, start + RUN)
+    starts, ends, _ = K.word_spans(buf, offsets)
+    # one order for all lines: long words first, which are the rarer ones, then by hash
+    length = np.minimum((ends - starts)[start] + (ends - starts)[np.minimum(start + 1, len(starts) - 1)], 63) if len(start) else start
+    if len(pick) < 1 << 20:
+        order = np.argsort((owner.astype(_U) << _U(44)) | ((63 - length).astype(_U) << _U(38)) | (runs >> _U(26)), kind="stable")
+    else:
+        order = np.lexsort((runs >> _U(26), 63 - length, owner))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(size - RUN + 1) - (size - RUN + 1), size - RUN + 1)
+    # a line of n words has near ones of up to 5n/4 words, n/4 edits away
+    known = np.flatnonzero(rank < _prefix(rank, owner, size // (MIN_WORDS - 1))[owner]) if len(order) else order
+    known = known[np.unique(runs[known] ^ K.mix(owner[known].astype(_U) + _U(1)), return_index=True)[1]]
+    return {"row": row[pick], "line": pick - at[row[pick]], "h": h[pick], "first": first, "size": size, "words": np.diff(seq.run) * seq.inverse[: len(seq.run) - 1], "owner": owner[known], "key": runs[known]}
 
 
 def _prefix(rank: np.ndarray, owner: np.ndarray, edits: np.ndarray) -> np.ndarray:
@@ -301,124 +303,178 @@ def _prefix(rank: np.ndarray, owner: np.ndarray, edits: np.ndarray) -> np.ndarra
     return high
 
 
-def _run_rows(frame: DataFrame, common) -> DataFrame:
-    """The runs by which each line may be found: key, the line's hash, document, line number and number of words."""
+def _marks(x: dict[str, np.ndarray], pick: np.ndarray) -> np.ndarray:
+    """How many words of each line fall to each mark, a byte each."""
+    size = x["size"][pick]
+    spot = np.repeat(np.arange(len(pick)), size) * MARKS + (x["words"][K.ragged_positions(x["first"][pick], size)] & _U(MARKS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(spot, minlength=len(pick) * MARKS), 255).astype(np.uint8).reshape(-1, MARKS)
+
+
+def _dealt_runs(frame: DataFrame, bits: int, shared=None) -> DataFrame:
+    """Blocks of the runs by which lines are known, with the line's hash; of runs that may be shared only, with document, line number, size and marks too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = common.value
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = blocks.joined(held)
+            held.clear()
+            order = np.argsort(columns["key"], kind="stable")
+            columns = {k: v[order] for k, v in columns.items()}
+            return blocks.dealt(blocks.shard_of(columns["key"], bits), columns)
+
         for batch in batches:
             buf, offsets = K.buffers(batch.column(1))
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in K.slices(offsets):
-                row, line, h, size, owner, found = _long_lines(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if not len(h):
+                x = _long_lines(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], docs[a:b])
+                owner, key = x["owner"], x["key"]
+                if shared is not None:
+                    may = bloom.may_hold(shared.value, key)
+                    owner, key = owner[may], key[may]
+                if not len(key):
                     continue
-                runs = size - RUN + 1
-                order = np.lexsort((found, counts[(found & _U(SPOTS - 1)).astype(np.int64)], owner))
-                nth = np.arange(len(order)) - np.repeat(np.cumsum(runs) - runs, runs)
-                rank = np.empty(len(order), np.int64)
-                rank[order] = nth
-                # a line of n words has near ones of up to 5n/4 words, n/4 edits away
-                order = order[nth < _prefix(rank, owner, size // (MIN_WORDS - 1))[owner[order]]]
-                order = order[np.sort(np.unique(found[order] ^ K.mix(owner[order].astype(_U) + _U(1)), return_index=True)[1])]
-                of = owner[order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[order].view(np.int64)), pa.array(h[of].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row[of])), pa.array(line[of].astype(np.int32)), pa.array(size[of].astype(np.int32))],
-                    ["key", "h", "doc", "line", "n"],
-                )
+                columns = {"key": key, "h": x["h"][owner]}
+                if shared is not None:
+                    lines, back = np.unique(owner, return_inverse=True)
+                    columns |= {"doc": docs[a + x["row"][owner]], "line": x["line"][owner].astype(np.int32), "n": np.minimum(x["size"][owner], 1 << 30).astype(np.int32), "marks": _marks(x, lines)[back]}
+                held.append(columns)
+                size += len(key)
+                if size >= 1 << 21:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
-    return frame.mapInArrow(run, "key long, h long, doc long, line int, n int")
+    return frame.mapInArrow(run, blocks.SCHEMA).repartitionById(1 << bits, F.col("shard"))
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Columns key, h, doc, line and n of whole buckets from rows sorted by key, each h once, the earliest first, and where each row's bucket begins."""
+def _shared_runs(dealt: DataFrame) -> DataFrame:
+    """Runs that two different lines are known by."""
 
-    def ordered(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        order = np.lexsort((columns[3], columns[2], columns[0]))
-        columns = [c[order] for c in columns]
-        once = np.sort(np.unique(K.mix(columns[0].view(_U)) ^ columns[1].view(_U), return_index=True)[1])
-        columns = [c[once] for c in columns]
-        new = np.ones(len(once), bool)
-        new[1:] = columns[0][1:] != columns[0][:-1]
-        return columns, np.maximum.accumulate(np.where(new, np.arange(len(once)), 0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in blocks.gathered(batches).values():
+            columns = blocks.joined(parts)
+            order = np.argsort(columns["key"])
+            key, h = columns["key"][order], columns["h"][order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            several = np.minimum.reduceat(h, at) < np.maximum.reduceat(h, at)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at[several]].view(np.int64))], ["key"])
 
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut or (held and held[-1][0][-1] != columns[0][0]):
-            held.append([c[:cut] for c in columns])
-            yield ordered([np.concatenate(c) for c in zip(*held)])
-            held = []
-        held.append([c[cut:] for c in columns])
-    if held:
-        yield ordered([np.concatenate(c) for c in zip(*held)])
+    return dealt.mapInArrow(run, "key long")
 
 
-def _may_be_near(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    longer = np.maximum(n, m)
-    return (longer >= LONG_WORDS) & (longer - np.minimum(n, m) <= longer // MIN_WORDS)
+def _may_be_near(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and marks allow lines i and j to be near; one of them is long."""
+    out = []
+    for k in range(0, len(i), 1 << 18):
+        p, q = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+        longer = np.maximum(x["n"][p], x["n"][q])
+        most = longer // MIN_WORDS
+        fits = np.flatnonzero((longer >= LONG_WORDS) & (longer - np.minimum(x["n"][p], x["n"][q]) <= most))
+        a, b = x["marks"][p[fits]].astype(np.int16), x["marks"][q[fits]].astype(np.int16)
+        # an edit takes one word from its mark, gives one to another, or both; a full mark tells nothing
+        more, less = np.maximum(a - b, 0), np.maximum(b - a, 0)
+        full = (a == 255) | (b == 255)
+        more[full] = less[full] = 0
+        held = np.zeros(len(p), bool)
+        held[fits[np.maximum(more.sum(1), less.sum(1)) <= most[fits]]] = True
+        out.append(held)
+    return np.concatenate([*out, np.empty(0, bool)])
+
+
+def _in_buckets(parts: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Rows of a shard by bucket, each line once, the earliest first; where each row's bucket begins and how many rows it has."""
+    x = blocks.joined(parts)
+    order = np.lexsort((x["line"], x["doc"], x["key"]))
+    x = {k: v[order] for k, v in x.items()}
+    once = np.sort(np.unique(K.mix(x["key"]) ^ x["h"], return_index=True)[1])
+    x = {k: v[once] for k, v in x.items()}
+    new = np.r_[True, x["key"][1:] != x["key"][:-1]]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    members = np.bincount(start, minlength=len(start))[start]
+    return x, start, members
+
+
+def _distinct_pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    h, by = x["h"][i], x["h"][j]
+    once = np.unique(K.mix(h) ^ by, return_index=True)[1]
+    return pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(by[once].view(np.int64))], ["h", "by"])
 
 
 def near_long_lines(frame: DataFrame) -> DataFrame:
     """Hashes of lines that an earlier line is within the bound of, where the longer has LONG_WORDS or more."""
-    sc = frame.sparkSession.sparkContext
-    keyed = _run_rows(frame, sc.broadcast(_common_runs(frame)))
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, start in _buckets(batches):
-            members = np.bincount(start, minlength=len(start))[start]
-            shared = members > 1
-            n, by = columns[4], start[shared]
-            fits = (by != np.flatnonzero(shared)) & _may_be_near(n[shared], n[by])
-            yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in columns] + [pa.array(columns[1][by]), pa.array(fits), pa.array(members[shared] > 2)], ["key", "h", "doc", "line", "n", "by", "fits", "more"])
-
-    def by_key(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key")
-
-    rows = written(by_key(keyed).mapInArrow(heads, "key long, h long, doc long, line int, n int, by long, fits boolean, more boolean"), "runs")
-    met = rows.select("h").distinct()
-    marks = written(_long_words(frame, met, True), "marks")
-    first = _verified_long(frame, rows.filter("fits").select("h", "by").distinct(), marks)
-    still = sc.broadcast(bloom.build(met.join(first, "h", "left_anti"), "h"))
-
-    def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, start in _buckets(batches):
-            h, n = columns[1], columns[4]
-            at = np.flatnonzero(bloom.may_hold(still.value, h.view(_U)))
-            # the head has been tried
-            others = np.maximum(at - start[at] - 1, 0)
+    sc, bits = frame.sparkSession.sparkContext, max(0, (count_slices(frame.sparkSession) - 1).bit_length())
+    found = written(_shared_runs(_dealt_runs(frame, bits)), "shared-runs")
+    shared = sc.broadcast(bloom.build(found, "key"))
+    dropped(found)
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the first kind as a shard -1; rows of large buckets as they are."""
+        for shard, parts in blocks.gathered(batches).items():
+            x, start, members = _in_buckets(parts)
+            at = np.arange(len(start))
+            # all earlier lines of a small bucket, the earliest one of a large
+            others = np.where(members <= FEW, at - start, np.minimum(at - start, 1))
+            out = []
             for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
-                x, y = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + 1, others[a:b])
-                fits = _may_be_near(n[x], n[y])
-                x, y = h[x[fits]], h[y[fits]]
-                once = np.unique(K.mix(x.view(_U)) ^ y.view(_U), return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(x[once]), pa.array(y[once])], ["h", "by"])
+                i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[a:b], others[a:b])
+                fits = _may_be_near(x, i, j)
+                out.append(np.stack([i[fits], j[fits]]))
+            i, j = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+            pairs = _distinct_pairs(x, i, j)
+            if len(pairs):
+                yield blocks.dealt(np.full(len(pairs), -1), {c: pairs.column(c).to_numpy().view(_U) for c in ("h", "by")})
+            large = members > FEW
+            if large.any():
+                yield blocks.dealt(np.full(int(large.sum()), shard), {k: v[large] for k, v in x.items()})
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parts in blocks.gathered([batch]).values():
+                x = blocks.joined(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(x[c].view(np.int64)) for c in ("h", "by")], ["h", "by"])
 
-    pairs = by_key(rows.filter("more").select("key", "h", "doc", "line", "n")).mapInArrow(earlier, "h long, by long").distinct()
-    return first.union(_verified_long(frame, pairs, marks))
+    rows = written(_dealt_runs(frame, bits, shared).mapInArrow(tried, blocks.SCHEMA), "runs")
+    first = _verified_long(frame, written(rows.filter("shard < 0").mapInArrow(unpacked, "h long, by long").distinct(), "pairs"))
 
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parts in blocks.gathered([batch]).values():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(blocks.joined(parts)["h"]).view(np.int64))], ["h"])
 
-def _verified_long(frame: DataFrame, pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """:func:`_verified` of lines of the frame, whose words are fetched for pairs only that are near by their marks."""
-    both = pairs.join(marks, "h").join(marks.select(F.col("h").alias("by"), F.col("words").alias("by_words"), F.col("n").alias("by_n")), "by").select("h", "by", "words", "by_words", "n", "by_n")
+    still = written(rows.filter("shard >= 0").mapInArrow(members, "h long").distinct().join(first, "h", "left_anti"), "open")
+    open_ = sc.broadcast(bloom.build(still, "h"))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MARKS).astype(np.int16) for k in (2, 3))
-            # an edit takes one word from its mark, gives one to another, or both
-            edits = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
-            most = np.maximum(batch.column(4).to_numpy(), batch.column(5).to_numpy()) // MIN_WORDS
-            yield batch.select(["h", "by"]).filter(pa.array(edits <= most))
+            for part in (p for parts in blocks.gathered([batch]).values() for p in parts):
+                x, start, _ = _in_buckets([part])
+                at = np.flatnonzero(np.arange(len(start)) - start > 1)
+                at = at[bloom.may_hold(open_.value, x["h"][at])]
+                others = at - start[at] - 1  # the earliest has been tried
+                for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
+                    i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + 1, others[a:b])
+                    fits = _may_be_near(x, i, j)
+                    yield _distinct_pairs(x, i[fits], j[fits])
+
+    pairs = rows.filter("shard >= 0").mapInArrow(earlier, "h long, by long").distinct()
+    out = first.union(_verified_long(frame, written(pairs, "pairs")))
+    dropped(rows, still)
+    return out
+
 
-    pairs = written(both.mapInArrow(likely, "h long, by long"), "pairs")
+def _verified_long(frame: DataFrame, pairs: DataFrame) -> DataFrame:
+    """:func:`_verified` of long lines of the frame, whose words are fetched for the pairs."""
     words = written(_long_words(frame, pairs.select(F.explode(F.array("h", "by")).alias("h")).distinct()), "long-lines")
-    return written(_verified(pairs, words.select("h", "words")), "near")
+    out = written(_verified(pairs, words), "near")
+    dropped(words, pairs)
+    return out
 
 
-def _long_words(frame: DataFrame, wanted: DataFrame, marks: bool = False) -> DataFrame:
-    """h, words (or how many of them fall to each of MARKS marks, a byte each) and n of the lines of the frame with the hashes wanted, once each; some others too."""
+def _long_words(frame: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h and words of the lines of the frame with the hashes wanted, once each; some others too."""
     filter_words = frame.sparkSession.sparkContext.broadcast(bloom.build(wanted, "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,17 +486,10 @@ def _long_words(frame: DataFrame, wanted: DataFrame, marks: bool = False) -> Dat
                 long = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
                 pick = long[np.unique(h[long], return_index=True)[1]]
                 pick = pick[bloom.may_hold(held, h[pick])] if len(pick) else pick
-                size = last[pick] - first[pick]
                 words = np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]
-                if marks:
-                    spot = np.repeat(np.arange(len(pick)), size) * MARKS + (words[K.ragged_positions(first[pick], size)] & _U(MARKS - 1)).astype(np.int64)
-                    count = np.minimum(np.bincount(spot, minlength=len(pick) * MARKS), 255).astype(np.uint8)
-                    body = K.binary_array(count, np.arange(len(pick)) * MARKS, np.full(len(pick), MARKS))
-                else:
-                    body = K.binary_array(words.view(np.uint8), first[pick] * 8, size * 8)
-                yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), body, pa.array(size.astype(np.int32))], ["h", "words", "n"])
-
-    return frame.mapInArrow(run, "h long, words binary, n int").groupBy("h").agg(F.first("words").alias("words"), F.first("n").alias("n"))
+                yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), K.binary_array(words.view(np.uint8), first[pick] * 8, (last[pick] - first[pick]) * 8)], ["h", "words"])
+
+    return frame.mapInArrow(run, "h long, words binary").groupBy("h").agg(F.first("words").alias("words"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = True) -> DataFrame:
