@@ -83,19 +83,27 @@ def kept_lines(rows, least=5):
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney bigrams over dictionaries."""
+    """Interpolated modified Kneser-Ney trigrams over dictionaries; contexts seen once have no trigram order."""
 
     def __init__(self, texts):
-        self.pairs, self.n = Counter(), Counter()
+        triples, pairs, self.n = Counter(), Counter(), Counter()
         for t in texts:
-            tokens = [*words(t), "</s>"]
-            self.n.update(tokens)
-            self.pairs.update(zip(["<s>", *tokens[:-1]], tokens))
-        self.kinds = Counter(b for _, b in self.pairs)
-        self.follow = defaultdict(list)
-        for (a, _), c in self.pairs.items():
-            self.follow[a].append(c)
-        self.d, self.dk = self.discounts(self.pairs), self.discounts(self.kinds)
+            tokens = ["<s>", "<s>", *words(t), "</s>"]
+            self.n.update(tokens[2:])
+            pairs.update(zip(tokens[1:], tokens[2:]))
+            triples.update(zip(tokens, tokens[1:], tokens[2:]))
+        often = Counter()
+        for (a, b, _), c in triples.items():
+            often[a, b] += c
+        # each order's counts: of trigrams, of words before a pair, of words before a word
+        self.counts = [Counter(b for _, b in pairs), Counter((b, c) for _, b, c in triples), Counter({t: c for t, c in triples.items() if often[t[:2]] > 1})]
+        self.follow = [None, defaultdict(list), defaultdict(list)]
+        for (b, _), c in self.counts[1].items():
+            self.follow[1][b].append(c)
+        for (a, b, _), c in self.counts[2].items():
+            self.follow[2][a, b].append(c)
+        self.d = [self.discounts(x) for x in self.counts]
+        self.total = [sum(self.counts[0].values()), sum(self.d[0][min(k, 3)] for k in self.counts[0].values())]
 
     @staticmethod
     def discounts(counts):
@@ -106,21 +114,26 @@ class KneserNey:
         raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
         return [0.0, *(min(max(x, 0.1), k + 0.95) for k, x in enumerate(raw))]
 
-    def low(self, b):
-        total, c = sum(self.kinds.values()), self.kinds[b]
-        left = sum(self.dk[min(k, 3)] for k in self.kinds.values()) / total if total else 1.0
-        return (max(c - self.dk[min(c, 3)], 0) / total if total else 0) + left / (len(self.n) + 1)
-
-    def p(self, a, b):
-        counts = self.follow.get(a, [])
+    def share(self, order, count, counts, low):
         if not counts:
-            return self.low(b)
-        c = self.pairs[a, b]
-        return (max(c - self.d[min(c, 3)], 0) + sum(self.d[min(k, 3)] for k in counts) * self.low(b)) / sum(counts)
-
-    def score(self, text):
-        tokens = [*words(text), "</s>"]
-        return sum(math.log10(self.p(a, b)) for a, b in zip(["<s>", *tokens[:-1]], tokens))
+            return low
+        d = self.d[order]
+        return (max(count - d[min(count, 3)], 0) + sum(d[min(k, 3)] for k in counts) * low) / sum(counts)
+
+    def p(self, a, b, c):
+        one, n = 1 / (len(self.n) + 1), self.counts[0][c]
+        if self.total[0]:
+            one = (max(n - self.d[0][min(n, 3)], 0) + self.total[1] * one) / self.total[0]
+        two = self.share(1, self.counts[1][b, c], self.follow[1].get(b, []), one)
+        return self.share(2, self.counts[2][a, b, c], self.follow[2].get((a, b), []), two)
+
+    def score(self, text, p=None):
+        tokens = ["<s>", "<s>", *words(text), "</s>"]
+        return sum(math.log10((p or self.p)(*x)) for x in zip(tokens, tokens[1:], tokens[2:]))
+
+    def pairs_only(self, a, b, c):
+        """The same model without its trigram order."""
+        return self.p("<none>", b, c)
 
     def base(self, text):
         total, v = sum(self.n.values()), len(self.n)
