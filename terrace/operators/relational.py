@@ -5,7 +5,7 @@ Hash, sort-merge, semi and anti joins, cubes and windows are Spark's own and are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,32 @@ def running(df: DataFrame, by: list[str], order: list[str], value: str) -> DataF
     return df.withColumns({"place": F.row_number().over(w), "running": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "before": F.lag(value).over(w)})
 
 
+def quantile_cuts(df: DataFrame, number: Column, parts: int) -> list:
+    """Approximate quantiles that cut the rows into so many stretches of about equal size: a short sorted list, with repeats
+    where one value holds more than a stretch; nulls are left out."""
+    if parts < 2:
+        return []
+    found = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], F.lit(10 * parts))).first()[0]
+    return sorted(found or [])
+
+
+def place_among(number: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are below the value, by halving; null for null."""
+    if not cuts:
+        return F.when(number.isNotNull(), F.lit(0))
+    held = F.lit(cuts)
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        above = F.get(held, middle) < number
+        go = a["low"] < a["high"]
+        return F.struct(F.when(go & above, middle + 1).otherwise(a["low"]).alias("low"), F.when(go & ~above, middle).otherwise(a["high"]).alias("high"))
+
+    steps = F.lit(list(range(len(cuts).bit_length() + 1)))
+    return F.when(number.isNotNull(), F.aggregate(steps, start, halve, lambda a: a["low"]))
+
+
 def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``, the running sum of ``value`` by key in an order whose first column is a number or a time.
 
@@ -56,9 +82,8 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.col(order[0])
     number = F.unix_micros(at) if dict(df.dtypes)[order[0]] == "timestamp" else at
-    cuts = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    stretch = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < number)) if cuts else F.lit(0)
-    rows = df.withColumn("_stretch", stretch)
+    cuts = sorted(set(quantile_cuts(df, number, parts)))
+    rows = df.withColumn("_stretch", F.coalesce(place_among(number, cuts), F.lit(-1)))  # nulls come first
     sums = rows.groupBy(*by, "_stretch").agg(F.sum(value).alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_stretch").alias("_own"), before.alias("_before"))

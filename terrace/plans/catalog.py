@@ -108,17 +108,18 @@ def filter_jsonpath(spark, sf_dir):
     return _props(spark, sf_dir).filter_jsonpath("$.props.k").select("event_id").df
 
 
-@query("SELECT CAST(l_quantity AS VARCHAR) AS result FROM lineitem WHERE l_orderkey <= 100")
+_QUANTITIES = "SELECT CAST(l_quantity AS VARCHAR) AS result FROM lineitem"
+
+
+@query(_QUANTITIES)
 def select_jsonpath(spark, sf_dir):
-    lines = _table(spark, sf_dir, "lineitem").filter("l_orderkey <= 100")
-    orders = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"))).alias("items"))
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"))).alias("items"))
     return jsonops.select_jsonpath(orders, "$[*].items[*].quantity")
 
 
-@query("SELECT CAST(l_quantity AS VARCHAR) AS result FROM lineitem")
+@query(_QUANTITIES)
 def select_jsonpath_all(spark, sf_dir):
-    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"))).alias("items"))
-    return jsonops.select_jsonpath(orders, "$[*].items[*].quantity")
+    return select_jsonpath(spark, sf_dir)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrace.functions import evaluation, expressions, stdlib
 from terrace.operators import chunking, jsonops, memory, relational, retrieval, state, validation
 from terrace.operators.dataset import Dataset
-from terrace.plans.catalog import _BASE, _MEMORY, _OPTIONS, _W, _WORDS, _TEXT_SCORE, _HYBRID, _indexed, _objects, _query_vector, _r, _ranked, _set, _table, _top, query
+from terrace.plans.catalog import _BASE, _MEMORY, _OPTIONS, _W, _WORDS, _TEXT_SCORE, _HYBRID, _indexed, _objects, _query_vector, _r, _ranked, _set, _table, _top, _turn_pairs, query
 from terrace.sources import readers, sinks
 from terrace.sources.folders import shared_folder
 from terrace.streaming import events as streams
@@ -163,11 +163,20 @@ def rouge_l(spark, sf_dir):
     return items.join(other, "item_id").select("item_id", _r(evaluation.rouge_l(F.col("text"), F.col("other"))).alias("rouge_l"))
 
 
-@query("WITH v AS (SELECT source, CASE WHEN quality = 0 THEN 0.2 WHEN toxic = 1 THEN 0.1 WHEN doc_id % 5 = 0 THEN 0.05 ELSE 0 END AS loss FROM documents JOIN labels USING (doc_id) WHERE doc_id % 20 < 3) SELECT source, round(CAST(greatest(least(1 - sum(loss), 1), 0) AS DOUBLE), 6) AS confidence, round(CAST(greatest(least(1 - sum(loss), 1), 0) AS DOUBLE), 9) >= 0.8 AS is_valid FROM v GROUP BY source")
+@query(
+    r"""WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations),
+p AS (SELECT a.conv_id, a.turn, a.w AS c, b.w AS r FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, CASE WHEN len(c) > 0 THEN round(coalesce(list_sum(list_transform(list_distinct(c), lambda w: least(len(list_filter(c, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))), 0) / len(c), 6) ELSE 0 END AS bleu FROM p"""
+)
+def bleu_turns(spark, sf_dir):
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", _r(evaluation.bleu(F.col("text"), F.col("answer"))).alias("bleu"))
+
+
+@query("WITH v AS (SELECT doc_id, CASE WHEN quality = 0 THEN 0.2 WHEN toxic = 1 THEN 0.1 WHEN doc_id % 5 = 0 THEN 0.05 ELSE 0 END AS loss FROM documents JOIN labels USING (doc_id)) SELECT doc_id // 4 AS batch, round(CAST(greatest(least(1 - sum(loss), 1), 0) AS DOUBLE), 6) AS confidence, round(CAST(greatest(least(1 - sum(loss), 1), 0) AS DOUBLE), 9) >= 0.8 AS is_valid FROM v GROUP BY doc_id // 4")
 def fact_validation(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").filter("doc_id % 20 < 3")  # claims about a source: a few for each
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").withColumn("batch", F.expr("doc_id div 4"))
     verdict = F.when(F.col("quality") == 0, "false: no").when(F.col("toxic") == 1, "Uncertain").when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise("TRUE")
-    return validation.fact_validation(rows.select("source", verdict.alias("verdict")), "source", "verdict").withColumn("confidence", _r(F.col("confidence")))
+    return validation.fact_validation(rows.select("batch", verdict.alias("verdict")), "batch", "verdict").withColumn("confidence", _r(F.col("confidence")))
 
 
 @query("SELECT p_partkey, round(p_size / 50.0 * 0.3 + 0.5 * 0.4 + p_size / 100.0 * 0.3, 6) AS score FROM part")
@@ -349,13 +358,13 @@ def space_names(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MEMORY}, n AS (SELECT id, space, text FROM (SELECT id, space FROM m WHERE id % 3 = 0) x JOIN (SELECT doc_id, 'new ' || text AS text FROM documents) y ON x.id = y.doc_id)
+    f"""WITH {_MEMORY}, n AS (SELECT id, space, text FROM (SELECT id, space FROM m WHERE tag = 'de') x JOIN (SELECT doc_id, 'new ' || text AS text FROM documents) y ON x.id = y.doc_id)
 SELECT m.id, m.space, coalesce(substr(n.text, 1, 200), m.summary_short) AS summary_short, CASE WHEN n.id IS NULL THEN m.relevance ELSE 'medium' END AS relevance FROM m LEFT JOIN n USING (id, space)"""
 )
 def memory_remember(spark, sf_dir):
     objects = _objects(spark, sf_dir)
     none = F.lit(None).cast("string")
-    new = objects.filter("id % 3 = 0").withColumns({"raw": F.concat(F.lit("new "), "raw"), "relevance": none, **{c: none for c in ("summary_micro", "summary_short", "summary_long")}})
+    new = objects.filter(F.array_contains("tags", "de")).withColumns({"raw": F.concat(F.lit("new "), "raw"), "relevance": none, **{c: none for c in ("summary_micro", "summary_short", "summary_long")}})
     return memory.remember(objects, new).select("id", "space", "summary_short", "relevance")
 
 
