@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm import bloom
 from terrace.llm import textkernels as K
-from terrace.llm.shared import extended, shared_dir, written
+from terrace.llm.shared import extended, removed, shared_dir, written
 
 #: Chunk bytes: least, most, and the mean distance of cuts beyond the least as a power of two.
 LEAST, MOST, SPREAD_BITS = 256, 4096, 10
@@ -141,17 +141,11 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     chunks_at = shared_dir(spark, "chunks")
     pieces.groupBy("digest").agg(F.first("data").alias("data")).write.option("compression", "zstd").parquet(chunks_at)
     lists = written(joint.drop("data", "joint"), "chunk-lists")
-    _drop(spark, f"{folder}/joint=true")
+    removed(spark, f"{folder}/joint=true")  # its rows are stored as chunks and lists
     own = spark.read.schema(schema).parquet(folder).drop("joint")
     return own.unionByName(lists, allowMissingColumns=True), spark.read.schema("digest binary, data binary").parquet(chunks_at)
 
 
-def _drop(spark, path: str) -> None:
-    """Remove a folder whose rows were stored elsewhere."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def feature(samples: np.ndarray) -> str:
     """Mean, deviation, share of zero crossings about the middle, and entropy in bits of 8-bit samples."""
     counts = np.bincount(samples, minlength=256)
