@@ -25,7 +25,8 @@ those of a large one first against its earliest line only; what passes is verifi
 stay open after that are tried against every earlier line there.
 
 Defined cases: a null text is empty and stays null; lines without words stay; rows with a null key are left as they are;
-rows that share a key count as one document; a document may lose all its lines and then has an empty text.
+rows that share a key count as one document; a document may lose all its lines and then has an empty text. Keys are whole
+numbers.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ from terrace.llm.shared import count_slices, dropped, extended, written
 
 #: Lines with fewer than MIN_WORDS words have no near ones; of MIN_WORDS * e words and more, near ones are up to e edits away.
 MIN_WORDS = 5
-#: Marks by which pairs of lines are passed over, a power of two; the longer of two lines from which on shared runs of RUN words (two: _prefix counts on it) find them, below it variants; lines of a small bucket.
-MARKS, LONG_WORDS, RUN, FEW = 16, 2 * MIN_WORDS, 2, 16
+#: Marks by which pairs of lines are passed over, a power of two, and the count that tells nothing more; the longer of two lines from which on shared runs of RUN words (two: _prefix counts on it) find them, below it variants; lines of a small bucket.
+MARKS, FULL, LONG_WORDS, RUN, FEW = 64, 15, 2 * MIN_WORDS, 2, 16
 _U = np.uint64
 _FRONT, _BACK, _PLACE, _SHORT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3)
 
@@ -304,10 +305,11 @@ def _prefix(rank: np.ndarray, owner: np.ndarray, edits: np.ndarray) -> np.ndarra
 
 
 def _marks(x: dict[str, np.ndarray], pick: np.ndarray) -> np.ndarray:
-    """How many words of each line fall to each mark, a byte each."""
+    """How many words of each line fall to each mark, half a byte each."""
     size = x["size"][pick]
     spot = np.repeat(np.arange(len(pick)), size) * MARKS + (x["words"][K.ragged_positions(x["first"][pick], size)] & _U(MARKS - 1)).astype(np.int64)
-    return np.minimum(np.bincount(spot, minlength=len(pick) * MARKS), 255).astype(np.uint8).reshape(-1, MARKS)
+    count = np.minimum(np.bincount(spot, minlength=len(pick) * MARKS), FULL).astype(np.uint8).reshape(-1, MARKS)
+    return count[:, : MARKS // 2] | count[:, MARKS // 2 :] << 4
 
 
 def _dealt_runs(frame: DataFrame, bits: int, shared=None) -> DataFrame:
@@ -373,13 +375,15 @@ def _may_be_near(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
         longer = np.maximum(x["n"][p], x["n"][q])
         most = longer // MIN_WORDS
         fits = np.flatnonzero((longer >= LONG_WORDS) & (longer - np.minimum(x["n"][p], x["n"][q]) <= most))
-        a, b = x["marks"][p[fits]].astype(np.int16), x["marks"][q[fits]].astype(np.int16)
-        # an edit takes one word from its mark, gives one to another, or both; a full mark tells nothing
-        more, less = np.maximum(a - b, 0), np.maximum(b - a, 0)
-        full = (a == 255) | (b == 255)
-        more[full] = less[full] = 0
+        a, b = x["marks"][p[fits]], x["marks"][q[fits]]
+        more = less = 0
+        for u, v in ((a & FULL, b & FULL), (a >> 4, b >> 4)):
+            # an edit takes one word from its mark, gives one to another, or both
+            known = (u < FULL) & (v < FULL)
+            more = more + np.where(known & (u > v), u - v, 0).sum(1, dtype=np.int32)
+            less = less + np.where(known & (v > u), v - u, 0).sum(1, dtype=np.int32)
         held = np.zeros(len(p), bool)
-        held[fits[np.maximum(more.sum(1), less.sum(1)) <= most[fits]]] = True
+        held[fits[np.maximum(more, less) <= most[fits]]] = True
         out.append(held)
     return np.concatenate([*out, np.empty(0, bool)])
 
