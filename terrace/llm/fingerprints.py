@@ -7,7 +7,7 @@ one text is far longer. The smallest hash is kept where no hash is below the thr
 
 Defined cases: a null text is empty; an empty text has an empty fingerprint, as like to another empty one as can be (1)
 and unlike all others (0); a text of one to four words is one shingle. Rows with equal keys follow each other by the hash
-of their text. A table with one row is its own next.
+of their text, null keys before all others. A table with one row is its own next. Keys are whole numbers.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.llm.shared import count_slices
+from terrace.operators.relational import place_among, quantile_cuts
+
 WIDTH = 5
 #: Kept share of all hashes: one in eight.
 SCALE = 8
-#: Keys side by side whose rows one window holds.
-CHUNK = 512
+#: Stretches of neighbouring rows for each shuffle partition; a window holds one.
+PARTS = 4
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -62,32 +65,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise((F.size(a) == F.size(b)).cast("double"))
 
 
-def successors(keys: DataFrame, key: str, levels: int = 2, width: int = 4096) -> DataFrame:
-    """Each distinct key with the next larger one (the largest with the smallest), as ``key`` and ``after``.
+def _chunks(df: DataFrame, key: str, text: str) -> Column:
+    """Number of a stretch of rows in the order of key and text's hash, growing with it.
 
-    Keys are ordered inside groups of ``width`` neighbours; groups, far fewer, are ordered the same way a level up.
+    Quantiles of the keys cut all rows into PARTS stretches for each shuffle partition, whatever the keys' range. A key that
+    takes several stretches, as one that repeats may, and the null key are cut further by the text's hash.
     """
-    keys = keys.select(F.col(key).alias("key")).distinct()
-    if levels == 0:
-        every = Window.orderBy("key")
-        return keys.select("key", F.coalesce(F.lead("key").over(every), F.first("key").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    near = keys.withColumn("block", F.floor(F.col("key") / width).cast("long"))
-    near = near.withColumn("after", F.lead("key").over(Window.partitionBy("block").orderBy("key")))
-    firsts = near.groupBy("block").agg(F.min("key").alias("first"))
-    next_block = successors(firsts, "block", levels - 1, width).withColumnRenamed("key", "block").withColumnRenamed("after", "next_block")
-    jump = next_block.join(firsts.select(F.col("block").alias("next_block"), "first"), "next_block").select("block", "first")
-    return near.join(jump, "block", "left").select("key", F.coalesce("after", "first").alias("after"))
+    number, parts = F.col(key).cast("long"), PARTS * count_slices(df.sparkSession)
+    every, nulls = df.select(F.count("*"), F.count_if(number.isNull())).first()
+    cuts = quantile_cuts(df, number, parts)
+    distinct = sorted(set(cuts))
+    share = (F.xxhash64(text).cast("double") / 2.0**64 + 0.5).cast("double")  # grows with the signed hash, from 0 to 1
+    i = place_among(number, distinct)
+    pieces = F.when(F.get(F.lit(distinct), i) == number, F.get(F.lit([cuts.count(c) for c in distinct]), i)).otherwise(1) if distinct else F.lit(1)
+    inside = F.least(F.floor(share * pieces), pieces - 1)
+    lone = F.least(F.floor(share * (1 + nulls * parts // max(every, 1))), F.lit(nulls * parts // max(every, 1)))
+    return F.when(number.isNull(), lone).otherwise((i + 1) * F.lit(1 << 32) + inside).cast("long")
 
 
 def with_next(df: DataFrame, key: str, text: str, carried: str, width: int = WIDTH, scale: int = SCALE) -> DataFrame:
     """Adds ``next_text`` and ``next_sketch``: text and column ``carried`` of the row with the next larger key."""
-    place = F.floor(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))) / CHUNK).cast("long")
-    df = df.withColumn("_chunk", place)
-    order = [F.col(key).asc_nulls_first(), F.xxhash64(text)]
-    near = Window.partitionBy("_chunk").orderBy(*order)
+    df = df.withColumn("_chunk", _chunks(df, key, text))
+    near = Window.partitionBy("_chunk").orderBy(F.col(key).asc_nulls_first(), F.xxhash64(text))
     after = df.withColumn("_next", F.lead(F.struct(F.col(text).alias("t"), F.col(carried).alias("s"))).over(near))
     firsts = df.groupBy("_chunk").agg(F.min_by(text, F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text))).alias("_first"))
-    follows = successors(firsts, "_chunk").select(F.col("key").alias("_before"), F.col("after").alias("_chunk"))
+    # stretches are few: one row for each is ordered here, and the last is followed by the first
+    every = Window.orderBy("_chunk")
+    round_ = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follows = firsts.select("_chunk").select(F.col("_chunk").alias("_before"), F.coalesce(F.lead("_chunk").over(every), F.first("_chunk").over(round_)).alias("_chunk"))
     heads = with_sketch(follows.join(firsts, "_chunk").select(F.col("_before").alias("_chunk"), "_first"), "_first", "_first_s", width, scale)
     joined = after.join(heads, "_chunk", "left")
     inside = F.col("_next").isNotNull()

@@ -7,7 +7,7 @@ pushed down where the session sets `spark.sql.python.filterPushdown.enabled`, as
 
 Of rows with equal payloads the one with the smallest key is a response and the others revisit it. Defined cases: a null
 payload is empty; rows with a null key, and repeated rows with the smallest key, are responses; payloads shorter than
-``least`` bytes are never revisits.
+``least`` bytes are never revisits. Line breaks in keys and addresses come back percent-coded, blanks at their ends not at all.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ def payload_digest(payload: bytes) -> str:
 
 
 def _head(fields: dict[str, str]) -> bytes:
-    return b"".join(f"{k}: {' '.join(v.split())}\r\n".encode() for k, v in fields.items()) + b"\r\n"
+    """Head lines; line breaks inside a value, which would end it, are percent-coded, and blanks around it do not last."""
+    return b"".join(f"{k}: {v}".replace("\r", "%0D").replace("\n", "%0A").encode() + b"\r\n" for k, v in fields.items()) + b"\r\n"
 
 
 def record(key: str, uri: str, payload: bytes, refers_to: str | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
@@ -172,12 +173,17 @@ class ArchiveReader(DataSourceReader):
             if not self.wanted(row):
                 _skip(source, left)
                 continue
-            block = source.read(left)[:-4]
-            http, _, body = block.partition(b"\r\n\r\n")
-            about = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("utf-8", "replace").split("\r\n")[1:])}
+            about = {}
+            while (line := source.readline()) not in (b"\r\n", b""):
+                left -= len(line)
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                about[name.strip().lower()] = value.strip()
+            left -= len(line)
             row |= {"payload_bytes": int(about["x-payload-bytes"]), "payload": None}
-            if self.payload != "skip" and row["record_type"] == "response":
-                payload = gzip.decompress(body)
+            if self.payload == "skip" or row["record_type"] != "response":
+                _skip(source, left)
+            else:
+                payload = gzip.decompress(source.read(left)[:-4])
                 if payload_digest(payload) != row["payload_digest"] or len(payload) != row["payload_bytes"]:
                     raise ValueError(f"payload of {row['record_id']} differs from its digest")
                 if self.payload == "read":
