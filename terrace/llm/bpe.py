@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -250,9 +251,7 @@ def compile_transducer(words: list[bytes]) -> dict[str, np.ndarray]:
     base, owner = np.zeros(n + 1, np.int32), np.full(size, -1, np.int32)
     target, output = np.zeros(size, np.int32), np.zeros(size, np.int32)
     free, hint = np.ones(size, bool), 0
-    for s in sorted(order, key=lambda s: -len(moves[s])):
-        if not moves[s]:
-            continue
+    for s in sorted((s for s in order if len(moves[s]) > 1), key=lambda s: -len(moves[s])):
         bytes_ = np.array(sorted(moves[s]), np.int64)
         at, window = hint, 2048
         while True:
@@ -277,6 +276,16 @@ def compile_transducer(words: list[bytes]) -> dict[str, np.ndarray]:
             total += below[t]
         while hint + 1024 < len(free) and not free[hint : hint + 1024].any():
             hint += 1024
+    # a state with one move fits any free slot: these take the first ones together
+    lone = [s for s in order if len(moves[s]) == 1]
+    if len(lone):
+        short = max(0, len(lone) + 512 - int(free[256:].sum()))
+        free, owner = np.concatenate([free, np.ones(short, bool)]), np.concatenate([owner, np.full(short, -1, np.int32)])
+        target, output = np.concatenate([target, np.zeros(short, np.int32)]), np.concatenate([output, np.zeros(short, np.int32)])
+        slots, own = 256 + np.flatnonzero(free[256:])[: len(lone)], np.array([number[s] for s in lone], np.int32)
+        (bytes_, to) = np.array([next(iter(moves[s].items())) for s in lone], np.int64).T
+        base[own] = slots - bytes_
+        owner[slots], target[slots], output[slots], free[slots] = own, [number[t] for t in to.tolist()], [int(finals[s]) for s in lone], False
     end = int(np.flatnonzero(~free).max(initial=0)) + 512
     base[n] = end - 256  # the dead state's slots belong to nobody
     out = {"base": base, "owner": owner[:end], "target": target[:end], "output": output[:end]}
@@ -286,6 +295,7 @@ def compile_transducer(words: list[bytes]) -> dict[str, np.ndarray]:
     return out | {"final": np.array([finals[s] for s in order] + [False]), "n_words": np.array([len(words)])}
 
 
+@lru_cache(1)
 def character_classes() -> np.ndarray:
     """Letter, number, white space or other, for each code point."""
     import regex
