@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -269,11 +268,8 @@ def is_valid(kind: T.StructType, schema: dict[str, Any]) -> Column:
 
 def value_is_valid(spark: SparkSession, path: str, schema: dict[str, Any]) -> bool:
     """Whether the JSON values of a file or folder all meet the schema; text that is no JSON does not."""
-    try:
-        df = spark.read.json(path, multiLine=True, mode="FAILFAST")
-        return df.filter(~is_valid(df.schema, schema)).isEmpty()
-    except PySparkException:
-        return False
+    df = spark.read.json(path, multiLine=True, columnNameOfCorruptRecord="_no_json")
+    return "_no_json" not in df.columns and df.filter(~is_valid(df.schema, schema)).isEmpty()
 
 
 def validate_strict(df: DataFrame, schema: dict[str, Any], row_key: str) -> None:
