@@ -91,6 +91,11 @@ class Dataset:
         """Each row as JSON text."""
         return self.df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
+    @staticmethod
+    def from_json(name: str, texts: DataFrame, schema: str, text: str = "value") -> Dataset:
+        """Rows from JSON text, one object each; text that is no object of the schema raises."""
+        return Dataset(name, texts.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
+
     def to_string(self, order_by: list[str] | None = None) -> str:
         """Name, size, schema and the first five rows."""
         n = self.df.count()

@@ -32,6 +32,16 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
     return points.withColumn("_cell", cell(at)).join(cells, "_cell").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
 
 
+def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hint: str | None = None) -> DataFrame:
+    """Equi-join of any kind; ``hint`` is broadcast, merge, shuffle_hash or none, where Spark's sizes and statistics decide."""
+    return left.join(right.hint(hint) if hint else right, on, how)
+
+
+def grouped(df: DataFrame, by: list[str], value: str, distinct: str) -> DataFrame:
+    """Rows, sum of ``value`` and different values of ``distinct`` for each group."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.countDistinct(distinct).alias("kinds"))
+
+
 def rollup(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.rollup(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.grouping_id().alias("level"))
 

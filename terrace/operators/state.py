@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.errors import DataError
+
 CAPACITY = 100
 
 
@@ -30,6 +32,22 @@ def last_n(log: DataFrame, n: int = CAPACITY, by: str = "scope", seq: str = "seq
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(seq))).drop("_r")
 
 
+# The names of the strategies by which a memory is kept.
+STRATEGIES = ("buffer", "vector", "summary", "hybrid")
+
+
+def recalled(log: DataFrame, strategy: str, summaries: DataFrame, n: int = CAPACITY, by: str = "scope", seq: str = "seq", text: str = "value") -> DataFrame:
+    """What a memory gives back for each scope: by, place and text. All strategies keep the newest n entries; ``summary`` gives
+    the stored summary (by, summary) alone where a scope has one."""
+    if strategy not in STRATEGIES:
+        raise DataError(f"unknown strategy {strategy!r}")
+    held = last_n(log, n, by, seq).select(by, "place", text)
+    if strategy != "summary":
+        return held
+    stored = summaries.filter(F.col("summary").isNotNull()).select(by, F.lit(1).alias("place"), F.col("summary").alias(text))
+    return held.join(stored.select(by), by, "left_anti").unionByName(stored)
+
+
 def last_write(log: DataFrame, by: list[str], value: str, seq: str = "seq") -> DataFrame:
     """The last value written under each key."""
     return log.groupBy(*by).agg(F.max_by(value, seq).alias(value), F.max(seq).alias(seq))

@@ -94,9 +94,58 @@ def metrics_lines(spark, sf_dir):
     return sinks.prometheus_lines(counts, "calls", ["event_type"], "n")
 
 
+@query("SELECT conv_id, turn, role FROM conversations")
+def call_log(spark, sf_dir):
+    path = shared_folder(spark, "calls") + ".ndjson"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    for part in (turns.filter("role = 'user'"), turns.filter("role <> 'user' OR role IS NULL")):
+        sinks.write_call_log(part, path)
+    return readers.load(spark, path, schema="conv_id long, turn long, role string").df
+
+
+@query("SELECT p_partkey, p_brand FROM part")
+def fixture_file(spark, sf_dir):
+    folder = shared_folder(spark, "fixtures")
+    sinks.export(_set(spark, sf_dir, "part").select("p_partkey", "p_brand"), f"{folder}/parts.ndjson", "json")
+    return readers.load_fixture(spark, folder, "parts.ndjson").df.select("p_partkey", "p_brand")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer")
+def rows_from_json(spark, sf_dir):
+    texts = _set(spark, sf_dir, "customer").rows_json()
+    return Dataset.from_json("customers", texts, "c_custkey long, c_name string, c_acctbal double, c_nationkey int").df
+
+
 # --- filters, schemas, relational
 
 
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_inner(spark, sf_dir):
+    return relational.join(_table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k"), _table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k"), ["k"]).select("o_orderkey", "c_name")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def join_left(spark, sf_dir):
+    joined = relational.join(_table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k"), _table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k"), ["k"], "left", "merge")
+    return joined.groupBy(F.col("k").alias("c_custkey")).agg(F.count("o_orderkey").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def join_semi(spark, sf_dir):
+    return relational.join(_table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"], "left_semi", "shuffle_hash").select("c_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def join_anti(spark, sf_dir):
+    sold = _table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return relational.join(_table(spark, sf_dir, "part"), sold, ["p_partkey"], "left_anti").select("p_partkey")
+
+
+@query("SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, count(DISTINCT l_suppkey) AS kinds FROM lineitem GROUP BY l_returnflag")
+def grouped_lines(spark, sf_dir):
+    return relational.grouped(_table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("long")), ["l_returnflag"], "q", "l_suppkey")
+
+
 @query("SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'F') <> 'O'")
 def filter_null_rule(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").withColumn("status", F.nullif("o_orderstatus", F.lit("F")))
@@ -388,6 +437,15 @@ def kv_lookup(spark, sf_dir):
     return state.lookup(log, keys, ["user_id"], "value", now, "event_id")
 
 
+@query("""WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations), f AS (SELECT conv_id, text AS summary FROM conversations WHERE turn = 0 AND length(text) > 150),
+k AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS place, text FROM r WHERE n <= 4)
+SELECT * FROM k WHERE conv_id NOT IN (SELECT conv_id FROM f) UNION ALL SELECT conv_id, 1, summary FROM f""")
+def memory_by_summary(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    summaries = turns.filter("turn = 0 AND length(text) > 150").select("conv_id", F.col("text").alias("summary"))
+    return state.recalled(turns, "summary", summaries, 4, "conv_id", "turn", "text")
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT starts_with(c_mktsegment, 'B')")
 def cache_invalidation(spark, sf_dir):
     return state.invalidate(_table(spark, sf_dir, "customer"), "B", "c_mktsegment").select("c_custkey")

@@ -55,6 +55,11 @@ def load_csv(spark: SparkSession, path: str, **options: Any) -> Dataset:
     return load(spark, path, **options)
 
 
+def load_fixture(spark: SparkSession, folder: str, name: str, **options: Any) -> Dataset:
+    """A file of a folder of fixtures, by its suffix as :func:`load`."""
+    return load(spark, f"{folder.rstrip('/')}/{name}", name, **options)
+
+
 def load_json_value(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     """One row for each file with the file's value as VARIANT; text that is no JSON becomes `{"raw": text}`.
 

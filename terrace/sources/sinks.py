@@ -104,6 +104,11 @@ def write_metrics(metrics: dict[str, float], path: str) -> None:
     write_text(path, json.dumps(metrics, indent=2, sort_keys=True), unescape=False)
 
 
+def write_call_log(calls: DataFrame, path: str) -> None:
+    """Add a log of calls to those below ``path``, a JSON line for each."""
+    calls.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
 def prometheus_lines(counters: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
     """Rows of counters in the text exposition format."""
     tags = F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), F.col(k).cast("string"), F.lit('"')) for k in labels])
