@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm import textkernels as K
 from terrace.llm.components import components
-from terrace.llm.shared import extended, written
+from terrace.llm.shared import dropped, extended, written
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Registers of a band, the share of pairs of the similarity asked for whose bands may all differ, and registers of the longer signature.
@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # of copies, only the text under the smallest key is moved
     texts = written(_nodes(docs, key, text).join(involved, ["key", "node"]).dropDuplicates(["node"]).select("node", "text"), "candidates")
 
-    links, tried, roots = None, None, involved.select("node", F.col("node").alias("root"))
+    links = tried = roots = None  # no roots: each node is its own
+    spent = [buckets, texts]
     for turn in range(3):
         mixed = _mixed(buckets, roots)
         if turn < 2:
@@ -214,10 +215,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             centre = mixed.groupBy("bucket").agg(F.min(rank).alias("c"))
             pairs = mixed.join(centre, "bucket").filter(F.col("root") != F.col("c.root")).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         else:
-            pairs = _agreeing(written(mixed, "mixed"), texts, width, similarity)
+            mixed = written(mixed, "mixed")
+            spent.append(mixed)
+            pairs = _agreeing(mixed, texts, width, similarity)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        spent.append(pairs)
         if pairs.isEmpty():
             break
         found = written(verified(pairs, texts, width, similarity), "links")
@@ -231,12 +235,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         pairs = _agreeing(written(buckets.join(many, "bucket").withColumn("root", F.col("node")), "whole"), texts, width, similarity)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.union(written(verified(pairs, texts, width, similarity), "links"))
-    return _classes(rows, nodes, links, roots, key, all_links)
+    dropped(*spent)  # what is left to read are signatures, texts' keys, links and components
+    return _classes(rows, nodes, links if all_links else None, roots, key, all_links)
 
 
-def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows with ``root``, the node itself where it has no links."""
+    if roots is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
     """bucket, node and root of the members of buckets that reach into several components."""
-    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = _rooted(buckets, roots)
     several = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("members")).filter("r1 < r2")
     return placed.join(several.select("bucket", "members"), "bucket")
 
@@ -295,9 +307,8 @@ def _agreeing(mixed: DataFrame, texts: DataFrame, width: int, similarity: float)
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame | None, roots: DataFrame, key: str, all_links: bool) -> DataFrame:
-    own = nodes.select("node", F.col("key").alias("first"))
-    named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame | None, roots: DataFrame | None, key: str, all_links: bool) -> DataFrame:
+    named = _rooted(nodes.select("node", F.col("key").alias("first")), roots)
     named = named.join(named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("c")), "root").select("node", F.col("c.first").alias("class_id"), F.col("c.node").alias("class_hash"))
     counts = [F.lit(0).cast("long").alias("n_links")]
     if links is not None:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm import textkernels as K
 from terrace.llm.arrayfile import map_arrays, pack_arrays
-from terrace.llm.shared import extended, ship_file, written
+from terrace.llm.shared import dropped, extended, ship_file, written
 
 #: Words that the lexicon holds at most (some megabytes on each executor), and the count below which a word is left out.
 MAX_WORDS, MIN_COUNT = 1 << 17, 3
@@ -557,6 +557,7 @@ def ship_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", max_
             break
         need, room = r["step"], room - r["words"]
     words = [bytes(r[0]) for r in counts.filter(step >= need).select("word").collect()] if need is not None else []  # at most max_words
+    dropped(counts)
     return ship_file(spark, "lexicon", compile_lexicon(Vocabulary(vocabulary_path), words))
 
 

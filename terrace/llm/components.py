@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import written
+from terrace.llm.shared import dropped, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,13 +17,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
     edges = written(edges, "links")
+    spent = [edges]
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
         best = both.groupBy(F.col("a").alias("u")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("m"))
         own = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("v"))
         joins = written(best.select("u", F.least(own, F.col("m"))["v"].alias("v")), "joins")
+        spent.append(joins)
         labels = labels.join(joins.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("v", "root").alias("root"))
         edges = edges.join(joins.withColumnRenamed("u", "a").withColumnRenamed("v", "va"), "a").join(joins.withColumnRenamed("u", "b").withColumnRenamed("v", "vb"), "b")
         edges = written(edges.select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).filter("a <> b").distinct(), "links")
-    return written(labels, "components")
+        spent.append(edges)
+    out = written(labels, "components")
+    dropped(*spent)
+    return out

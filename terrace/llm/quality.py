@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm import textkernels as K
-from terrace.llm.shared import extended, written
+from terrace.llm.shared import dropped, extended, written
 
 #: Labelled documents whose words are counted and that the models are fitted on, at most; the telling words they look for.
 COUNTED, LABELLED, WORDS = 50_000, 6000, 512
@@ -344,6 +344,7 @@ def telling_words(labelled: DataFrame) -> np.ndarray:
             hit = F.col(fault)
             gain = part(hit, with_, up / all_) + part(with_ - hit, with_, 1 - up / all_) + part(F.lit(up) - hit, without, up / all_) + part(without - F.lit(up) + hit, without, 1 - up / all_)
             words |= {r["h"] for r in counts.orderBy(F.round(gain, 6).desc(), "h").limit(WORDS // 2).collect()}
+    dropped(counts)
     return np.array(sorted(words), np.int64).view(_U)[np.argsort(np.array(sorted(words), np.int64).view(_U))]
 
 
@@ -379,6 +380,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for (f, view, label), rows in told.items():
             other = VIEWS[1 - VIEWS.index(view)]
             given[f][other] = given[f][other] + Examples(*_arrays(rows, len(vocabulary)), np.full(len(rows), label))
+    dropped(table, counted)
     return model
 
 
@@ -402,6 +404,7 @@ def _exchange(pool: DataFrame, model: Model, most: int) -> tuple[dict[tuple[str,
     has = lambda k: F.col("sure").bitwiseAND(1 << k) != 0
     n = rows.agg(*[F.count_if(has(k)).alias(str(k)) for k in range(len(kinds))]).first()
     told = {kind: _least(rows.filter(has(k)), most) for k, kind in enumerate(kinds) if n[k]}
+    dropped(rows)
     return told, {kind: (n[k], len(told.get(kind, []))) for k, kind in enumerate(kinds)}
 
 
