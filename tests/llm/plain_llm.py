@@ -61,19 +61,41 @@ def within_one(a, b):
     return any(short == long[:i] + long[i + 1 :] for i in range(len(long)))
 
 
-def kept_lines(rows, least=5):
+def edits(a, b):
+    """Words put in, left out or changed between two lines."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def near_lines(a, b, least=5):
+    """Whether two lines are a fifth of the longer one's words apart at most."""
+    bound = max(len(a), len(b)) // least
+    x, y = Counter(a), Counter(b)
+    if not bound or max(sum((x - y).values()), sum((y - x).values())) > bound:
+        return False
+    return edits(a, b) <= bound
+
+
+def kept_lines(rows):
     """key -> text without lines that an earlier line equals or is near."""
-    first = {}
+    first, pairs = {}, defaultdict(list)
     for key, text in sorted(rows):
         for n, line in enumerate((text or "").split("\n")):
             if w := tuple(words(line)):
                 first.setdefault(w, (key, n))
     gone = set()
-    known = list(first)
-    for i, a in enumerate(known):
-        for b in known[i + 1 :]:
-            if max(len(a), len(b)) >= least and within_one(a, b):
-                gone.add(max(a, b, key=first.get))
+    for line in sorted(first, key=first.get):
+        # near lines have two neighbouring words in common
+        grams = set(zip(line, line[1:]))
+        if any(near_lines(line, other) for other in {o for g in grams for o in pairs[g]}):
+            gone.add(line)
+        for g in grams:
+            pairs[g].append(line)
     out = {}
     for key, text in rows:
         lines = (text or "").split("\n")
