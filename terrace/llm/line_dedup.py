@@ -22,7 +22,8 @@ earlier in the order shares one with the first pairs of the other. Pairs that tw
 alone; only these are sent again with the line's place, number of words and marks, counts of its words by a few bits of
 their hashes, which bound the edits from below. Lines of a small bucket are tried by marks against every earlier one in it,
 those of a large one first against its earliest line only; what passes is verified on the words. Lines of large buckets that
-stay open after that are tried against every earlier line there.
+stay open after that are tried against the next eight, then the next 56, and at last against every earlier line there, so
+that a group of near lines costs little more than its size.
 
 Defined cases: a null text is empty and stays null; lines without words stay; rows with a null key are left as they are;
 rows that share a key count as one document; a document may lose all its lines and then has an empty text. Keys are whole
@@ -47,6 +48,8 @@ from terrace.llm.shared import count_slices, dropped, extended, written
 MIN_WORDS = 5
 #: Marks by which pairs of lines are passed over, a power of two, and the count that tells nothing more; the longer of two lines from which on shared runs of RUN words (two: _prefix counts on it) find them, below it variants; lines of a small bucket.
 MARKS, FULL, LONG_WORDS, RUN, FEW = 64, 15, 2 * MIN_WORDS, 2, 16
+#: Places in a large bucket from which on, turn by turn, earlier lines are tried by the lines that are still open.
+TURNS = (1, 9, 65)
 _U = np.uint64
 _FRONT, _BACK, _PLACE, _SHORT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3)
 
@@ -448,25 +451,34 @@ def near_long_lines(frame: DataFrame) -> DataFrame:
             for parts in blocks.gathered([batch]).values():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(blocks.joined(parts)["h"]).view(np.int64))], ["h"])
 
-    still = written(rows.filter("shard >= 0").mapInArrow(members, "h long").distinct().join(first, "h", "left_anti"), "open")
-    open_ = sc.broadcast(bloom.build(still, "h"))
-
-    def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (p for parts in blocks.gathered([batch]).values() for p in parts):
-                x, start, _ = _in_buckets([part])
-                at = np.flatnonzero(np.arange(len(start)) - start > 1)
-                at = at[bloom.may_hold(open_.value, x["h"][at])]
-                others = at - start[at] - 1  # the earliest has been tried
-                for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
-                    i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + 1, others[a:b])
-                    fits = _may_be_near(x, i, j)
-                    yield _distinct_pairs(x, i[fits], j[fits])
-
-    pairs = rows.filter("shard >= 0").mapInArrow(earlier, "h long, by long").distinct()
-    out = first.union(_verified_long(frame, written(pairs, "pairs")))
-    dropped(rows, still)
-    return out
+    def earlier(open_, low: int, high: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Open lines of large buckets with the earlier lines there from the low-th on, up to the high-th."""
+            for batch in batches:
+                for part in (p for parts in blocks.gathered([batch]).values() for p in parts):
+                    x, start, _ = _in_buckets([part])
+                    at = np.flatnonzero(np.arange(len(start)) - start > low)
+                    at = at[bloom.may_hold(open_.value, x["h"][at])]
+                    others = (at - start[at] if high is None else np.minimum(at - start[at], high)) - low
+                    for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
+                        i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + low, others[a:b])
+                        fits = _may_be_near(x, i, j)
+                        yield _distinct_pairs(x, i[fits], j[fits])
+
+        return run
+
+    large = rows.filter("shard >= 0")
+    several = written(large.mapInArrow(members, "h long").distinct(), "members")
+    found = first
+    for low, high in zip(TURNS, (*TURNS[1:], None)):
+        still = written(several.join(found, "h", "left_anti"), "open")
+        open_ = sc.broadcast(bloom.build(still, "h"))
+        pairs = written(large.mapInArrow(earlier(open_, low, high), "h long, by long").distinct(), "pairs")
+        dropped(still)
+        if not pairs.isEmpty():
+            found = found.union(_verified_long(frame, pairs))
+    dropped(rows, several)
+    return found
 
 
 def _verified_long(frame: DataFrame, pairs: DataFrame) -> DataFrame:
