@@ -2,15 +2,17 @@
 
 Tokens are the lower-cased words of a text and one end; two begins stand before the first. All three orders are recursive:
 trigrams u v w by their counts, pairs v w by how many words u precede them, words w by how many words v precede them, and
-what each order's three discounts leave goes to the order below, at last to the uniform share. A context u v that occurs
-once tells of one place only and has no trigram order: there the pairs' order stands, and all shares still add up to one.
+what each order's three discounts leave goes to the order below, at last to the uniform share. With ``every_context`` all
+contexts have their trigram order. Without it a context u v that occurs once has none: there the pairs' order stands, and all
+shares still add up to one.
 
 Training is three passes of the same shape: tasks add up what their texts hold, deal it as packed blocks to shards by hash,
-and each shard writes its sorted arrays. (1) Pairs, by first word: their hashes, and which of them occur more than once.
+and each shard writes its sorted arrays. (1) Pairs, by first word: their hashes, which of them occur more than once, and, with
+``every_context``, 32 bits of the one pair that follows each of the others: its trigram, count and context in one.
 (2) Trigrams of contexts that do: their hashes with counts, and the contexts with totals; texts are read again and contexts
 looked up in the mapped files of (1), in ROUNDS turns with a share of the contexts each. A trigram of a context that occurs
 once is itself unique, so it goes straight into the count of (3). (3) Pairs' counts of words before them, with totals by
-first word. Scoring tasks map the files and look sorted batches of hashes up in them; nothing but file names and a row of
+first word, in the order of (1), whose files stay. Scoring tasks map the files and look sorted batches of hashes up in them; nothing but file names and a row of
 totals is sent to a worker, whatever the corpus.
 
 A pair or trigram is dealt out only after its task has added it up, so that a frequent word brings one entry for each distinct
@@ -20,7 +22,8 @@ largest shard of pairs grows with the words that follow the most frequent one, n
 
 Defined cases: a null or empty text is one end token; with no training text every token is unknown, of which base and
 model know only the uniform share; repeated rows count as often as they occur; a null key is held out; texts of any length
-are taken in slices of tokens. Hashes have 64 bits; words, pairs or trigrams that share one would be counted together.
+are taken in slices of tokens. Hashes have 64 bits; words, pairs or trigrams that share one would be counted together. Of a
+text held out, another word than the one known after a context seen once passes for it once in 2 ** 32 times.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from terrace.llm import blocks
 from terrace.llm import textkernels as K
 from terrace.llm.arrayfile import map_shared, pack_arrays, write_shared
-from terrace.llm.shared import count_slices, dropped, extended, released, removed, shared_dir, written
+from terrace.llm.shared import count_slices, dropped, extended, released, shared_dir, written
 
 _U = np.uint64
 BEGIN, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
@@ -130,8 +133,8 @@ def taken(held: dict[str, np.ndarray], name: str, spot: np.ndarray) -> np.ndarra
     return out
 
 
-def count_pairs(texts: DataFrame, bits: int) -> DataFrame:
-    """Blocks of (first, second, count) for each shard of first words."""
+def count_pairs(texts: DataFrame, bits: int, every_context: bool = False) -> DataFrame:
+    """Blocks of (first, second, count) for each shard of first words, and what follows a pair that is alone in its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -139,12 +142,15 @@ def count_pairs(texts: DataFrame, bits: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             first, second = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             held.clear()
-            _, at, (n,) = _added(pair_hash(first, second), np.ones(len(first), np.int64))
+            pair = pair_hash(first, second)
+            _, at, (n,) = _added(pair, np.ones(len(first), np.int64))
             at = at[(order := np.argsort(first[at], kind="stable"))]
             first, second, n = first[at], second[at], n[order]
+            after = pair[np.minimum(at + 1, len(pair) - 1)].astype(np.uint32)
             # each run of a first word is sent once
             for a, b, runs in _runs(first, shards := blocks.shard_of(first, bits)):
-                yield _row(int(shards[a]), {"first": first[a:b][runs], "run": blocks.slim(np.diff(np.append(runs, b - a))), "second": second[a:b], "n": blocks.slim(n[a:b])})
+                own = {"after": after[a:b][n[a:b] == 1]} if every_context else {}
+                yield _row(int(shards[a]), {"first": first[a:b][runs], "run": blocks.slim(np.diff(np.append(runs, b - a))), "second": second[a:b], "n": blocks.slim(n[a:b]), **own})
 
         size = 0
         for batch in batches:
@@ -162,22 +168,30 @@ def count_pairs(texts: DataFrame, bits: int) -> DataFrame:
     return texts.mapInArrow(run, blocks.SCHEMA)
 
 
-def write_pairs(dealt: DataFrame, folder: str, bits: int) -> DataFrame:
-    """Writes each shard's pairs; gives blocks of (word, continuations, count) for the shards of second words, and totals."""
+def write_pairs(dealt: DataFrame, folder: str, bits: int, every_context: bool = False) -> DataFrame:
+    """Writes each shard's pairs; gives blocks of (word, continuations, count) for the shards of second words, and totals:
+    tokens, texts, and contexts that occur once, each with its one trigram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in blocks.gathered(batches).items():
             first = np.concatenate([np.repeat(x["first"], x["run"]) for x in parts])
             second = np.concatenate([x["second"] for x in parts])
             n = np.concatenate([x["n"].astype(np.int64) for x in parts])
+            own = {}
+            if every_context:
+                after = np.zeros(len(n), np.uint32)
+                after[n == 1] = np.concatenate([x["after"] for x in parts])
             keys, at, (n,) = _added(pair_hash(first, second), n)
             first, second = first[at], second[at]
             words, of = np.unique(first, return_inverse=True)
             many = n > 1
-            write_shared(f"{folder}/seen/{shard:06d}", pack_arrays({"pair": keys, "many": np.packbits(many), "first": words, "single": np.bincount(of[~many], minlength=len(words)).astype(np.int64), "of": of[many].astype(np.uint32)}))
+            if every_context:
+                own = {"after": after[at[~many]], "rank": (np.cumsum(~many) - ~many)[::64]}
+            packed = np.packbits(np.pad(many, (0, -len(many) % 64)))
+            write_shared(f"{folder}/seen/{shard:06d}", pack_arrays({"pair": keys, "many": packed, "first": words, "single": np.bincount(of[~many], minlength=len(words)).astype(np.int64), "of": of[many].astype(np.uint32), **own}))
             after, _, (kinds, count) = _added(second, np.ones(len(second), np.int64), n)
             yield blocks.dealt(blocks.shard_of(after, bits), {"word": after, "kinds": blocks.slim(kinds), "n": blocks.slim(count)})
-            yield _row(-1, {"totals": np.array([n.sum(), n[first == BEGIN].sum()], np.int64)})
+            yield _row(-1, {"totals": np.array([n.sum(), n[first == BEGIN].sum(), (~many & (second != END)).sum()], np.int64)})
 
     return dealt.mapInArrow(run, blocks.SCHEMA)
 
@@ -277,7 +291,8 @@ def write_triples(dealt: DataFrame, folder: str, bits: int) -> DataFrame:
 
 
 def write_before(dealt: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard's pairs with their counts of words before them, and totals by first word; gives counts of 1 to 4."""
+    """Writes the counts of words before each shard's pairs, in the order of its file of pairs, and totals by first word; gives
+    counts of 1 to 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in blocks.gathered(batches).items():
@@ -290,7 +305,7 @@ def write_before(dealt: DataFrame, folder: str) -> DataFrame:
             k = np.ones(len(held["pair"]), np.int64)  # what occurs once has one word before it
             k[many] = n[np.searchsorted(pairs, held["pair"][many])] if len(many) else 1
             of, size = held["of"].astype(np.int64), len(held["first"])
-            columns = {"pair": held["pair"], **narrow("k", k), "first": held["first"]}
+            columns = narrow("k", k)
             for name, hit in (("total", k[many]), ("one", k[many] == 1), ("two", k[many] == 2), ("more", k[many] >= 3)):
                 columns |= narrow(name, np.bincount(of, weights=hit, minlength=size).astype(np.int64) + (held["single"] if name in ("total", "one") else 0))
             write_shared(f"{folder}/pairs/{shard:06d}", pack_arrays(columns))
@@ -322,6 +337,7 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_left: float  # the share that discounting leaves to the uniform distribution
+    every_context: bool  # whether contexts that occur once have a trigram order
 
 
 def _totals(made: DataFrame, n: int) -> list[int]:
@@ -329,7 +345,7 @@ def _totals(made: DataFrame, n: int) -> list[int]:
     return np.sum([blocks.unpack_arrays(memoryview(r[0]))["totals"] for r in found], axis=0).tolist() if found else [0] * n
 
 
-def train(texts: DataFrame, text: str = "text") -> Model:
+def train(texts: DataFrame, text: str = "text", every_context: bool = False) -> Model:
     """Count ``texts`` and write the model into the shared folder."""
     spark = texts.sparkSession
     own = texts.select(F.col(text).cast("string").alias("text"))
@@ -337,24 +353,28 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     folder, bits = shared_dir(spark, "kneser-ney"), min(max(0, (max(count_slices(spark), size // SHARD_BYTES) - 1).bit_length()), HEAD)
     shards = 1 << bits
     by_shard = lambda df, n=shards: df.repartitionById(n, F.col("shard"))
-    made = written(write_pairs(by_shard(count_pairs(own, bits)), folder, bits), "words")
-    n, rows = _totals(made, 2)
+    made = written(write_pairs(by_shard(count_pairs(own, bits, every_context)), folder, bits, every_context), "words")
+    n, rows, alone = _totals(made, 3)
     with released(spark):
         v, kinds, *k = (x or 0 for x in write_words(by_shard(made.filter("shard >= 0")), folder).groupBy().sum().collect()[0])
     dropped(made)
-    before = [written(write_triples(by_shard(count_triples(own, folder, bits, rows > 1, turn), 2 * shards), folder, bits), "before") for turn in range(ROUNDS)]
+    before = [written(write_triples(by_shard(count_triples(own, folder, bits, rows > 1 or every_context, turn), 2 * shards), folder, bits), "before") for turn in range(ROUNDS)]
     made = reduce(DataFrame.unionByName, before)
     triples = _totals(made, 4)
+    triples[0] += alone if every_context else 0
     # every shard of pairs is finished, also one without a pair that occurs twice
     none = bytearray(pack_arrays({"pair": np.empty(0, _U), "before": np.empty(0, np.int64)}))
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(none).alias("block"))
     with released(spark):
         pairs = [x or 0 for x in write_before(by_shard(made.filter("shard >= 0").unionByName(every)), folder).groupBy().sum().collect()[0]]
     dropped(*before)
-    removed(spark, f"{folder}/seen")
     low = discounts(*k)
     left = (low[0] * k[0] + low[1] * k[1] + low[2] * (v - k[0] - k[1])) / kinds if kinds else 1.0
-    return Model(folder, bits, n, v, kinds, discounts(*triples), discounts(*pairs), low, left)
+    return Model(folder, bits, n, v, kinds, discounts(*triples), discounts(*pairs), low, left, every_context)
+
+
+def _many(held: dict[str, np.ndarray], spot: np.ndarray) -> np.ndarray:
+    return (held["many"][spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
 
 
 class Files:
@@ -367,6 +387,8 @@ class Files:
         if (kind, k) not in self.files:
             try:
                 self.files[kind, k] = map_shared(f"{self.folder}/{kind}/{k:06d}")
+                if kind == "pairs":  # counts are in the order of the keys
+                    self.files[kind, k] |= map_shared(f"{self.folder}/seen/{k:06d}")
             except FileNotFoundError:  # nothing fell into this shard
                 self.files[kind, k] = None
         return self.files[kind, k]
@@ -398,9 +420,22 @@ class Files:
         """Whether each pair occurs more than once."""
         out = np.zeros(len(pairs), bool)
         for held, some, spot in self._spots("seen", "pair", pairs, pairs):
-            out[some] = (held["many"][spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
+            out[some] = _many(held, spot)
         return out
 
+    def alone(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair occurs once, and the bits of the pair that follows it then."""
+        out, after = np.zeros(len(pairs), bool), np.zeros(len(pairs), np.uint32)
+        for held, some, spot in self._spots("pairs", "pair", pairs, pairs):
+            once = ~_many(held, spot)
+            some, spot = some[once], spot[once]
+            # pairs before it that occur once: those before its word of 64 bits, and the bits in front of its own
+            inside = spot & 63
+            word = held["many"].view(">u8")[spot >> 6].astype(_U)
+            place = held["rank"][spot >> 6] + inside - np.bitwise_count(word >> _U(1) >> (63 - inside).astype(_U))
+            out[some], after[some] = True, held["after"][place]
+        return out, after
+
 
 STATS = ("total", "one", "two", "more")
 
@@ -441,6 +476,14 @@ class Lookup(Files):
         (c,) = self.find("triples", "triple", triple, K.mix(context[known][at]), ("n",))
         c_all = np.zeros(len(pair), np.int64)
         c_all[known] = c[back]
+        if m.every_context:
+            alone, after = self.alone(pairs)
+            once = np.zeros(len(pair), bool)
+            once[1:] = alone[pair_back[:-1]]
+            once[starts] = False
+            once = np.flatnonzero(once)
+            stats[0][once] = stats[1][once] = 1  # total and one
+            c_all[once] = after[pair_back[once - 1]] == pair[once].astype(np.uint32)
         return n[w], base[w], np.log10(_share(c_all, stats, m.triple_discounts, two))
 
 
@@ -489,6 +532,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return frame.mapInArrow(run, schema)
 
 
-def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", every_context: bool = False) -> DataFrame:
     """A model of the rows that aren't held out, and all rows' scores."""
-    return score(docs, train(docs.filter(~held_out(F.col(key))), text), key, text)
+    return score(docs, train(docs.filter(~held_out(F.col(key))), text, every_context), key, text)

@@ -20,7 +20,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return kneser_ney.train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"), every_context=True)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

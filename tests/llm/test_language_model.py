@@ -1,9 +1,11 @@
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from plain_llm import KneserNey, documents, held_out, words
 from pyspark.sql import functions as F
 
-from terrace.llm import kneser_ney
+from terrace.llm import kneser_ney, queries
 
 TEXTS = ["the cat sat on the mat", "The cat ran", "", None, "a dog sat on the mat and the cat sat on a dog", "unseen words here", "the " * 300, "on the mat", "on the mat", "é È ẞ tab\tand\nline"] * 3 + ["x y z " * 5000]
 
@@ -55,3 +57,33 @@ def test_empty_tables_and_clashing_columns(spark):
     assert kneser_ney.train_and_score(docs.filter("false")).count() == 0
     lone = spark.createDataFrame([(None, "the cat")], "doc_id long, text string")
     assert kneser_ney.score(lone, model).first()["held_out"] is True
+
+
+class WholeKneserNey(KneserNey):
+    """The plain model with the trigrams of contexts seen once, too."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        triples = Counter(t for x in texts for tokens in [["<s>", "<s>", *words(x), "</s>"]] for t in zip(tokens, tokens[1:], tokens[2:]))
+        self.counts[2], self.follow[2] = triples, defaultdict(list)
+        for (a, b, _), c in triples.items():
+            self.follow[2][a, b].append(c)
+        self.d[2] = self.discounts(triples)
+
+
+@pytest.mark.parametrize("texts", [TEXTS, ["a b c d e", "a b c x e", "b c", None], [f"w{i} v{i % 90} u{i % 7} t{i}" for i in range(400)]])
+def test_contexts_seen_once_have_trigrams(spark, texts):
+    model = WholeKneserNey([t for i, t in enumerate(texts) if not held_out(i)])
+    rows = kneser_ney.train_and_score(documents(spark, texts), every_context=True).collect()
+    assert [r["score"] for r in rows] == pytest.approx([model.score(texts[r["doc_id"]]) for r in rows], rel=1e-9)
+    lone = kneser_ney.score(documents(spark, texts), kneser_ney.train(documents(spark, texts[:1]), every_context=True)).collect()
+    assert [r["score"] for r in lone] == pytest.approx([WholeKneserNey(texts[:1]).score(texts[r["doc_id"]]) for r in lone], rel=1e-9)
+
+
+def test_query_scores_with_every_context(spark):
+    """The registered query leaves no trigram out."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = WholeKneserNey([t for k, t in texts.items() if not held_out(k)])
+    for r in queries.op2_kneser_ney(spark, "/root/testdata/sf0.001").collect():
+        assert r["score"] == pytest.approx(model.score(texts[r["doc_id"]]), rel=1e-9)
