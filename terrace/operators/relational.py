@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
@@ -22,14 +23,37 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, values:
     return met.select("_row.*", *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
+#: Rows of a cell that a block of a range join takes from either side; pairs to try for each of its tasks; most tasks.
+BLOCK_ROWS, TASK_PAIRS, MOST_TASKS = 4096, 1 << 24, 1 << 14
+
+
 def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
     """Points with the intervals [low, high) they lie in, by an equi-join on cells of ``width``.
 
-    Intervals enter each cell they touch, so the width should be near their usual length.
+    Intervals enter each cell they touch, so the width should be near their usual length. The points and the intervals of a
+    full cell are dealt by hash to parts of about BLOCK_ROWS, and each part meets each in a block of its own: pairs grow with the
+    product of both sides, but no task has more of them than its share, and rows are copied once for BLOCK_ROWS of their pairs.
+    Equal rows share a part.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
     cells = intervals.filter(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    return points.withColumn("_cell", cell(at)).join(cells, "_cell").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
+    placed = points.withColumn("_cell", cell(at)).filter("_cell IS NOT NULL")
+    parts = lambda df, name: df.groupBy("_cell").agg(F.count("*").alias(name))
+    full = parts(placed, "_n").join(parts(cells, "_m"), "_cell")
+    pairs = full.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(pairs // TASK_PAIRS), MOST_TASKS))
+    grid = full.select("_cell", *[F.ceil(F.col(c) / BLOCK_ROWS).alias(c) for c in ("_n", "_m")])
+
+    def dealt(df: DataFrame, columns: list[str], own: str, other: str, own_part: str, other_part: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*columns), F.col(own)).alias(own_part)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other_part)
+        return df.join(grid, "_cell").select(*df.columns, part, every).repartition(tasks, "_cell", "_point_part", "_interval_part")
+
+    plain = lambda df: [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    block = ["_cell", "_point_part", "_interval_part"]
+    left = dealt(placed, plain(points), "_n", "_m", "_point_part", "_interval_part")
+    right = dealt(cells, plain(intervals), "_m", "_n", "_interval_part", "_point_part")
+    return left.join(right, block).filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop(*block)
 
 
 def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hint: str | None = None) -> DataFrame:

@@ -114,3 +114,16 @@ def test_relational(spark):
     points = spark.createDataFrame([(-1.0,), (0.0,), (10.0,), (34.9,), (35.0,)], "x double")
     assert sorted((r["x"], r["name"]) for r in relational.range_join(points, spans, "x", "low", "high", 7.0).collect()) == [(0.0, "p"), (10.0, "q"), (34.9, "q")]
     assert relational.rollup(a, ["k"], "t").count() == 3
+
+
+def test_range_join_of_a_full_cell_is_many_tasks(spark, monkeypatch):
+    """All points and intervals in one cell: each pair once, in any of the blocks, and no task with more than its share."""
+    monkeypatch.setattr(relational, "BLOCK_ROWS", 50)
+    points = spark.range(1000).select(F.col("id").alias("p"), (F.col("id") % 97 / 10).alias("x"))
+    spans = spark.range(300).select(F.col("id").alias("i"), (F.col("id") % 9).cast("double").alias("low"), (F.col("id") % 9 + 1.5).alias("high"))
+    met = relational.range_join(points, spans.union(spark.createDataFrame([(-1, None, 3.0), (-2, 4.0, 1.0)], "i long, low double, high double")), "x", "low", "high", 20.0)
+    wanted = points.join(spans, (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+    assert met.columns == wanted.columns
+    assert sorted(met.select("p", "i").collect()) == sorted(wanted.select("p", "i").collect())
+    shares = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 2 and max(shares) < 0.7 * sum(shares)
