@@ -23,7 +23,9 @@ alone; only these are sent again with the line's place, number of words and mark
 their hashes, which bound the edits from below. Lines of a small bucket are tried by marks against every earlier one in it,
 those of a large one first against its earliest line only; what passes is verified on the words. Lines of large buckets that
 stay open after that are tried against the next eight, then the next 56, and at last against every earlier line there, so
-that a group of near lines costs little more than its size.
+that a group of near lines costs little more than its size. What passes the marks in these turns is also held against finer
+marks, which lie in files, once for each line of a large bucket: lines that share a group's words, but not enough of them to
+be near, are told apart by these before a pair is made.
 
 Defined cases: a null text is empty and stays null; lines without words stay; rows with a null key are left as they are;
 rows that share a key count as one document; a document may lose all its lines and then has an empty text. Keys are whole
@@ -42,12 +44,15 @@ from pyspark.sql import functions as F
 
 from terrace.llm import blocks, bloom
 from terrace.llm import textkernels as K
-from terrace.llm.shared import count_slices, dropped, extended, written
+from terrace.llm.arrayfile import map_shared, pack_arrays, write_shared
+from terrace.llm.shared import count_slices, dropped, extended, released, removed, shared_dir, written
 
 #: Lines with fewer than MIN_WORDS words have no near ones; of MIN_WORDS * e words and more, near ones are up to e edits away.
 MIN_WORDS = 5
-#: Marks by which pairs of lines are passed over, a power of two, and the count that tells nothing more; the longer of two lines from which on shared runs of RUN words (two: _prefix counts on it) find them, below it variants; lines of a small bucket.
+#: Marks by which pairs of lines are passed over, a power of two, and the count at which they end; the longer of two lines from which on shared runs of RUN words (two: _prefix counts on it) find them, below it variants; lines of a small bucket.
 MARKS, FULL, LONG_WORDS, RUN, FEW = 64, 15, 2 * MIN_WORDS, 2, 16
+#: Finer marks of lines in large buckets, a power of two, and the count at which they end; lines of a file of them.
+FINE, FINE_FULL, FINE_LINES = 512, 3, 1 << 16
 #: Places in a large bucket from which on, turn by turn, earlier lines are tried by the lines that are still open.
 TURNS = (1, 9, 65)
 _U = np.uint64
@@ -381,16 +386,91 @@ def _may_be_near(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
         a, b = x["marks"][p[fits]], x["marks"][q[fits]]
         more = less = 0
         for u, v in ((a & FULL, b & FULL), (a >> 4, b >> 4)):
-            # an edit takes one word from its mark, gives one to another, or both
-            known = (u < FULL) & (v < FULL)
-            more = more + np.where(known & (u > v), u - v, 0).sum(1, dtype=np.int32)
-            less = less + np.where(known & (v > u), v - u, 0).sum(1, dtype=np.int32)
+            # an edit takes one word from its mark, gives one to another, or both; counts cut at FULL differ by less, if at all
+            more = more + np.where(u > v, u - v, 0).sum(1, dtype=np.int32)
+            less = less + np.where(v > u, v - u, 0).sum(1, dtype=np.int32)
         held = np.zeros(len(p), bool)
         held[fits[np.maximum(more, less) <= most[fits]]] = True
         out.append(held)
     return np.concatenate([*out, np.empty(0, bool)])
 
 
+def _fine_marks(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many words of each line fall to each finer mark, two bits each."""
+    out = np.empty((len(first), FINE // 4), np.uint8)
+    for k in range(0, len(first), 1 << 11):
+        n = size[k : k + (1 << 11)]
+        # the bits that MARKS does not use
+        spot = np.repeat(np.arange(len(n)), n) * FINE + ((words[K.ragged_positions(first[k : k + (1 << 11)], n)] >> _U(32)) & _U(FINE - 1)).astype(np.int64)
+        count = np.minimum(np.bincount(spot, minlength=len(n) * FINE), FINE_FULL).astype(np.uint8).reshape(len(n), 4, FINE // 4)
+        out[k : k + (1 << 11)] = count[:, 0] | count[:, 1] << 2 | count[:, 2] << 4 | count[:, 3] << 6
+    return out
+
+
+def _write_fine(frame: DataFrame, wanted: DataFrame) -> tuple[str, int]:
+    """Writes the finer marks of the long lines wanted to files by hash; gives their folder and the bits that tell the file."""
+    spark = frame.sparkSession
+    folder, bits = shared_dir(spark, "fine-marks"), min((wanted.count() // FINE_LINES).bit_length(), 14)
+    filter_words = spark.sparkContext.broadcast(bloom.build(wanted, "h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = K.buffers(batch.column(1))
+            for a, b in K.slices(offsets):
+                _, _, _, first, last, seq, h = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                long = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
+                pick = long[np.unique(h[long], return_index=True)[1]]  # in order of hash, and so of file
+                pick = pick[bloom.may_hold(filter_words.value, h[pick])] if len(pick) else pick
+                if len(pick):
+                    words = np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]
+                    yield blocks.dealt(blocks.shard_of(h[pick], bits), {"h": h[pick], "fine": _fine_marks(words, first[pick], last[pick] - first[pick])})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in blocks.gathered(batches).items():
+            x = blocks.joined(parts)
+            h, once = np.unique(x["h"], return_index=True)
+            write_shared(f"{folder}/{shard:06d}", pack_arrays({"h": h, "fine": x["fine"][once]}))
+            yield pa.RecordBatch.from_arrays([pa.array([len(h)])], ["n"])
+
+    with released(spark):
+        frame.mapInArrow(run, blocks.SCHEMA).repartitionById(1 << bits, F.col("shard")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return folder, bits
+
+
+class FineMarks:
+    """A worker's mapped files of finer marks."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits, self.files = folder, bits, {}
+
+    def _rows(self, h: np.ndarray) -> np.ndarray:
+        out = np.empty((len(h), FINE // 4), np.uint8)
+        shards = blocks.shard_of(h, self.bits)
+        for k in np.unique(shards).tolist():
+            if k not in self.files:
+                self.files[k] = map_shared(f"{self.folder}/{k:06d}")
+            some = np.flatnonzero(shards == k)
+            out[some] = self.files[k]["fine"][np.searchsorted(self.files[k]["h"], h[some])]
+        return out
+
+    def may_be_near(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the finer marks, too, allow lines i and j to be near."""
+        out = np.empty(len(i), bool)
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            lines, back = np.unique(np.concatenate([x["h"][p], x["h"][q]]), return_inverse=True)
+            rows = self._rows(lines)
+            a, b = back[: len(p)], back[len(p) :]
+            more = less = 0
+            for s in (0, 2, 4, 6):
+                layer = (rows >> s & FINE_FULL).astype(np.int8)
+                d = layer[a] - layer[b]
+                more = more + np.maximum(d, 0).sum(1, dtype=np.int32)
+                less = less + np.maximum(-d, 0).sum(1, dtype=np.int32)
+            out[k : k + (1 << 16)] = np.maximum(more, less) <= np.maximum(x["n"][p], x["n"][q]) // MIN_WORDS
+        return out
+
+
 def _in_buckets(parts: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Rows of a shard by bucket, each line once, the earliest first; where each row's bucket begins and how many rows it has."""
     x = blocks.joined(parts)
@@ -454,6 +534,7 @@ def near_long_lines(frame: DataFrame) -> DataFrame:
     def earlier(open_, low: int, high: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Open lines of large buckets with the earlier lines there from the low-th on, up to the high-th."""
+            finer = FineMarks(*fine)
             for batch in batches:
                 for part in (p for parts in blocks.gathered([batch]).values() for p in parts):
                     x, start, _ = _in_buckets([part])
@@ -462,14 +543,16 @@ def near_long_lines(frame: DataFrame) -> DataFrame:
                     others = (at - start[at] if high is None else np.minimum(at - start[at], high)) - low
                     for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
                         i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + low, others[a:b])
-                        fits = _may_be_near(x, i, j)
+                        fits = np.flatnonzero(_may_be_near(x, i, j))
+                        fits = fits[np.unique(K.mix(x["h"][i[fits]]) ^ x["h"][j[fits]], return_index=True)[1]]
+                        fits = fits[finer.may_be_near(x, i[fits], j[fits])]
                         yield _distinct_pairs(x, i[fits], j[fits])
 
         return run
 
     large = rows.filter("shard >= 0")
     several = written(large.mapInArrow(members, "h long").distinct(), "members")
-    found = first
+    found, fine = first, _write_fine(frame, several)
     for low, high in zip(TURNS, (*TURNS[1:], None)):
         still = written(several.join(found, "h", "left_anti"), "open")
         open_ = sc.broadcast(bloom.build(still, "h"))
@@ -478,6 +561,7 @@ def near_long_lines(frame: DataFrame) -> DataFrame:
         if not pairs.isEmpty():
             found = found.union(_verified_long(frame, pairs))
     dropped(rows, several)
+    removed(frame.sparkSession, fine[0])
     return found
 
 

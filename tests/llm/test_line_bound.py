@@ -53,3 +53,33 @@ def test_bound_grows_with_the_line(spark):
 def test_distance(a, b, most):
     assert line_dedup.distance(a, b) == plain_distance(a, b)
     assert line_dedup.within_edits(np.array(a, int), np.array(b, int), most) == (plain_distance(a, b) <= most)
+
+
+def test_lines_of_one_group_are_told_apart_before_pairs_are_made():
+    """Lines with one passage in common, each too far from the others: the marks alone let them pass, finer ones don't."""
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    lines = [np.concatenate([common, rng.integers(0, 1 << 63, 20).astype(np.uint64)]) for _ in range(40)]
+    lines.append(np.concatenate([lines[0][:-1], lines[1][-1:]]))  # near the first
+    words = np.concatenate(lines)
+    size = np.array([len(x) for x in lines])
+    first = np.cumsum(size) - size
+    x = {"n": size, "h": np.arange(len(lines)).astype(np.uint64), "words": words, "first": first, "size": size}
+    x["marks"] = line_dedup._marks(x, np.arange(len(lines)))
+    held = line_dedup.FineMarks("", 0)
+    rows = line_dedup._fine_marks(words, first, size)
+    held._rows = lambda h: rows[h.astype(np.int64)]
+    i, j = np.triu_indices(len(lines), 1)
+    near = np.array([line_dedup.near(lines[a], lines[b]) for a, b in zip(i, j)])
+    coarse, fine = line_dedup._may_be_near(x, i, j), held.may_be_near(x, i, j)
+    assert near.any() and coarse[near].all() and fine[near].all()
+    assert (coarse & fine).sum() < 0.2 * coarse.sum()
+
+
+def test_counts_that_end_still_bound_the_edits():
+    """A word that fills its mark in one line and is rare in the other tells the lines apart."""
+    words = np.repeat(np.arange(2, dtype=np.uint64), [40, 40])
+    size = np.array([40, 40])
+    x = {"n": size, "words": words, "first": np.array([0, 40]), "size": size}
+    x["marks"] = line_dedup._marks(x, np.arange(2))
+    assert not line_dedup._may_be_near(x, np.array([1]), np.array([0]))[0]
