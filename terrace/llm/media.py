@@ -1,11 +1,11 @@
 """Media columns: payloads in content-defined chunks, stored once each, and rebuilt and verified from ordered lists.
 
 A rolling gear hash over the last bytes marks cuts, so that equal passages make equal chunks wherever they stand. Chunk
-digests alone are grouped by Spark to find those that occur more than once. A payload that has none of these keeps its
-chunks with its list of chunks; of the others each distinct chunk goes to the chunk store once, and their lists are
-joined with it by digest when they are read. Every chunk read is checked against its digest, every payload against its
-own. So only the bytes that payloads share ever cross the network. Which payloads may share chunks is asked of a Bloom
-filter of fixed size; a false answer costs a way through the store, nothing else.
+digests alone are grouped by Spark to find those that occur more than once. These go to the chunk store, each once; all
+other chunks stay with their payload's list of chunks, which is joined with the store by digest when it is read. Every chunk
+read is checked against its digest, every payload against its own. So a payload's own bytes are stored where it is written,
+and cross the network only to meet the chunks that it shares. Which chunks may be shared is asked of a Bloom filter; a false
+answer costs a way through the store, nothing else.
 
 A medium is a head (magic, sample bits, rate, number of chunks), the list of chunk lengths and digests, and the chunks as
 unsigned 8-bit samples. Defined cases: a null text is empty; an empty text is 64 zero bytes; repeated rows and equal texts
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm import bloom
 from terrace.llm import textkernels as K
-from terrace.llm.shared import extended, removed, shared_dir, written
+from terrace.llm.shared import extended, released, shared_dir
 
 #: Chunk bytes: least, most, and the mean distance of cuts beyond the least as a power of two.
 LEAST, MOST, SPREAD_BITS = 256, 4096, 10
@@ -93,8 +93,8 @@ def _hashes(digests: list[bytes]) -> np.ndarray:
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Writes payloads; gives (media, chunks). media: key, n_bytes, digest of the payload, ends, digests, and data where
-    no chunk is shared; chunks: digest and data, each distinct shared chunk once."""
+    """Writes payloads; gives (media, chunks). media: key, n_bytes, digest of the payload, ends, digests, and data where no
+    chunk is shared, else common (which chunks are) and rest (the others' bytes); chunks: digest and data of shared ones, once."""
     spark = docs.sparkSession
     frame = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
@@ -108,7 +108,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     # a chunk's first eight digest bytes stand for it here: at worst an unshared chunk passes for a shared one
     shared = frame.select("text").mapInArrow(digests, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     seen = spark.sparkContext.broadcast(bloom.build(shared, "h"))
-    schema = extended(frame.select("key").schema, "n_bytes long, digest binary, ends array<int>, digests array<binary>, data binary, joint boolean")
+    schema = extended(frame.select("key").schema, "n_bytes long, digest binary, ends array<int>, digests array<binary>, data binary, common array<boolean>, rest binary, joint boolean")
 
     def media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = seen.value
@@ -119,6 +119,8 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
                 hits = bloom.may_hold(words, _hashes([d for _, _, ds in rows for d in ds]).view(np.uint64))
                 first = np.cumsum([0, *(len(ds) for _, _, ds in rows)])[:-1]
                 joint = np.logical_or.reduceat(hits, first)
+                common = [hits[f : f + len(ds)].tolist() for f, (_, _, ds) in zip(first, rows)]
+                rest = [b"".join(body[s:e] for s, e, c in zip([0, *ends], ends, cs) if not c) if j else None for (body, ends, _), cs, j in zip(rows, common, joint)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -126,24 +128,30 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
                         pa.array([hashlib.sha256(body).digest() for body, _, _ in rows], pa.binary()),
                         pa.array([ends for _, ends, _ in rows], pa.list_(pa.int32())),
                         pa.array([ds for _, _, ds in rows], pa.list_(pa.binary())),
-                        pa.array([bytes(body) for body, _, _ in rows], pa.binary()),
+                        pa.array([None if j else bytes(body) for (body, _, _), j in zip(rows, joint)], pa.binary()),
+                        pa.array([c if j else None for c, j in zip(common, joint)], pa.list_(pa.bool_())),
+                        pa.array(rest, pa.binary()),
                         pa.array(joint),
                     ],
                     schema.names,
                 )
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = seen.value
+        for batch in batches:
+            buf, offsets = K.buffers(batch.column(0))
+            for a, b in K.slices(offsets):
+                rows = list(split(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                hits = iter(bloom.may_hold(words, _hashes([d for _, _, ds in rows for d in ds]).view(np.uint64)).tolist())
+                found = {d: bytes(body[s:e]) for body, ends, ds in rows for s, e, d in zip([0, *ends], ends, ds) if next(hits)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["digest", "data"])
+
     folder = shared_dir(spark, "media")
     frame.mapInArrow(media, schema).write.option("compression", "zstd").partitionBy("joint").parquet(folder)
-    raw = spark.read.schema(schema).parquet(folder)
-    joint = raw.filter("joint")
-    pieces = joint.select(F.explode(F.arrays_zip("digests", "ends", F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("starts"))).alias("c"), "data")
-    pieces = pieces.select(F.col("c.digests").alias("digest"), F.substring("data", F.col("c.starts") + 1, F.col("c.ends") - F.col("c.starts")).alias("data"))
     chunks_at = shared_dir(spark, "chunks")
-    pieces.groupBy("digest").agg(F.first("data").alias("data")).write.option("compression", "zstd").parquet(chunks_at)
-    lists = written(joint.drop("data", "joint"), "chunk-lists")
-    removed(spark, f"{folder}/joint=true")  # its rows are stored as chunks and lists
-    own = spark.read.schema(schema).parquet(folder).drop("joint")
-    return own.unionByName(lists, allowMissingColumns=True), spark.read.schema("digest binary, data binary").parquet(chunks_at)
+    with released(spark):
+        frame.select("text").mapInArrow(pieces, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data")).write.option("compression", "zstd").parquet(chunks_at)
+    return spark.read.schema(schema).parquet(folder).drop("joint"), spark.read.schema("digest binary, data binary").parquet(chunks_at)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -160,19 +168,31 @@ def medium(ends: list[int], digests: list[bytes], data: bytes) -> bytes:
     return HEAD.pack(b"CHNK", 8, 8000, len(ends)) + b"".join(struct.pack("<I", n) + d for n, d in zip(sizes.tolist(), digests)) + data
 
 
+def assembled(ends: list[int], common: list[bool] | None, rest: bytes | None, parts: list[bytes]) -> bytes:
+    """A payload from the chunks that it shares, in order, and the bytes of its own ones."""
+    if common is None:
+        return b"".join(parts)
+    out, at, shared = [], 0, iter(parts)
+    for s, e, c in zip([0, *ends], ends, common):
+        out.append(next(shared) if c else rest[at : at + e - s])
+        at += 0 if c else e - s
+    return b"".join(out)
+
+
 _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _described(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Verified values of rows with digest, ends, digests and parts (the chunks in order, or the whole data)."""
+    """Verified values of rows with digest, ends, digests, common, rest and parts (shared chunks in order, or the whole data)."""
     schema = extended(rows.select(*keep).schema, _FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for digest, ends, digests, parts in zip(*(column[n] for n in ("digest", "ends", "digests", "parts"))):
-                data, ends, digests = b"".join(parts.as_py()), ends.as_py(), digests.as_py()
+            for digest, ends, digests, common, rest, parts in zip(*(column[n] for n in ("digest", "ends", "digests", "common", "rest", "parts"))):
+                ends, digests = ends.as_py(), digests.as_py()
+                data = assembled(ends, common.as_py(), rest.as_py(), parts.as_py())
                 for a, b, d in zip([0, *ends], ends, digests):
                     if hashlib.blake2b(memoryview(data)[a:b], digest_size=DIGEST).digest() != d:
                         raise ValueError("a stored chunk differs from its digest")
@@ -187,9 +207,11 @@ def _described(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def rebuild(media: DataFrame, chunks: DataFrame) -> DataFrame:
-    """digest, ends, digests and parts, the ordered chunks, of each distinct payload whose chunks are in the store."""
-    lists = media.groupBy("digest").agg(F.first("ends").alias("ends"), F.first("digests").alias("digests"))
-    wanted = lists.select(F.col("digest").alias("payload"), F.posexplode("digests").alias("place", "digest"))
+    """digest, ends, digests, common, rest and parts, the ordered shared chunks, of each distinct payload that has some."""
+    names = ("ends", "digests", "common", "rest")
+    lists = media.groupBy("digest").agg(F.first(F.struct(*names)).alias("m")).select("digest", *[F.col(f"m.{n}") for n in names])
+    places = media.dropDuplicates(["digest"]).select(F.col("digest").alias("payload"), F.posexplode(F.arrays_zip("digests", "common")).alias("place", "c")).filter("c.common")
+    wanted = places.select("payload", "place", F.col("c.digests").alias("digest"))
     found = wanted.join(chunks, "digest").groupBy("payload").agg(F.sort_array(F.collect_list(F.struct("place", "data"))).alias("c"))
     return lists.join(found.select(F.col("payload").alias("digest"), F.col("c.data").alias("parts")), "digest")
 
@@ -197,7 +219,7 @@ def rebuild(media: DataFrame, chunks: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Store every text's payload, read it back and describe it."""
     media, chunks = store(docs, key, text)
-    own = _described(media.filter("data IS NOT NULL").select("key", "n_bytes", "digest", "ends", "digests", F.array("data").alias("parts")), ["key", "n_bytes"])
+    own = _described(media.filter("data IS NOT NULL").select("key", "n_bytes", "digest", "ends", "digests", "common", "rest", F.array("data").alias("parts")), ["key", "n_bytes"])
     joint = media.filter("data IS NULL")
     values = _described(rebuild(joint, chunks), ["digest"])
     named = joint.select("key", "n_bytes", "digest").join(values, "digest").drop("digest")

@@ -35,6 +35,20 @@ def test_media_shares_chunks(spark):
     assert media.round_trip(documents(spark, []).withColumn("data", F.lit(1))).count() == 0
 
 
+def test_only_shared_chunks_leave_their_payload(spark):
+    """Unlike texts that hold one passage in common: the store has the passage's chunks, not those of the texts about it."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(12000)
+    texts = [text(30000) + passage + text(30000) for _ in range(5)]
+    kept, chunks = media.store(documents(spark, texts))
+    assert chunks.agg(F.sum(F.octet_length("data"))).first()[0] <= len(passage)
+    own = [r["rest"] for r in kept.filter("data IS NULL").collect()]
+    assert len(own) == 5 and sum(map(len, own)) < 5 * 68000
+    rows = media.round_trip(documents(spark, [*texts, texts[2]])).collect()
+    assert sorted(r["payload_sha256"] for r in rows) == sorted(hashlib.sha256(padded(t)).hexdigest() for t in [*texts, texts[2]])
+
+
 def test_cuts_move_with_the_text():
     data = np.random.default_rng(2).integers(0, 256, 60000).astype(np.uint8)
     cuts = lambda x: media.chunk_ends(len(x), media.cut_marks(x).tolist())
