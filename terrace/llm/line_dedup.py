@@ -12,21 +12,24 @@ verified on the words. Buckets of one place are cliques and buckets of a shorter
 suffices. A line goes if an earlier line, by key and then line number, is equal or near; the earliest stays.
 
 Variants are many, so lines that cannot have a partner are passed over first, exactly: two lines within one edit share
-their first or their last half words, and the keys of these halves that two lines share, like the variants' own keys that
-two lines share, are told to the tasks by a Bloom filter of fixed size, whose false answers cost time only.
+their first or their last half words. Lines that share such a half, like the variants' own keys that two lines share, are
+told to the tasks by a Bloom filter of fixed size, whose false answers cost time only.
 
 Where the longer has ten words or more, near lines are found by the pairs of neighbouring words that they share. Each
 line is known by its first pairs in one order for all lines, long words first: by so many that more of them lie apart
 than there may be edits. Then no near line can lack all of them, and of two near lines the one whose first pairs end
 earlier in the order shares one with the first pairs of the other. Pairs that two lines have are found by their hashes
-alone; only these are sent again with the line's place, number of words and marks, counts of its words by a few bits of
-their hashes, which bound the edits from below. Lines of a small bucket are tried by marks against every earlier one in it,
+alone, which with the lines' hashes make the buckets; places, numbers of words and marks of these lines, counts of their words
+by a few bits of their hashes, which bound the edits from below, lie in files, once for each line. Lines of a small bucket are tried by marks against every earlier one in it,
 those of a large one first against its earliest line only; what passes is verified on the words. Lines of large buckets that
 stay open after that are tried against the next eight, then the next 56, and at last against every earlier line there, so
 that a group of near lines costs little more than its size. What passes the marks in these turns is also held against finer
-marks, which lie in files, once for each line of a large bucket: lines that share a group's words, but not enough of them to
+marks, which lie in files, too, for the lines of large buckets: lines that share a group's words, but not enough of them to
 be near, are told apart by these before a pair is made.
 
+Texts are read where they lie and never shuffled: what goes is told by files, too, hashes of lines with the first document
+that has them, or of near ones, and each task looks up the lines of its own texts.
+
 Defined cases: a null text is empty and stays null; lines without words stay; rows with a null key are left as they are;
 rows that share a key count as one document; a document may lose all its lines and then has an empty text. Keys are whole
 numbers.
@@ -55,6 +58,9 @@ MARKS, FULL, LONG_WORDS, RUN, FEW = 64, 15, 2 * MIN_WORDS, 2, 16
 FINE, FINE_FULL, FINE_LINES = 512, 3, 1 << 16
 #: Places in a large bucket from which on, turn by turn, earlier lines are tried by the lines that are still open.
 TURNS = (1, 9, 65)
+#: Kinds of keys that are dealt; bytes of text, keys and rows of buckets handled at once, a larger bucket alone; different lines for each file of lines that go.
+LINES, HALVES, RUNS = 0, 1, 2
+SLICE, SENT, BUCKET_ROWS, GONE_LINES = 1 << 19, 1 << 19, 1 << 17, 1 << 18
 _U = np.uint64
 _FRONT, _BACK, _PLACE, _SHORT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3)
 
@@ -90,15 +96,15 @@ class Sequences:
         return K.mix(self.raw(start, end) + (end - start).astype(_U) * _PLACE)
 
 
-def line_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Sequences, np.ndarray]:
-    """Lines' starts, ends, row bounds, first and last word, the sequences of the words, and the lines' hashes (0: no word)."""
+def line_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Sequences, np.ndarray, np.ndarray]:
+    """Lines' starts, ends, row bounds, first and last word, the sequences of the words, the lines' hashes (0: no word) and the words' lengths."""
     starts, ends, at = line_spans(buf, offsets)
     spans, stops, _ = K.word_spans(buf, offsets)
     words = K.span_hashes(K.LOWER[buf], spans, stops)
     first, last = np.searchsorted(spans, starts), np.searchsorted(spans, ends)
     seq = Sequences(words)
     h = np.where(last > first, seq(first, last), _U(0))
-    return starts, ends, at, first, last, seq, h
+    return starts, ends, at, first, last, seq, h, stops - spans
 
 
 def half_keys(seq: Sequences, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -165,49 +171,167 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return within_edits(a, b, max(len(a), len(b)) // MIN_WORDS)
 
 
-def _lines(frame: DataFrame) -> DataFrame:
-    """First line of each kind in each document: hash, key, line number, and the half keys of lines that variants can find."""
+def _keys(frame: DataFrame, bits: int, near: bool) -> DataFrame:
+    """Blocks by key, of the lines' hashes with their documents, and of half keys and known runs with their lines' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[dict[str, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                columns = blocks.joined(parts)
+                order = np.argsort(columns["key"])
+                columns = {k: v[order] for k, v in columns.items()}
+                yield blocks.dealt((kind << bits) + blocks.shard_of(columns["key"], bits), columns)
+            held.clear()
+
         for batch in batches:
             buf, offsets = K.buffers(batch.column(1))
-            for a, b in K.slices(offsets):
-                _, _, at, first, last, seq, h = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b in K.slices(offsets, SLICE):
+                parsed = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                _, _, at, first, last, seq, h, _ = parsed
                 row = np.repeat(np.arange(b - a), np.diff(at))
                 real = np.flatnonzero(h != 0)
-                pick = real[np.sort(np.unique(h[real] ^ K.mix(row[real].astype(_U) + _U(1)), return_index=True)[1])]
-                keys = half_keys(seq, first[pick], last[pick]).view(np.int64)
-                size = last[pick] - first[pick]
-                long = (size >= MIN_WORDS - 1) & (size < LONG_WORDS)
-                key_at = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[pick].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row[pick])), pa.array((pick - at[row[pick]]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(key_at), pa.array(keys[long].reshape(-1)))],
-                    ["h", "doc", "line", "halves"],
-                )
+                pick = real[np.unique(h[real] ^ K.mix(row[real].astype(_U) + _U(1)), return_index=True)[1]]
+                new = {LINES: {"key": h[pick], "doc": docs[a + row[pick]]}}
+                if near:
+                    short = pick[(last[pick] - first[pick] >= MIN_WORDS - 1) & (last[pick] - first[pick] < LONG_WORDS)]
+                    new[HALVES] = {"key": half_keys(seq, first[short], last[short]).reshape(-1), "h": np.repeat(h[short], 4)}
+                    x = _known_runs(parsed)
+                    new[RUNS] = {"key": x["key"], "h": x["h"][x["owner"]]}
+                for kind, columns in new.items():
+                    held.setdefault(kind, []).append(columns)
+                    size += len(columns["key"])
+                if size >= SENT:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
-    return frame.mapInArrow(run, "h long, doc long, line int, halves array<long>")
+    return frame.mapInArrow(run, blocks.SCHEMA).repartitionById(1 << bits, F.col("shard").bitwiseAND((1 << bits) - 1))
 
 
-def _candidates(frame: DataFrame, filter_words) -> DataFrame:
-    """Lines one of whose half keys may be shared: hash, key, line number and words."""
+def _met(dealt: DataFrame, bits: int) -> DataFrame:
+    """Blocks of what lines share: hashes that several documents have, with the first of these; lines with a half key in
+    common; and the buckets of known runs, each run with its lines, for runs of two lines and more. n: different lines of a
+    block of the first kind, lines of one of the second."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def said(shard: int, columns: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack_arrays(columns)], pa.binary()), pa.array([n])], ["shard", "block", "n"])
+
+        found = blocks.gathered(batches)
+        for shard in list(found):
+            x = blocks.joined(found.pop(shard))
+            if not len(x["key"]):
+                continue
+            order = np.argsort(x["key"])
+            key, of = x["key"][order], x["doc" if "doc" in x else "h"][order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            low = np.minimum.reduceat(of, at)
+            several = low < np.maximum.reduceat(of, at)
+            if shard >> bits == LINES:
+                yield said(shard, {"h": key[at[several]], "low": low[several]}, len(at))
+                continue
+            mask = np.repeat(several, np.diff(at, append=len(key)))
+            key, of = key[mask], of[mask]
+            if shard >> bits == HALVES:
+                lines = np.unique(of)
+                yield said(shard, {"h": lines}, len(lines))
+                continue
+            at = np.append(np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)) if len(key) else np.zeros(1, np.int64)
+            for a, b in K.slices(at, BUCKET_ROWS):
+                yield said(shard, {"key": key[at[a] : at[b]], "h": of[at[a] : at[b]]}, 0)
+
+    return dealt.mapInArrow(run, blocks.SCHEMA + ", n long")
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The different lines of each block, as keys of a filter."""
+    for batch in batches:
+        for parts in blocks.gathered([batch]).values():
+            for x in parts:
+                yield {"key": np.unique(x["h"])}
+
+
+def _large_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The different lines of each block that lie in large buckets."""
+    for batch in batches:
+        for parts in blocks.gathered([batch]).values():
+            for x in parts:
+                yield {"key": np.unique(x["h"][_members(x["key"])[1] > FEW])}
+
+
+def _members(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's bucket begins and how many rows it has, of rows in the order of their buckets."""
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
+    return start, np.bincount(start, minlength=len(start))[start]
+
+
+def _write_lines(frame: DataFrame, short, long, large, folder: str, bits: int) -> DataFrame:
+    """Writes the place, size and marks of the long lines that share a run to files by hash, with finer marks of those in
+    large buckets; gives blocks of the short lines wanted with their places and words. Each line comes from its earliest place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = filter_words.value
         for batch in batches:
             buf, offsets = K.buffers(batch.column(1))
-            for a, b in K.slices(offsets):
-                _, _, at, first, last, seq, h = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b in K.slices(offsets, SLICE):
+                _, _, at, first, last, seq, h, _ = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row = np.repeat(np.arange(b - a), np.diff(at))
-                long = np.flatnonzero((last - first >= MIN_WORDS - 1) & (last - first < LONG_WORDS))
-                keys = half_keys(seq, first[long], last[long])
-                pick = long[bloom.may_hold(held, keys.reshape(-1)).reshape(-1, 4).any(1)] if len(long) else long
-                words = (np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]).view(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[pick].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row[pick])), pa.array((pick - at[row[pick]]).astype(np.int32)), K.binary_array(words, first[pick] * 8, (last[pick] - first[pick]) * 8)],
-                    ["h", "doc", "line", "words"],
-                )
+                real = np.flatnonzero(last - first >= MIN_WORDS - 1)
+                real = real[np.lexsort((real, docs[a + row[real]], h[real]))]
+                pick = real[np.r_[True, h[real][1:] != h[real][:-1]]] if len(real) else real
+                size, words = last - first, np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]
+                x = {"words": words, "first": first, "size": size}
+                place = {"h": h[pick], "doc": docs[a + row[pick]], "line": (pick - at[row[pick]]).astype(np.int32), "n": np.minimum(size[pick], 1 << 30).astype(np.int32)}
+                some = np.flatnonzero(size[pick] >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
+                some = some[bloom.may_hold(long.value, h[pick[some]])]
+                yield blocks.dealt(blocks.shard_of(h[pick[some]], bits), {k: v[some] for k, v in place.items()} | {"marks": _marks(x, pick[some])})
+                some = pick[some[bloom.may_hold(large.value, h[pick[some]])]]
+                yield blocks.dealt((1 << bits) + blocks.shard_of(h[some], bits), {"h": h[some], "fine": _fine_marks(words, first[some], size[some])})
+                some = np.flatnonzero(size[pick] < LONG_WORDS)
+                some = some[bloom.may_hold(short.value, h[pick[some]])]
+                padded = np.zeros((len(some), LONG_WORDS), _U)
+                for k in range(LONG_WORDS - 1):
+                    has = size[pick[some]] > k
+                    padded[has, k] = words[first[pick[some[has]]] + k]
+                yield blocks.dealt((2 << bits) + blocks.shard_of(h[pick[some]], bits), {k: v[some] for k, v in place.items()} | {"words": padded})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, dict[str, np.ndarray]] = {}
+        for shard, parts in sorted(blocks.gathered(batches).items()):
+            x = blocks.joined(parts)
+            order = np.lexsort((x["line"], x["doc"], x["h"])) if "doc" in x else np.argsort(x["h"])
+            h = x["h"][order]
+            order = order[np.r_[True, h[1:] != h[:-1]]]
+            x = {k: v[order] for k, v in x.items()}
+            if shard >> bits == 2:
+                yield blocks.dealt(np.zeros(len(order), np.int64), x)
+            elif shard >> bits == 1:
+                out.setdefault(shard - (1 << bits), {}).update(fine_h=x["h"], fine=x["fine"])
+            else:
+                out.setdefault(shard, {}).update(x)
+        for shard, x in out.items():
+            write_shared(f"{folder}/{shard:06d}", pack_arrays(x))
+
+    return frame.mapInArrow(run, blocks.SCHEMA).repartitionById(1 << bits, F.col("shard").bitwiseAND((1 << bits) - 1)).mapInArrow(write, blocks.SCHEMA)
+
+
+def _short_lines(rows: DataFrame) -> DataFrame:
+    """Hash, key, line number and words of lines in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parts in blocks.gathered([batch]).values():
+                for x in parts:
+                    n = x["n"].astype(np.int64)
+                    words = K.binary_array(x["words"].reshape(-1).view(np.uint8), np.arange(len(n)) * LONG_WORDS * 8, n * 8)
+                    yield pa.RecordBatch.from_arrays([pa.array(x["h"].view(np.int64)), pa.array(x["doc"]), pa.array(x["line"]), words], ["h", "doc", "line", "words"])
 
-    return frame.mapInArrow(run, "h long, doc long, line int, words binary")
+    return rows.mapInArrow(run, "h long, doc long, line int, words binary")
 
 
 def _variant_rows(lines: DataFrame, filter_words=None) -> DataFrame:
@@ -240,13 +364,9 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select(key)
 
 
-def near_lines(frame: DataFrame, lines: DataFrame) -> DataFrame:
-    """Hashes of lines that an earlier line is within the bound of."""
-    sc = frame.sparkSession.sparkContext
-    halves = lines.select(F.explode("halves").alias("half"), "h")
-    partners = sc.broadcast(bloom.build(_shared(halves, "half"), "half"))
-    found = _candidates(frame, partners)
-    found = written(found.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("p"), F.first("words").alias("words")).select("h", "p.doc", "p.line", "words"), "lines")
+def near_lines(found: DataFrame) -> DataFrame:
+    """Hashes of short lines (h, doc, line, words), each once, that an earlier one is within the bound of."""
+    sc = found.sparkSession.sparkContext
     equal = sc.broadcast(bloom.build(_shared(_variant_rows(found), "key"), "key"))
     rows = written(_variant_rows(found, equal), "variants")
     place = F.struct("doc", "line", "h")
@@ -268,22 +388,18 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "h long").distinct()
 
 
-def _long_lines(buf: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> dict[str, np.ndarray]:
-    """Row, line number, hash, first word and size of the lines that shared runs can find, each kind once in the slice, its
-    earliest by document and line; the words' hashes; and the line and hash of each run by which a line is known."""
-    _, _, at, first, last, seq, h = line_hashes(buf, offsets)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+def _known_runs(parsed: tuple) -> dict[str, np.ndarray]:
+    """Hashes of the lines that shared runs can find, each kind once in the slice; and the line and hash of each run by which a line is known. parsed: what :func:`line_hashes` gives."""
+    _, _, _, first, last, seq, h, width = parsed
     # the shorter of two lines may lack a fifth of the longer one's words
     real = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
-    real = real[np.lexsort((real, docs[row[real]], h[real]))]
-    pick = real[np.r_[True, h[real][1:] != h[real][:-1]]] if len(real) else real
+    pick = real[np.unique(h[real], return_index=True)[1]]
     size, first = last[pick] - first[pick], first[pick]
     start = K.ragged_positions(first, size - RUN + 1)
     owner = np.repeat(np.arange(len(pick)), size - RUN + 1)
     runs = seq(start, start + RUN)
-    starts, ends, _ = K.word_spans(buf, offsets)
     # one order for all lines: long words first, which are the rarer ones, then by hash
-    length = np.minimum((ends - starts)[start] + (ends - starts)[np.minimum(start + 1, len(starts) - 1)], 63) if len(start) else start
+    length = np.minimum(width[start] + width[np.minimum(start + 1, len(width) - 1)], 63) if len(start) else start
     if len(pick) < 1 << 20:
         order = np.argsort((owner.astype(_U) << _U(44)) | ((63 - length).astype(_U) << _U(38)) | (runs >> _U(26)), kind="stable")
     else:
@@ -293,7 +409,7 @@ def _long_lines(buf: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> dict[
     # a line of n words has near ones of up to 5n/4 words, n/4 edits away
     known = np.flatnonzero(rank < _prefix(rank, owner, size // (MIN_WORDS - 1))[owner]) if len(order) else order
     known = known[np.unique(runs[known] ^ K.mix(owner[known].astype(_U) + _U(1)), return_index=True)[1]]
-    return {"row": row[pick], "line": pick - at[row[pick]], "h": h[pick], "first": first, "size": size, "words": np.diff(seq.run) * seq.inverse[: len(seq.run) - 1], "owner": owner[known], "key": runs[known]}
+    return {"h": h[pick], "owner": owner[known], "key": runs[known]}
 
 
 def _prefix(rank: np.ndarray, owner: np.ndarray, edits: np.ndarray) -> np.ndarray:
@@ -320,61 +436,6 @@ def _marks(x: dict[str, np.ndarray], pick: np.ndarray) -> np.ndarray:
     return count[:, : MARKS // 2] | count[:, MARKS // 2 :] << 4
 
 
-def _dealt_runs(frame: DataFrame, bits: int, shared=None) -> DataFrame:
-    """Blocks of the runs by which lines are known, with the line's hash; of runs that may be shared only, with document, line number, size and marks too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            columns = blocks.joined(held)
-            held.clear()
-            order = np.argsort(columns["key"], kind="stable")
-            columns = {k: v[order] for k, v in columns.items()}
-            return blocks.dealt(blocks.shard_of(columns["key"], bits), columns)
-
-        for batch in batches:
-            buf, offsets = K.buffers(batch.column(1))
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in K.slices(offsets):
-                x = _long_lines(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], docs[a:b])
-                owner, key = x["owner"], x["key"]
-                if shared is not None:
-                    may = bloom.may_hold(shared.value, key)
-                    owner, key = owner[may], key[may]
-                if not len(key):
-                    continue
-                columns = {"key": key, "h": x["h"][owner]}
-                if shared is not None:
-                    lines, back = np.unique(owner, return_inverse=True)
-                    columns |= {"doc": docs[a + x["row"][owner]], "line": x["line"][owner].astype(np.int32), "n": np.minimum(x["size"][owner], 1 << 30).astype(np.int32), "marks": _marks(x, lines)[back]}
-                held.append(columns)
-                size += len(key)
-                if size >= 1 << 21:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    return frame.mapInArrow(run, blocks.SCHEMA).repartitionById(1 << bits, F.col("shard"))
-
-
-def _shared_runs(dealt: DataFrame) -> DataFrame:
-    """Runs that two different lines are known by."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in blocks.gathered(batches).values():
-            columns = blocks.joined(parts)
-            order = np.argsort(columns["key"])
-            key, h = columns["key"][order], columns["h"][order]
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            several = np.minimum.reduceat(h, at) < np.maximum.reduceat(h, at)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at[several]].view(np.int64))], ["key"])
-
-    return dealt.mapInArrow(run, "key long")
-
-
 def _may_be_near(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether sizes and marks allow lines i and j to be near; one of them is long."""
     out = []
@@ -407,52 +468,35 @@ def _fine_marks(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nd
     return out
 
 
-def _write_fine(frame: DataFrame, wanted: DataFrame) -> tuple[str, int]:
-    """Writes the finer marks of the long lines wanted to files by hash; gives their folder and the bits that tell the file."""
-    spark = frame.sparkSession
-    folder, bits = shared_dir(spark, "fine-marks"), min((wanted.count() // FINE_LINES).bit_length(), 14)
-    filter_words = spark.sparkContext.broadcast(bloom.build(wanted, "h"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = K.buffers(batch.column(1))
-            for a, b in K.slices(offsets):
-                _, _, _, first, last, seq, h = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                long = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
-                pick = long[np.unique(h[long], return_index=True)[1]]  # in order of hash, and so of file
-                pick = pick[bloom.may_hold(filter_words.value, h[pick])] if len(pick) else pick
-                if len(pick):
-                    words = np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]
-                    yield blocks.dealt(blocks.shard_of(h[pick], bits), {"h": h[pick], "fine": _fine_marks(words, first[pick], last[pick] - first[pick])})
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, parts in blocks.gathered(batches).items():
-            x = blocks.joined(parts)
-            h, once = np.unique(x["h"], return_index=True)
-            write_shared(f"{folder}/{shard:06d}", pack_arrays({"h": h, "fine": x["fine"][once]}))
-            yield pa.RecordBatch.from_arrays([pa.array([len(h)])], ["n"])
-
-    with released(spark):
-        frame.mapInArrow(run, blocks.SCHEMA).repartitionById(1 << bits, F.col("shard")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
-    return folder, bits
-
-
-class FineMarks:
-    """A worker's mapped files of finer marks."""
+class LineFiles:
+    """A worker's mapped files of long lines, by hash."""
 
     def __init__(self, folder: str, bits: int):
         self.folder, self.bits, self.files = folder, bits, {}
 
-    def _rows(self, h: np.ndarray) -> np.ndarray:
-        out = np.empty((len(h), FINE // 4), np.uint8)
+    def rows(self, h: np.ndarray, *names: str, by: str = "h") -> dict[str, np.ndarray]:
+        """The columns named of lines that the files hold."""
+        out: dict[str, np.ndarray] = {}
         shards = blocks.shard_of(h, self.bits)
         for k in np.unique(shards).tolist():
             if k not in self.files:
                 self.files[k] = map_shared(f"{self.folder}/{k:06d}")
             some = np.flatnonzero(shards == k)
-            out[some] = self.files[k]["fine"][np.searchsorted(self.files[k]["h"], h[some])]
+            at = np.searchsorted(self.files[k][by], h[some])
+            for name in names:
+                column = self.files[k][name]
+                if name not in out:
+                    out[name] = np.empty((len(h), *column.shape[1:]), column.dtype)
+                out[name][some] = column[at]
         return out
 
+
+class FineMarks(LineFiles):
+    """A worker's mapped files of finer marks."""
+
+    def _rows(self, h: np.ndarray) -> np.ndarray:
+        return self.rows(h, "fine", by="fine_h")["fine"] if len(h) else np.empty((0, FINE // 4), np.uint8)
+
     def may_be_near(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the finer marks, too, allow lines i and j to be near."""
         out = np.empty(len(i), bool)
@@ -471,17 +515,13 @@ class FineMarks:
         return out
 
 
-def _in_buckets(parts: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Rows of a shard by bucket, each line once, the earliest first; where each row's bucket begins and how many rows it has."""
-    x = blocks.joined(parts)
+def _in_buckets(x: dict[str, np.ndarray], files: LineFiles) -> dict[str, np.ndarray]:
+    """Rows of buckets with size and marks, each line once in a bucket, the earliest first."""
+    lines, back = np.unique(x["h"], return_inverse=True)
+    x = x | {k: v[back] for k, v in files.rows(lines, "doc", "line", "n", "marks").items()}
     order = np.lexsort((x["line"], x["doc"], x["key"]))
-    x = {k: v[order] for k, v in x.items()}
-    once = np.sort(np.unique(K.mix(x["key"]) ^ x["h"], return_index=True)[1])
-    x = {k: v[once] for k, v in x.items()}
-    new = np.r_[True, x["key"][1:] != x["key"][:-1]]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    members = np.bincount(start, minlength=len(start))[start]
-    return x, start, members
+    once = np.sort(np.unique(K.mix(x["key"][order]) ^ x["h"][order], return_index=True)[1])
+    return {k: v[order[once]] for k, v in x.items()}
 
 
 def _distinct_pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
@@ -490,32 +530,32 @@ def _distinct_pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> p
     return pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(by[once].view(np.int64))], ["h", "by"])
 
 
-def near_long_lines(frame: DataFrame) -> DataFrame:
+def near_long_lines(frame: DataFrame, buckets: DataFrame, files: tuple[str, int]) -> DataFrame:
     """Hashes of lines that an earlier line is within the bound of, where the longer has LONG_WORDS or more."""
-    sc, bits = frame.sparkSession.sparkContext, max(0, (count_slices(frame.sparkSession) - 1).bit_length())
-    found = written(_shared_runs(_dealt_runs(frame, bits)), "shared-runs")
-    shared = sc.broadcast(bloom.build(found, "key"))
-    dropped(found)
+    sc = frame.sparkSession.sparkContext
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of the first kind as a shard -1; rows of large buckets as they are."""
-        for shard, parts in blocks.gathered(batches).items():
-            x, start, members = _in_buckets(parts)
-            at = np.arange(len(start))
-            # all earlier lines of a small bucket, the earliest one of a large
-            others = np.where(members <= FEW, at - start, np.minimum(at - start, 1))
-            out = []
-            for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
-                i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[a:b], others[a:b])
-                fits = _may_be_near(x, i, j)
-                out.append(np.stack([i[fits], j[fits]]))
-            i, j = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-            pairs = _distinct_pairs(x, i, j)
-            if len(pairs):
-                yield blocks.dealt(np.full(len(pairs), -1), {c: pairs.column(c).to_numpy().view(_U) for c in ("h", "by")})
-            large = members > FEW
-            if large.any():
-                yield blocks.dealt(np.full(int(large.sum()), shard), {k: v[large] for k, v in x.items()})
+        """Pairs of the first kind as a shard -1; lines of large buckets, the earliest first, as a shard 0."""
+        known = LineFiles(*files)
+        for batch in batches:
+            for part in (p for parts in blocks.gathered([batch]).values() for p in parts):
+                x = _in_buckets(part, known)
+                start, members = _members(x["key"])
+                at = np.arange(len(start))
+                # all earlier lines of a small bucket, the earliest one of a large
+                others = np.where(members <= FEW, at - start, np.minimum(at - start, 1))
+                out = []
+                for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
+                    i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[a:b], others[a:b])
+                    fits = _may_be_near(x, i, j)
+                    out.append(np.stack([i[fits], j[fits]]))
+                i, j = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+                pairs = _distinct_pairs(x, i, j)
+                if len(pairs):
+                    yield blocks.dealt(np.full(len(pairs), -1), {c: pairs.column(c).to_numpy().view(_U) for c in ("h", "by")})
+                large = members > FEW
+                if large.any():
+                    yield blocks.dealt(np.zeros(int(large.sum()), np.int64), {k: x[k][large] for k in ("key", "h")})
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -523,8 +563,8 @@ def near_long_lines(frame: DataFrame) -> DataFrame:
                 x = blocks.joined(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(x[c].view(np.int64)) for c in ("h", "by")], ["h", "by"])
 
-    rows = written(_dealt_runs(frame, bits, shared).mapInArrow(tried, blocks.SCHEMA), "runs")
-    first = _verified_long(frame, written(rows.filter("shard < 0").mapInArrow(unpacked, "h long, by long").distinct(), "pairs"))
+    rows = written(buckets.mapInArrow(tried, blocks.SCHEMA), "runs")
+    first = _verified_long(frame, files, written(rows.filter("shard < 0").mapInArrow(unpacked, "h long, by long").distinct(), "pairs"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -534,12 +574,16 @@ def near_long_lines(frame: DataFrame) -> DataFrame:
     def earlier(open_, low: int, high: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Open lines of large buckets with the earlier lines there from the low-th on, up to the high-th."""
-            finer = FineMarks(*fine)
+            finer = FineMarks(*files)
             for batch in batches:
-                for part in (p for parts in blocks.gathered([batch]).values() for p in parts):
-                    x, start, _ = _in_buckets([part])
+                for x in (p for parts in blocks.gathered([batch]).values() for p in parts):
+                    start, _ = _members(x["key"])
                     at = np.flatnonzero(np.arange(len(start)) - start > low)
                     at = at[bloom.may_hold(open_.value, x["h"][at])]
+                    if not len(at):
+                        continue
+                    lines, back = np.unique(x["h"], return_inverse=True)
+                    x = x | {k: v[back] for k, v in finer.rows(lines, "n", "marks").items()}
                     others = (at - start[at] if high is None else np.minimum(at - start[at], high)) - low
                     for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
                         i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + low, others[a:b])
@@ -552,37 +596,48 @@ def near_long_lines(frame: DataFrame) -> DataFrame:
 
     large = rows.filter("shard >= 0")
     several = written(large.mapInArrow(members, "h long").distinct(), "members")
-    found, fine = first, _write_fine(frame, several)
+    found = first
     for low, high in zip(TURNS, (*TURNS[1:], None)):
         still = written(several.join(found, "h", "left_anti"), "open")
         open_ = sc.broadcast(bloom.build(still, "h"))
         pairs = written(large.mapInArrow(earlier(open_, low, high), "h long, by long").distinct(), "pairs")
         dropped(still)
         if not pairs.isEmpty():
-            found = found.union(_verified_long(frame, pairs))
+            found = found.union(_verified_long(frame, files, pairs))
     dropped(rows, several)
-    removed(frame.sparkSession, fine[0])
     return found
 
 
-def _verified_long(frame: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified_long(frame: DataFrame, files: tuple[str, int], pairs: DataFrame) -> DataFrame:
     """:func:`_verified` of long lines of the frame, whose words are fetched for the pairs."""
-    words = written(_long_words(frame, pairs.select(F.explode(F.array("h", "by")).alias("h")).distinct()), "long-lines")
+    words = written(_long_words(frame, files, pairs.select("h").union(pairs.select("by")).distinct()), "long-lines")
     out = written(_verified(pairs, words), "near")
     dropped(words, pairs)
     return out
 
 
-def _long_words(frame: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h and words of the lines of the frame with the hashes wanted, once each; some others too."""
-    filter_words = frame.sparkSession.sparkContext.broadcast(bloom.build(wanted, "h"))
+def _long_words(frame: DataFrame, files: tuple[str, int], wanted: DataFrame) -> DataFrame:
+    """h and words of the lines of the frame with the hashes wanted, once each; some others too. Only documents where one of
+    these lines is first are taken to words."""
+
+    def first_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = LineFiles(*files)
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.rows(batch.column(0).to_numpy().view(_U), "doc")["doc"])], ["h", "doc"])
+
+    sc, wanted = frame.sparkSession.sparkContext, written(wanted.mapInArrow(first_docs, "h long, doc long"), "wanted")
+    n = wanted.count()
+    filter_words, filter_docs = sc.broadcast(bloom.build(wanted, "h", n)), sc.broadcast(bloom.build_from(wanted.select("doc"), _mixed, n))
+    dropped(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = filter_words.value
         for batch in batches:
+            batch = batch.filter(pa.array(bloom.may_hold(filter_docs.value, K.mix(batch.column(0).to_numpy().view(_U)))))
             buf, offsets = K.buffers(batch.column(1))
-            for a, b in K.slices(offsets):
-                _, _, _, first, last, seq, h = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b in K.slices(offsets, SLICE):
+                _, _, _, first, last, seq, h, _ = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 long = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
                 pick = long[np.unique(h[long], return_index=True)[1]]
                 pick = pick[bloom.may_hold(held, h[pick])] if len(pick) else pick
@@ -592,36 +647,107 @@ def _long_words(frame: DataFrame, wanted: DataFrame) -> DataFrame:
     return frame.mapInArrow(run, "h long, words binary").groupBy("h").agg(F.first("words").alias("words"))
 
 
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Document keys, spread, as keys of a filter."""
+    for batch in batches:
+        yield {"key": K.mix(batch.column(0).to_numpy().view(_U))}
+
+
+def _write_gone(seen: DataFrame, near: DataFrame | None, folder: str, bits: int) -> set[int]:
+    """Writes the hashes of lines that go to files: with the first document that has the line, whose own one stays, or as near
+    ones, that go everywhere; gives the files there are."""
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parts in blocks.gathered([batch]).values():
+                for x in parts:
+                    yield blocks.dealt(blocks.shard_of(x["h"], bits), x | {"near": np.zeros(len(x["h"]), np.uint8)})
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.unique(batch.column(0).to_numpy().view(_U))
+            yield blocks.dealt(blocks.shard_of(h, bits), {"h": h, "low": np.zeros(len(h), np.int64), "near": np.ones(len(h), np.uint8)})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in blocks.gathered(batches).items():
+            x = blocks.joined(parts)
+            order = np.lexsort((1 - x["near"], x["h"]))
+            h = x["h"][order]
+            order = order[np.r_[True, h[1:] != h[:-1]]]
+            write_shared(f"{folder}/{shard:06d}", pack_arrays({k: v[order] for k, v in x.items()}))
+            yield pa.RecordBatch.from_arrays([pa.array([shard])], ["shard"])
+
+    rows = seen.mapInArrow(cuts, blocks.SCHEMA)
+    if near is not None:
+        rows = rows.union(near.mapInArrow(packed, blocks.SCHEMA))
+    with released(seen.sparkSession):
+        return {r["shard"] for r in rows.repartitionById(1 << bits, F.col("shard")).mapInArrow(write, "shard long").collect()}
+
+
+class Gone(LineFiles):
+    """A worker's mapped files of lines that go."""
+
+    def __init__(self, folder: str, bits: int, there: set[int]):
+        super().__init__(folder, bits)
+        self.there = there
+
+    def goes(self, h: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Whether each line of a document goes for an earlier one."""
+        out = np.zeros(len(h), bool)
+        shards = blocks.shard_of(h, self.bits)
+        for k in self.there.intersection(np.unique(shards).tolist()):
+            if k not in self.files:
+                self.files[k] = map_shared(f"{self.folder}/{k:06d}")
+            x, some = self.files[k], np.flatnonzero(shards == k)
+            at = np.minimum(np.searchsorted(x["h"], h[some]), len(x["h"]) - 1)
+            out[some] = (x["h"][at] == h[some]) & ((x["near"][at] == 1) | (docs[some] > x["low"][at]))
+        return out
+
+
+def _near(frame: DataFrame, met: DataFrame, bits: int, n: int) -> DataFrame:
+    """Hashes of the lines that an earlier line is within the bound of. n: the number of different lines."""
+    spark = frame.sparkSession
+    halves, buckets = (met.filter(F.shiftright("shard", bits) == kind) for kind in (HALVES, RUNS))
+    some = halves.agg(F.sum("n")).first()[0] or 0
+    short, long, large = (spark.sparkContext.broadcast(bloom.build_from(rows.select("shard", "block"), read, k)) for rows, read, k in ((halves, _hashes, some), (buckets, _hashes, n), (buckets, _large_hashes, n)))
+    files = shared_dir(spark, "long-lines"), min((n // FINE_LINES).bit_length(), 14)
+    lines = written(_write_lines(frame, short, long, large, *files), "short-lines")
+    found = near_lines(written(_short_lines(lines), "lines"))
+    out = written(found.union(near_long_lines(frame, buckets.select("shard", "block"), files)).distinct(), "near-lines")
+    removed(spark, files[0])
+    return out
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = True) -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and n_lines and n_removed after the other columns."""
     docs = docs.drop("n_lines", "n_removed")
     frame = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    lines = written(_lines(frame), "line-hashes")
-    seen = lines.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h", "low")
-    places = lines.select("h", "doc")
-    gone = places.join(seen, "h").filter("doc > low").select("doc", "h")
-    if near:
-        gone = gone.union(places.join(near_lines(frame, lines).union(near_long_lines(frame)).distinct(), "h").select("doc", "h"))
-    gone = gone.groupBy("doc").agg(F.collect_set("h").alias("__gone"))
+    spark = docs.sparkSession
+    bits = max(0, (count_slices(spark) - 1).bit_length())
+    met = written(_met(_keys(frame, bits, near), bits), "met")
+    seen = met.filter(F.shiftright("shard", bits) == LINES)
+    n = seen.agg(F.sum("n")).first()[0] or 0
+    found = _near(frame, met, bits, n) if near else None
+    folder, file_bits = shared_dir(spark, "gone"), min((n // GONE_LINES).bit_length(), 14)
+    there = _write_gone(seen.select("shard", "block"), found, folder, file_bits)
+    dropped(met)
     names = docs.columns
-    joined = docs.join(gone, docs[key].cast("long") == gone["doc"], "left").select(*[docs[c] for c in names], "__gone")
+    joined = docs.select(*names, F.col(key).cast("long").alias("__doc"))
     schema = extended(docs.schema, "n_lines int, n_removed int")
     k, t = names.index(key), names.index(text)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = Gone(folder, file_bits, there)
         for batch in batches:
             buf, offsets = K.buffers(batch.column(t))
-            for a, b in K.slices(offsets):
+            for a, b in K.slices(offsets, SLICE):
                 part = batch.slice(a, b - a)
                 body, rel = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                starts, ends, at, _, _, _, h = line_hashes(body, rel)
+                starts, ends, at, _, _, _, h, _ = line_hashes(body, rel)
                 row = np.repeat(np.arange(b - a), np.diff(at))
                 keep = np.zeros(len(h), bool)
                 keep[np.unique(h ^ K.mix(row.astype(_U) + _U(1)), return_index=True)[1]] = True
-                drops = part.column(len(names))
-                drop_row = np.repeat(np.arange(b - a), [0 if n is None else n for n in drops.value_lengths().to_pylist()])
-                drop_key = drops.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(_U) ^ K.mix(drop_row.astype(_U) + _U(1))
-                keep &= ~np.isin(h ^ K.mix(row.astype(_U) + _U(1)), drop_key)
+                keep &= ~gone.goes(h, pc.fill_null(part.column(len(names)), 0).to_numpy(zero_copy_only=False)[row])
                 keep |= h == 0
                 keep |= ~part.column(k).is_valid().to_numpy(zero_copy_only=False)[row]
                 # a kept line brings its newline unless it is the last of its row that is kept

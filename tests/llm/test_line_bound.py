@@ -4,8 +4,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from plain_llm import documents
+from pyspark.sql import functions as F
 
-from terrace.llm import line_dedup
+from terrace.llm import bloom, line_dedup
 
 
 def plain_distance(a, b):
@@ -83,3 +84,23 @@ def test_counts_that_end_still_bound_the_edits():
     x = {"n": size, "words": words, "first": np.array([0, 40]), "size": size}
     x["marks"] = line_dedup._marks(x, np.arange(2))
     assert not line_dedup._may_be_near(x, np.array([1]), np.array([0]))[0]
+
+
+def test_texts_are_not_moved(spark):
+    """Lines that go are looked up where the texts lie; a shuffle of whole texts is no part of the plan."""
+    rows = line_dedup.dedup_lines(documents(spark, ["one line of six plain words", "one line of six plain words\nown words stay"]))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {r["doc_id"]: r["text"] for r in rows.collect()} == {0: "one line of six plain words", 1: "own words stay"}
+
+
+def test_filter_is_set_by_tasks(spark):
+    """A filter of many keys is the one that a single task would set, without a row for each bit."""
+    keys = spark.range(60_000, numPartitions=5).select(F.xxhash64("id").alias("key"))
+    words = bloom.build(keys, "key")
+    held = np.array([r["key"] for r in keys.collect()]).view(np.uint64)
+    plain = np.zeros(len(words), np.uint32)
+    bloom.set_bits(plain, held)
+    assert (words == plain).all() and bloom.may_hold(words, held).all()
+    others = np.arange(60_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert bloom.may_hold(words, others).mean() < 0.05
