@@ -20,10 +20,11 @@ line is known by its first pairs in one order for all lines, long words first: b
 than there may be edits. Then no near line can lack all of them, and of two near lines the one whose first pairs end
 earlier in the order shares one with the first pairs of the other. Pairs that two lines have are found by their hashes
 alone, which with the lines' hashes make the buckets; places, numbers of words and marks of these lines, counts of their words
-by a few bits of their hashes, which bound the edits from below, lie in files, once for each line. Lines of a small bucket are tried by marks against every earlier one in it,
-those of a large one first against its earliest line only; what passes is verified on the words. Lines of large buckets that
-stay open after that are tried against the next eight, then the next 56, and at last against every earlier line there, so
-that a group of near lines costs little more than its size. What passes the marks in these turns is also held against finer
+by a few bits of their hashes, which bound the edits from below, lie in files, once for each line.
+Lines of a small bucket are tried by marks against every earlier one in it, those of a large one first against its earliest
+line only; what passes is verified on the words. Lines of large buckets that stay open after that are tried against the next
+eight, the next 56 and every earlier line there, until marks allow eight; these are verified, and lines that stay open and had
+eight seek on, up to 64 and then to the end, so that a group of near lines costs little more than its size. What passes the marks in these turns is also held against finer
 marks, which lie in files, too, for the lines of large buckets: lines that share a group's words, but not enough of them to
 be near, are told apart by these before a pair is made.
 
@@ -56,8 +57,8 @@ MIN_WORDS = 5
 MARKS, FULL, LONG_WORDS, RUN, FEW = 64, 15, 2 * MIN_WORDS, 2, 16
 #: Finer marks of lines in large buckets, a power of two, and the count at which they end; lines of a file of them.
 FINE, FINE_FULL, FINE_LINES = 512, 3, 1 << 16
-#: Places in a large bucket from which on, turn by turn, earlier lines are tried by the lines that are still open.
-TURNS = (1, 9, 65)
+#: Places in a large bucket from which on, turn by turn, earlier lines are tried by marks; and how many that these allow are verified before more are sought.
+TURNS, ALLOWED = (1, 9, 65), (8, 64)
 #: Kinds of keys that are dealt; bytes of text, keys and rows of buckets handled at once, a larger bucket alone; different lines for each file of lines that go.
 LINES, HALVES, RUNS = 0, 1, 2
 SLICE, SENT, BUCKET_ROWS, GONE_LINES = 1 << 19, 1 << 19, 1 << 17, 1 << 18
@@ -436,22 +437,28 @@ def _marks(x: dict[str, np.ndarray], pick: np.ndarray) -> np.ndarray:
     return count[:, : MARKS // 2] | count[:, MARKS // 2 :] << 4
 
 
+def _apart(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.maximum(u, v) - np.minimum(u, v)
+
+
+def _byte_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows of small numbers, of which any eight in a row come to less than 256; rows are multiples of eight long."""
+    return ((np.ascontiguousarray(x).view(_U) * _U(0x0101010101010101)) >> _U(56)).sum(1).astype(np.int64)
+
+
 def _may_be_near(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether sizes and marks allow lines i and j to be near; one of them is long."""
-    out = []
-    for k in range(0, len(i), 1 << 18):
-        p, q = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+    out, sums = [], _byte_sums(x["marks"] & FULL) + _byte_sums(x["marks"] >> 4)
+    for k in range(0, len(i), 1 << 16):
+        p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
         longer = np.maximum(x["n"][p], x["n"][q])
         most = longer // MIN_WORDS
         fits = np.flatnonzero((longer >= LONG_WORDS) & (longer - np.minimum(x["n"][p], x["n"][q]) <= most))
         a, b = x["marks"][p[fits]], x["marks"][q[fits]]
-        more = less = 0
-        for u, v in ((a & FULL, b & FULL), (a >> 4, b >> 4)):
-            # an edit takes one word from its mark, gives one to another, or both; counts cut at FULL differ by less, if at all
-            more = more + np.where(u > v, u - v, 0).sum(1, dtype=np.int32)
-            less = less + np.where(v > u, v - u, 0).sum(1, dtype=np.int32)
+        # an edit takes one word from its mark, gives one to another, or both; counts cut at FULL differ by less, if at all
+        apart = _byte_sums(_apart(a & FULL, b & FULL) + _apart(a >> 4, b >> 4))
         held = np.zeros(len(p), bool)
-        held[fits[np.maximum(more, less) <= most[fits]]] = True
+        held[fits[apart + np.abs(sums[p[fits]] - sums[q[fits]]) <= 2 * most[fits]]] = True
         out.append(held)
     return np.concatenate([*out, np.empty(0, bool)])
 
@@ -505,13 +512,11 @@ class FineMarks(LineFiles):
             lines, back = np.unique(np.concatenate([x["h"][p], x["h"][q]]), return_inverse=True)
             rows = self._rows(lines)
             a, b = back[: len(p)], back[len(p) :]
-            more = less = 0
-            for s in (0, 2, 4, 6):
-                layer = (rows >> s & FINE_FULL).astype(np.int8)
-                d = layer[a] - layer[b]
-                more = more + np.maximum(d, 0).sum(1, dtype=np.int32)
-                less = less + np.maximum(-d, 0).sum(1, dtype=np.int32)
-            out[k : k + (1 << 16)] = np.maximum(more, less) <= np.maximum(x["n"][p], x["n"][q]) // MIN_WORDS
+            layers = [rows >> s & FINE_FULL for s in (0, 2, 4, 6)]
+            sums, apart = sum(_byte_sums(layer) for layer in layers), 0
+            for layer in layers:
+                apart = apart + _apart(layer[a], layer[b])
+            out[k : k + (1 << 16)] = _byte_sums(apart) + np.abs(sums[a] - sums[b]) <= 2 * (np.maximum(x["n"][p], x["n"][q]) // MIN_WORDS)
         return out
 
 
@@ -573,37 +578,58 @@ def near_long_lines(frame: DataFrame, buckets: DataFrame, files: tuple[str, int]
 
     def earlier(open_, low: int, high: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Open lines of large buckets with the earlier lines there from the low-th on, up to the high-th."""
+            """Open lines of large buckets with the earlier lines there that marks allow, from the low-th on, up to the high-th;
+            lines that may have more of them with none."""
             finer = FineMarks(*files)
             for batch in batches:
                 for x in (p for parts in blocks.gathered([batch]).values() for p in parts):
                     start, _ = _members(x["key"])
-                    at = np.flatnonzero(np.arange(len(start)) - start > low)
+                    place = np.arange(len(start)) - start
+                    at = np.flatnonzero(place > 1)
                     at = at[bloom.may_hold(open_.value, x["h"][at])]
                     if not len(at):
                         continue
                     lines, back = np.unique(x["h"], return_inverse=True)
                     x = x | {k: v[back] for k, v in finer.rows(lines, "n", "marks").items()}
-                    others = (at - start[at] if high is None else np.minimum(at - start[at], high)) - low
-                    for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
-                        i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + low, others[a:b])
-                        fits = np.flatnonzero(_may_be_near(x, i, j))
-                        fits = fits[np.unique(K.mix(x["h"][i[fits]]) ^ x["h"][j[fits]], return_index=True)[1]]
-                        fits = fits[finer.may_be_near(x, i[fits], j[fits])]
-                        yield _distinct_pairs(x, i[fits], j[fits])
+                    allowed = np.zeros(len(start), np.int64)
+                    for begin, end in zip(TURNS, (*TURNS[1:], None)):
+                        at = at[place[at] > begin]
+                        if high is not None:
+                            at = at[allowed[at] < high]
+                        others = (place[at] if end is None else np.minimum(place[at], end)) - begin
+                        for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
+                            i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + begin, others[a:b])
+                            fits = np.flatnonzero(_may_be_near(x, i, j))
+                            i, j = i[fits], j[fits]
+                            _, once, same = np.unique(K.mix(x["h"][i]) ^ x["h"][j], return_index=True, return_inverse=True)
+                            fits = finer.may_be_near(x, i[once], j[once])[same]
+                            i, j = i[fits], j[fits]
+                            first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+                            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0)) + allowed[i] if len(i) else i
+                            allowed += np.bincount(i, minlength=len(allowed))
+                            fits = np.flatnonzero((rank >= low) & (rank < (high or len(start))))
+                            yield _distinct_pairs(x, i[fits], j[fits])
+                    if high is not None:
+                        more = np.unique(x["h"][allowed >= high]).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(more), pa.nulls(len(more), pa.int64())], ["h", "by"])
 
         return run
 
     large = rows.filter("shard >= 0")
     several = written(large.mapInArrow(members, "h long").distinct(), "members")
     found = first
-    for low, high in zip(TURNS, (*TURNS[1:], None)):
+    for low, high in zip((0, *ALLOWED), (*ALLOWED, None)):
         still = written(several.join(found, "h", "left_anti"), "open")
         open_ = sc.broadcast(bloom.build(still, "h"))
-        pairs = written(large.mapInArrow(earlier(open_, low, high), "h long, by long").distinct(), "pairs")
-        dropped(still)
+        tries = written(large.mapInArrow(earlier(open_, low, high), "h long, by long").distinct(), "tries")
+        dropped(still, several)
+        several = written(tries.filter("by IS NULL").select("h"), "more")
+        pairs = written(tries.filter("by IS NOT NULL"), "pairs")
+        dropped(tries)
         if not pairs.isEmpty():
             found = found.union(_verified_long(frame, files, pairs))
+        if several.isEmpty():
+            break
     dropped(rows, several)
     return found
 

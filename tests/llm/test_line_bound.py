@@ -88,9 +88,10 @@ def test_counts_that_end_still_bound_the_edits():
 
 def test_texts_are_not_moved(spark):
     """Lines that go are looked up where the texts lie; a shuffle of whole texts is no part of the plan."""
-    rows = line_dedup.dedup_lines(documents(spark, ["one line of six plain words", "one line of six plain words\nown words stay"]))
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Join" not in plan
+    docs = documents(spark, ["one line of six plain words", "one line of six plain words\nown words stay"])
+    rows = line_dedup.dedup_lines(docs)
+    plan, before = (x._jdf.queryExecution().executedPlan().toString() for x in (rows, docs))
+    assert plan.count("Exchange") == before.count("Exchange") and "Join" not in plan
     assert {r["doc_id"]: r["text"] for r in rows.collect()} == {0: "one line of six plain words", 1: "own words stay"}
 
 
@@ -104,3 +105,19 @@ def test_filter_is_set_by_tasks(spark):
     assert (words == plain).all() and bloom.may_hold(words, held).all()
     others = np.arange(60_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert bloom.may_hold(words, others).mean() < 0.05
+
+
+def test_line_with_many_allowed_ones_finds_the_last(spark):
+    """Lines that marks allow but that aren't near, as their words stand in another order, come before the near one."""
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(40)]
+    # the same words in pieces of other order: two words at the end keep the bucket
+    lines = []
+    for _ in range(90):
+        pieces = [base[i : i + 2] for i in range(0, 40, 2)]
+        rng.shuffle(pieces)
+        lines.append([w for p in pieces for w in p])
+    lines.append([*lines[70][:-1], "other"])
+    rows = line_dedup.dedup_lines(documents(spark, [" ".join(x) for x in lines])).collect()
+    gone = {i for i, b in enumerate(lines) if any(plain_distance(a, b) <= max(len(a), len(b)) // 5 for a in lines[:i])}
+    assert 90 in gone and {r["doc_id"] for r in rows if r["n_removed"]} == gone
