@@ -271,9 +271,8 @@ def _members(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.bincount(start, minlength=len(start))[start]
 
 
-def _write_lines(frame: DataFrame, short, long, large, folder: str, bits: int) -> DataFrame:
-    """Writes the place, size and marks of the long lines that share a run to files by hash, with finer marks of those in
-    large buckets; gives blocks of the short lines wanted with their places and words. Each line comes from its earliest place."""
+def _write_lines(frame: DataFrame, short, large, folder: str, bits: int) -> DataFrame:
+    """Writes the place, size and marks of the long lines to files by hash, with finer marks of those in large buckets; gives blocks of the short lines wanted with their places and words. Each line comes from its earliest place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +288,6 @@ def _write_lines(frame: DataFrame, short, long, large, folder: str, bits: int) -
                 x = {"words": words, "first": first, "size": size}
                 place = {"h": h[pick], "doc": docs[a + row[pick]], "line": (pick - at[row[pick]]).astype(np.int32), "n": np.minimum(size[pick], 1 << 30).astype(np.int32)}
                 some = np.flatnonzero(size[pick] >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
-                some = some[bloom.may_hold(long.value, h[pick[some]])]
                 yield blocks.dealt(blocks.shard_of(h[pick[some]], bits), {k: v[some] for k, v in place.items()} | {"marks": _marks(x, pick[some])})
                 some = pick[some[bloom.may_hold(large.value, h[pick[some]])]]
                 yield blocks.dealt((1 << bits) + blocks.shard_of(h[some], bits), {"h": h[some], "fine": _fine_marks(words, first[some], size[some])})
@@ -417,13 +415,14 @@ def _prefix(rank: np.ndarray, owner: np.ndarray, edits: np.ndarray) -> np.ndarra
     """How many runs of each line, by rank, it takes to hold more runs without a word in common than the line's edits."""
     new = np.ones(len(rank), bool)
     new[1:] = owner[1:] != owner[:-1]
-    index, low, high = np.arange(len(rank)), edits + 1, RUN * edits + 1
+    index, low, high = np.arange(len(rank), dtype=np.int32), edits + 1, RUN * edits + 1
+    rank = rank.astype(np.int32)
     while (low < high).any():
-        middle = (low + high) // 2
+        middle = ((low + high) // 2).astype(np.int32)
         held = rank < middle[owner]
         begins = held.copy()
         begins[1:] &= new[1:] | ~held[:-1]
-        apart = held & ((index - np.maximum.accumulate(np.where(begins, index, 0))) % RUN == 0)
+        apart = held & (((index - np.maximum.accumulate(np.where(begins, index, np.int32(0)))) & (RUN - 1)) == 0)
         enough = np.bincount(owner[apart], minlength=len(edits)) > edits
         low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
     return high
@@ -735,9 +734,9 @@ def _near(frame: DataFrame, met: DataFrame, bits: int, n: int) -> DataFrame:
     spark = frame.sparkSession
     halves, buckets = (met.filter(F.shiftright("shard", bits) == kind) for kind in (HALVES, RUNS))
     some = halves.agg(F.sum("n")).first()[0] or 0
-    short, long, large = (spark.sparkContext.broadcast(bloom.build_from(rows.select("shard", "block"), read, k)) for rows, read, k in ((halves, _hashes, some), (buckets, _hashes, n), (buckets, _large_hashes, n)))
+    short, large = (spark.sparkContext.broadcast(bloom.build_from(rows.select("shard", "block"), read, k)) for rows, read, k in ((halves, _hashes, some), (buckets, _large_hashes, n)))
     files = shared_dir(spark, "long-lines"), min((n // FINE_LINES).bit_length(), 14)
-    lines = written(_write_lines(frame, short, long, large, *files), "short-lines")
+    lines = written(_write_lines(frame, short, large, *files), "short-lines")
     found = near_lines(written(_short_lines(lines), "lines"))
     out = written(found.union(near_long_lines(frame, buckets.select("shard", "block"), files)).distinct(), "near-lines")
     removed(spark, files[0])
