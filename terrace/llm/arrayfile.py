@@ -8,6 +8,8 @@ import os
 import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -47,15 +49,36 @@ def write_shared(uri: str, data: bytes) -> None:
     files.move(partial, path)
 
 
+@contextmanager
+def open_shared(uri: str) -> Iterator:
+    """A file that a task writes piece by piece, under a name that no other try of it takes."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(uri)
+    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with files.open_output_stream(path) as out:
+        yield out
+
+
 def map_shared(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file in the shared folder; from a store that can't be mapped, over a nameless copy."""
+    return unpack_arrays(_mapped(uri))
+
+
+def view_shared(uri: str) -> np.ndarray:
+    """The bytes of a file in the shared folder, likewise."""
+    return np.frombuffer(_mapped(uri), np.uint8)
+
+
+def _mapped(uri: str) -> mmap.mmap:
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(uri)
     if isinstance(files, fs.LocalFileSystem):
-        return map_arrays(path)
+        with open(path, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
     with tempfile.TemporaryFile() as copy, files.open_input_stream(path) as source:
         while part := source.read(1 << 22):
             copy.write(part)
         copy.flush()
-        return unpack_arrays(mmap.mmap(copy.fileno(), os.fstat(copy.fileno()).st_size, access=mmap.ACCESS_READ))
+        return mmap.mmap(copy.fileno(), os.fstat(copy.fileno()).st_size, access=mmap.ACCESS_READ)

@@ -38,6 +38,7 @@ numbers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm import blocks, bloom
 from terrace.llm import textkernels as K
-from terrace.llm.arrayfile import map_shared, pack_arrays, write_shared
+from terrace.llm.arrayfile import map_shared, open_shared, pack_arrays, view_shared, write_shared
 from terrace.llm.shared import count_slices, dropped, extended, released, removed, shared_dir, written
 
 #: Lines with fewer than MIN_WORDS words have no near ones; of MIN_WORDS * e words and more, near ones are up to e edits away.
@@ -57,11 +58,15 @@ MIN_WORDS = 5
 MARKS, FULL, LONG_WORDS, RUN, FEW = 64, 15, 2 * MIN_WORDS, 2, 16
 #: Finer marks of lines in large buckets, a power of two, and the count at which they end; lines of a file of them.
 FINE, FINE_FULL, FINE_LINES = 512, 3, 1 << 16
-#: Places in a large bucket from which on, turn by turn, earlier lines are tried by marks; and how many that these allow are verified before more are sought.
-TURNS, ALLOWED = (1, 9, 65), (8, 64)
+#: Places in a large bucket from which on, turn by turn, earlier lines are tried by marks; and at which of those that marks allow a line's words are compared anew if it is still open.
+TURNS, TRIED = (1, 9, 65), (1, 8, 64)
+#: One document in LOOKED tells the common runs, which COMMON of its lines are known by; bits of a word's hash in files, where words of lines are compared.
+LOOKED, COMMON, WORD_BITS = 16, 3, 48
 #: Kinds of keys that are dealt; bytes of text, keys and rows of buckets handled at once, a larger bucket alone; different lines for each file of lines that go.
 LINES, HALVES, RUNS = 0, 1, 2
 SLICE, SENT, BUCKET_ROWS, GONE_LINES = 1 << 19, 1 << 19, 1 << 17, 1 << 18
+#: Bands in which distances are sought, by kind and number of the numbers that hold a column; longer lines are compared one by one.
+BANDS, BAND_WORDS = ((np.uint16, 1), (np.uint32, 1), (np.uint64, 1), (np.uint64, 2), (np.uint64, 4)), 600
 _U = np.uint64
 _FRONT, _BACK, _PLACE, _SHORT = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3)
 
@@ -172,8 +177,8 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return within_edits(a, b, max(len(a), len(b)) // MIN_WORDS)
 
 
-def _keys(frame: DataFrame, bits: int, near: bool) -> DataFrame:
-    """Blocks by key, of the lines' hashes with their documents, and of half keys and known runs with their lines' hashes."""
+def _keys(frame: DataFrame, bits: int, common=None) -> DataFrame:
+    """Blocks by key, of the lines' hashes with their documents, and, given a filter of common runs, of half keys and known runs with their lines' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[dict[str, np.ndarray]]] = {}
@@ -197,10 +202,10 @@ def _keys(frame: DataFrame, bits: int, near: bool) -> DataFrame:
                 real = np.flatnonzero(h != 0)
                 pick = real[np.unique(h[real] ^ K.mix(row[real].astype(_U) + _U(1)), return_index=True)[1]]
                 new = {LINES: {"key": h[pick], "doc": docs[a + row[pick]]}}
-                if near:
+                if common is not None:
                     short = pick[(last[pick] - first[pick] >= MIN_WORDS - 1) & (last[pick] - first[pick] < LONG_WORDS)]
                     new[HALVES] = {"key": half_keys(seq, first[short], last[short]).reshape(-1), "h": np.repeat(h[short], 4)}
-                    x = _known_runs(parsed)
+                    x = _known_runs(parsed, common.value)
                     new[RUNS] = {"key": x["key"], "h": x["h"][x["owner"]]}
                 for kind, columns in new.items():
                     held.setdefault(kind, []).append(columns)
@@ -213,6 +218,35 @@ def _keys(frame: DataFrame, bits: int, near: bool) -> DataFrame:
     return frame.mapInArrow(run, blocks.SCHEMA).repartitionById(1 << bits, F.col("shard").bitwiseAND((1 << bits) - 1))
 
 
+def _common_runs(frame: DataFrame, bits: int) -> np.ndarray:
+    """Filter of the runs that several lines of some documents are known by: these come last in the order of runs, which decides
+    speed only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = K.buffers(batch.column(1))
+            for a, b in K.slices(offsets, SLICE):
+                x = _known_runs(line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                order = np.argsort(x["key"])
+                yield blocks.dealt(blocks.shard_of(x["key"][order], bits), {"key": x["key"][order], "h": x["h"][x["owner"][order]]})
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in blocks.gathered(batches).values():
+            x = blocks.joined(parts)
+            order = np.lexsort((x["h"], x["key"]))
+            key, h = x["key"][order], x["h"][order]
+            key = key[np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]] if len(key) else key
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            key = key[at[np.diff(at, append=len(key)) >= COMMON]]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+    some = frame.filter(F.pmod(F.xxhash64("doc"), F.lit(LOOKED)) == 0)
+    found = written(some.mapInArrow(run, blocks.SCHEMA).repartitionById(1 << bits, F.col("shard")).mapInArrow(often, "key long"), "common")
+    out = bloom.build(found, "key")
+    dropped(found)
+    return out
+
+
 def _met(dealt: DataFrame, bits: int) -> DataFrame:
     """Blocks of what lines share: hashes that several documents have, with the first of these; lines with a half key in
     common; and the buckets of known runs, each run with its lines, for runs of two lines and more. n: different lines of a
@@ -256,14 +290,6 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
                 yield {"key": np.unique(x["h"])}
 
 
-def _large_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The different lines of each block that lie in large buckets."""
-    for batch in batches:
-        for parts in blocks.gathered([batch]).values():
-            for x in parts:
-                yield {"key": np.unique(x["h"][_members(x["key"])[1] > FEW])}
-
-
 def _members(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each row's bucket begins and how many rows it has, of rows in the order of their buckets."""
     new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
@@ -271,54 +297,59 @@ def _members(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.bincount(start, minlength=len(start))[start]
 
 
-def _write_lines(frame: DataFrame, short, large, folder: str, bits: int) -> DataFrame:
-    """Writes the place, size and marks of the long lines to files by hash, with finer marks of those in large buckets; gives blocks of the short lines wanted with their places and words. Each line comes from its earliest place."""
+def _write_lines(frame: DataFrame, short, cuts: tuple[str, int, set[int]], folder: str, bits: int) -> DataFrame:
+    """Writes the words of the long lines to a file for each task, and their places, sizes, marks and where their words lie to files by hash; gives blocks of the short lines wanted with their places and words. Each line comes from its earliest place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = K.buffers(batch.column(1))
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in K.slices(offsets, SLICE):
-                _, _, at, first, last, seq, h, _ = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                row = np.repeat(np.arange(b - a), np.diff(at))
-                real = np.flatnonzero(last - first >= MIN_WORDS - 1)
-                real = real[np.lexsort((real, docs[a + row[real]], h[real]))]
-                pick = real[np.r_[True, h[real][1:] != h[real][:-1]]] if len(real) else real
-                size, words = last - first, np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]
-                x = {"words": words, "first": first, "size": size}
-                place = {"h": h[pick], "doc": docs[a + row[pick]], "line": (pick - at[row[pick]]).astype(np.int32), "n": np.minimum(size[pick], 1 << 30).astype(np.int32)}
-                some = np.flatnonzero(size[pick] >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
-                yield blocks.dealt(blocks.shard_of(h[pick[some]], bits), {k: v[some] for k, v in place.items()} | {"marks": _marks(x, pick[some])})
-                some = pick[some[bloom.may_hold(large.value, h[pick[some]])]]
-                yield blocks.dealt((1 << bits) + blocks.shard_of(h[some], bits), {"h": h[some], "fine": _fine_marks(words, first[some], size[some])})
-                some = np.flatnonzero(size[pick] < LONG_WORDS)
-                some = some[bloom.may_hold(short.value, h[pick[some]])]
-                padded = np.zeros((len(some), LONG_WORDS), _U)
-                for k in range(LONG_WORDS - 1):
-                    has = size[pick[some]] > k
-                    padded[has, k] = words[first[pick[some[has]]] + k]
-                yield blocks.dealt((2 << bits) + blocks.shard_of(h[pick[some]], bits), {k: v[some] for k, v in place.items()} | {"words": padded})
+        gone, name, end = Gone(*cuts), uuid.uuid4().int >> 64, 0
+        with open_shared(f"{folder}/{name:016x}") as out:
+            for batch in batches:
+                buf, offsets = K.buffers(batch.column(1))
+                docs = batch.column(0).to_numpy(zero_copy_only=False)
+                for a, b in K.slices(offsets, SLICE):
+                    _, _, at, first, last, seq, h, _ = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    row = np.repeat(np.arange(b - a), np.diff(at))
+                    real = np.flatnonzero(last - first >= MIN_WORDS - 1)
+                    real = real[~gone.goes(h[real], docs[a + row[real]])]
+                    real = real[np.lexsort((real, docs[a + row[real]], h[real]))]
+                    pick = real[np.r_[True, h[real][1:] != h[real][:-1]]] if len(real) else real
+                    size, words = last - first, np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]
+                    x = {"words": words, "first": first, "size": size}
+                    place = {"h": h[pick], "doc": docs[a + row[pick]], "line": (pick - at[row[pick]]).astype(np.int32), "n": np.minimum(size[pick], 1 << 30).astype(np.int32)}
+                    some = np.flatnonzero(size[pick] >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
+                    long = pick[some]
+                    starts = end + np.cumsum(size[long]) - size[long]
+                    end += int(size[long].sum())
+                    out.write(_packed_words(words[K.ragged_positions(first[long], size[long])]))
+                    yield blocks.dealt(blocks.shard_of(h[long], bits), {k: v[some] for k, v in place.items()} | {"marks": _marks(x, long), "file": np.full(len(long), name, _U), "at": starts})
+                    some = np.flatnonzero(size[pick] < LONG_WORDS)
+                    some = some[bloom.may_hold(short.value, h[pick[some]])]
+                    padded = np.zeros((len(some), LONG_WORDS), _U)
+                    for k in range(LONG_WORDS - 1):
+                        has = size[pick[some]] > k
+                        padded[has, k] = words[first[pick[some[has]]] + k]
+                    yield blocks.dealt((1 << bits) + blocks.shard_of(h[pick[some]], bits), {k: v[some] for k, v in place.items()} | {"words": padded})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, dict[str, np.ndarray]] = {}
         for shard, parts in sorted(blocks.gathered(batches).items()):
             x = blocks.joined(parts)
-            order = np.lexsort((x["line"], x["doc"], x["h"])) if "doc" in x else np.argsort(x["h"])
+            order = np.lexsort((x["line"], x["doc"], x["h"]))
             h = x["h"][order]
-            order = order[np.r_[True, h[1:] != h[:-1]]]
+            order = order[np.r_[True, h[1:] != h[:-1]]] if len(h) else order
             x = {k: v[order] for k, v in x.items()}
-            if shard >> bits == 2:
+            if shard >> bits:
                 yield blocks.dealt(np.zeros(len(order), np.int64), x)
-            elif shard >> bits == 1:
-                out.setdefault(shard - (1 << bits), {}).update(fine_h=x["h"], fine=x["fine"])
             else:
-                out.setdefault(shard, {}).update(x)
-        for shard, x in out.items():
-            write_shared(f"{folder}/{shard:06d}", pack_arrays(x))
+                write_shared(f"{folder}/{shard:06d}", pack_arrays(x))
 
     return frame.mapInArrow(run, blocks.SCHEMA).repartitionById(1 << bits, F.col("shard").bitwiseAND((1 << bits) - 1)).mapInArrow(write, blocks.SCHEMA)
 
 
+def _packed_words(words: np.ndarray) -> bytes:
+    """Words for a file, WORD_BITS of each."""
+    return np.ascontiguousarray(words.astype("<u8").view("<u2").reshape(-1, 4)[:, : WORD_BITS // 16]).tobytes()
+
+
 def _short_lines(rows: DataFrame) -> DataFrame:
     """Hash, key, line number and words of lines in blocks."""
 
@@ -387,8 +418,8 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "h long").distinct()
 
 
-def _known_runs(parsed: tuple) -> dict[str, np.ndarray]:
-    """Hashes of the lines that shared runs can find, each kind once in the slice; and the line and hash of each run by which a line is known. parsed: what :func:`line_hashes` gives."""
+def _known_runs(parsed: tuple, common: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Hashes of the lines that shared runs can find, each kind once in the slice; and the line and hash of each run by which a line is known. parsed: what :func:`line_hashes` gives; common: a filter of the runs that come last."""
     _, _, _, first, last, seq, h, width = parsed
     # the shorter of two lines may lack a fifth of the longer one's words
     real = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
@@ -397,12 +428,15 @@ def _known_runs(parsed: tuple) -> dict[str, np.ndarray]:
     start = K.ragged_positions(first, size - RUN + 1)
     owner = np.repeat(np.arange(len(pick)), size - RUN + 1)
     runs = seq(start, start + RUN)
-    # one order for all lines: long words first, which are the rarer ones, then by hash
+    # one order for all lines: common runs last, long words first, which are the rarer ones, then by hash
     length = np.minimum(width[start] + width[np.minimum(start + 1, len(width) - 1)], 63) if len(start) else start
-    if len(pick) < 1 << 20:
-        order = np.argsort((owner.astype(_U) << _U(44)) | ((63 - length).astype(_U) << _U(38)) | (runs >> _U(26)), kind="stable")
+    late = (63 - length).astype(_U)
+    if common is not None:
+        late |= bloom.may_hold(common, runs).astype(_U) << _U(6)
+    if len(pick) < 1 << 19:
+        order = np.argsort((owner.astype(_U) << _U(45)) | (late << _U(38)) | (runs >> _U(26)), kind="stable")
     else:
-        order = np.lexsort((runs >> _U(26), 63 - length, owner))
+        order = np.lexsort((runs >> _U(26), late, owner))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(size - RUN + 1) - (size - RUN + 1), size - RUN + 1)
     # a line of n words has near ones of up to 5n/4 words, n/4 edits away
@@ -413,17 +447,18 @@ def _known_runs(parsed: tuple) -> dict[str, np.ndarray]:
 
 def _prefix(rank: np.ndarray, owner: np.ndarray, edits: np.ndarray) -> np.ndarray:
     """How many runs of each line, by rank, it takes to hold more runs without a word in common than the line's edits."""
-    new = np.ones(len(rank), bool)
-    new[1:] = owner[1:] != owner[:-1]
-    index, low, high = np.arange(len(rank), dtype=np.int32), edits + 1, RUN * edits + 1
-    rank = rank.astype(np.int32)
+    low, high = edits + 1, RUN * edits + 1
+    some = np.flatnonzero(rank < high[owner])
+    rank, owner = rank[some].astype(np.int32), owner[some].astype(np.int32)
+    index = some + owner  # runs of two lines never lie side by side
     while (low < high).any():
         middle = ((low + high) // 2).astype(np.int32)
-        held = rank < middle[owner]
-        begins = held.copy()
-        begins[1:] &= new[1:] | ~held[:-1]
-        apart = held & (((index - np.maximum.accumulate(np.where(begins, index, np.int32(0)))) & (RUN - 1)) == 0)
-        enough = np.bincount(owner[apart], minlength=len(edits)) > edits
+        held = np.flatnonzero(rank < middle[owner])
+        at = index[held]
+        begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1]) if len(at) else at
+        # of runs side by side every second lies apart
+        apart = (np.diff(begins, append=len(at)) + 1) // RUN
+        enough = np.bincount(owner[held[begins]], weights=apart, minlength=len(edits)) > edits
         low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
     return high
 
@@ -478,9 +513,9 @@ class LineFiles:
     """A worker's mapped files of long lines, by hash."""
 
     def __init__(self, folder: str, bits: int):
-        self.folder, self.bits, self.files = folder, bits, {}
+        self.folder, self.bits, self.files, self.texts = folder, bits, {}, {}
 
-    def rows(self, h: np.ndarray, *names: str, by: str = "h") -> dict[str, np.ndarray]:
+    def rows(self, h: np.ndarray, *names: str) -> dict[str, np.ndarray]:
         """The columns named of lines that the files hold."""
         out: dict[str, np.ndarray] = {}
         shards = blocks.shard_of(h, self.bits)
@@ -488,7 +523,7 @@ class LineFiles:
             if k not in self.files:
                 self.files[k] = map_shared(f"{self.folder}/{k:06d}")
             some = np.flatnonzero(shards == k)
-            at = np.searchsorted(self.files[k][by], h[some])
+            at = np.searchsorted(self.files[k]["h"], h[some])
             for name in names:
                 column = self.files[k][name]
                 if name not in out:
@@ -497,11 +532,28 @@ class LineFiles:
         return out
 
 
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of lines, where each line's begin, and their numbers."""
+        if not len(h):
+            return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
+        x = self.rows(h, "file", "at", "n")
+        size = x["n"].astype(np.int64)
+        first = np.cumsum(size) - size
+        out = np.zeros((int(size.sum()), 4), "<u2")
+        for name in np.unique(x["file"]).tolist():
+            if name not in self.texts:
+                self.texts[name] = view_shared(f"{self.folder}/{name:016x}")
+            some = np.flatnonzero(x["file"] == _U(name))
+            stored = self.texts[name].view("<u2").reshape(-1, WORD_BITS // 16)
+            out[K.ragged_positions(first[some], size[some]), : WORD_BITS // 16] = stored[K.ragged_positions(x["at"][some], size[some])]
+        return out.view("<u8").reshape(-1).astype(_U, copy=False), first, size
+
+
 class FineMarks(LineFiles):
-    """A worker's mapped files of finer marks."""
+    """Finer marks of lines, from the words in the files."""
 
     def _rows(self, h: np.ndarray) -> np.ndarray:
-        return self.rows(h, "fine", by="fine_h")["fine"] if len(h) else np.empty((0, FINE // 4), np.uint8)
+        return _fine_marks(*self.words(h))
 
     def may_be_near(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the finer marks, too, allow lines i and j to be near."""
@@ -528,18 +580,106 @@ def _in_buckets(x: dict[str, np.ndarray], files: LineFiles) -> dict[str, np.ndar
     return {k: v[order[once]] for k, v in x.items()}
 
 
-def _distinct_pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    h, by = x["h"][i], x["h"][j]
-    once = np.unique(K.mix(h) ^ by, return_index=True)[1]
-    return pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(by[once].view(np.int64))], ["h", "by"])
+def near_pairs(words: np.ndarray, first: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """:func:`near` of lines i and j, many pairs at once. words: less than 2**62 each; first, size: where a line's words begin, and how many they are."""
+    a, b = np.where(size[i] >= size[j], i, j), np.where(size[i] >= size[j], j, i)
+    most = size[a] // MIN_WORDS
+    out, open_ = np.zeros(len(i), bool), size[a] - size[b] <= most
+    # narrow bands first: most pairs that are near are so by far
+    for kind, limbs in BANDS:
+        widest = np.iinfo(kind).bits * limbs // 2 - 1
+        # the band must not be wider than a line is long
+        some = np.flatnonzero(open_ & (size[a] > widest) & (size[a] <= BAND_WORDS) & (size[a] - size[b] <= widest))
+        some = some[np.argsort(-size[b[some]], kind="stable")]
+        for at in range(0, len(some), 1 << 13):
+            part = some[at : at + (1 << 13)]
+            found = _band_distances(words, first[a[part]], size[a[part]], first[b[part]], size[b[part]], widest, kind, limbs)
+            out[part] = found <= np.minimum(most[part], widest)
+            open_[part] = (found > widest) & (most[part] > widest)
+    for k in np.flatnonzero(open_).tolist():
+        out[k] = near(words[first[a[k]] : first[a[k]] + size[a[k]]], words[first[b[k]] : first[b[k]] + size[b[k]]])
+    return out
 
 
-def near_long_lines(frame: DataFrame, buckets: DataFrame, files: tuple[str, int]) -> DataFrame:
-    """Hashes of lines that an earlier line is within the bound of, where the longer has LONG_WORDS or more."""
-    sc = frame.sparkSession.sparkContext
+def _band_distances(words: np.ndarray, first: np.ndarray, m: np.ndarray, other: np.ndarray, n: np.ndarray, most: int, kind: type, limbs: int) -> np.ndarray:
+    """Edit distances of lines of m words and shorter ones of n, the longest n first, exact up to ``most``: a column of the table's
+    band at a time, in the bits of some numbers for each pair (Hyyro)."""
+    bits = np.iinfo(kind).bits
+    width, begins = bits * limbs, np.cumsum(n) - n
+    before = width - most - 1
+    one, top, pad = kind(1), kind(bits - 1), (_U(1) << _U(62), _U(1) << _U(63))
+    equal = np.empty((limbs, int(n.sum())), kind)
+    at = 0
+    while at < len(m):
+        columns = int(n[at])
+        p = slice(at, at + max(1, (1 << 21) // (columns * width)))
+        at = p.stop
+        k = np.arange(columns + most)
+        x = np.full((len(m[p]), before + columns + most), pad[0])
+        x[:, before:] = np.where(k < m[p, None], words[np.minimum(first[p, None] + k, len(words) - 1)], pad[0])
+        k = k[:columns]
+        y = np.where(k < n[p, None], words[np.minimum(other[p, None] + k, len(words) - 1)], pad[1])
+        met = np.packbits(np.lib.stride_tricks.sliding_window_view(x, width, axis=1) == y[:, :, None], axis=2, bitorder="little").view(kind)
+        equal[:, begins[p.start] : begins[p.start] + int(n[p].sum())] = met[k < n[p, None]].T
+    ones = (1 << width) - (1 << before)
+    up = np.repeat(np.array([[ones >> bits * k & (1 << bits) - 1] for k in range(limbs)], kind), len(m), axis=1)
+    down, out, corner = np.zeros_like(up), np.full(len(m), most, kind), m - most
+    active = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), "left")  # pairs with more columns than each
+    for t, k in enumerate(active.tolist()):
+        e, u, d = equal[:, begins[:k] + t], up[:, :k], down[:, :k]
+        low = e & u
+        sums = low + u
+        for c in range(1, limbs):
+            sums[c] += _carry(low[c - 1], u[c - 1], sums[c - 1])
+        level = (sums ^ u) | e | d
+        more, less = d | ~(level | u), level & u
+        # along the band's lower edge first, then along the last row
+        past = t - corner[:k]
+        spot = (width - 2) - np.maximum(past, 0)
+        if limbs == 1:
+            spot = spot.astype(kind)
+            edge = ((more[0] >> spot) & one) - ((less[0] >> spot) & one)
+        else:
+            index, spot = (spot // bits, np.arange(k)), (spot % bits).astype(kind)
+            edge = ((more[index] >> spot) & one) - ((less[index] >> spot) & one)
+        out[:k] += np.where(past < 0, one - (level[-1] >> top), edge)
+        right = level >> one
+        if limbs > 1:
+            right[:-1] |= level[1:] << top
+        up[:, :k], down[:, :k] = less | ~(right | more), right & more
+    return out.astype(np.int64)
+
+
+def _carry(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What a sum of two numbers, and of what was carried to it, carries on."""
+    return ((a & b) | ((a | b) & ~total)) >> total.dtype.type(total.dtype.itemsize * 8 - 1)
+
+
+def _near_ones(h: np.ndarray, by: np.ndarray, files: LineFiles) -> np.ndarray:
+    """Those of ``h`` that are within the bound of one of their ``by``; of each h, pairs given more often are tried first, until one is."""
+    _, once, times = np.unique(K.mix(h) ^ by, return_index=True, return_counts=True)
+    once = once[np.lexsort((once, -times, h[once]))]
+    h, by = h[once], by[once]
+    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    rank = np.arange(len(h)) - np.flatnonzero(new)[group]
+    found = np.zeros(int(new.sum()), bool)
+    for low, high in zip((0, *TRIED), (*TRIED, len(h) + 1)):
+        some = np.flatnonzero((rank >= low) & (rank < high) & ~found[group])
+        for at in range(0, len(some), 1 << 14):
+            part = some[at : at + (1 << 14)]
+            lines, back = np.unique(np.concatenate([h[part], by[part]]), return_inverse=True)
+            held = near_pairs(*files.words(lines), back[: len(part)], back[len(part) :])
+            found[group[part[held]]] = True
+    return h[new][found]
+
+
+def near_long_lines(buckets: DataFrame, files: tuple[str, int], near_bits: int, bits: int) -> DataFrame:
+    """Blocks for :func:`_write_gone` of the lines that an earlier line is within the bound of, where the longer has LONG_WORDS or more."""
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of the first kind as a shard -1; lines of large buckets, the earliest first, as a shard 0."""
+        """Pairs of a line and an earlier one of its small bucket, or the earliest one of its large bucket, that marks allow, as
+        shards below 0; lines of large buckets, the earliest first, as a shard 0."""
         known = LineFiles(*files)
         for batch in batches:
             for part in (p for parts in blocks.gathered([batch]).values() for p in parts):
@@ -554,158 +694,97 @@ def near_long_lines(frame: DataFrame, buckets: DataFrame, files: tuple[str, int]
                     fits = _may_be_near(x, i, j)
                     out.append(np.stack([i[fits], j[fits]]))
                 i, j = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-                pairs = _distinct_pairs(x, i, j)
-                if len(pairs):
-                    yield blocks.dealt(np.full(len(pairs), -1), {c: pairs.column(c).to_numpy().view(_U) for c in ("h", "by")})
+                h, by = x["h"][i], x["h"][j]
+                once = np.unique(K.mix(h) ^ by, return_index=True)[1]
+                once = once[np.argsort(h[once])]
+                yield blocks.dealt(blocks.shard_of(h[once], bits) - (1 << bits), {"h": h[once], "by": by[once]})
                 large = members > FEW
                 if large.any():
                     yield blocks.dealt(np.zeros(int(large.sum()), np.int64), {k: x[k][large] for k in ("key", "h")})
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for parts in blocks.gathered([batch]).values():
-                x = blocks.joined(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(x[c].view(np.int64)) for c in ("h", "by")], ["h", "by"])
-
     rows = written(buckets.mapInArrow(tried, blocks.SCHEMA), "runs")
-    first = _verified_long(frame, files, written(rows.filter("shard < 0").mapInArrow(unpacked, "h long, by long").distinct(), "pairs"))
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for parts in blocks.gathered([batch]).values():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(blocks.joined(parts)["h"]).view(np.int64))], ["h"])
-
-    def earlier(open_, low: int, high: int | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Open lines of large buckets with the earlier lines there that marks allow, from the low-th on, up to the high-th;
-            lines that may have more of them with none."""
-            finer = FineMarks(*files)
-            for batch in batches:
-                for x in (p for parts in blocks.gathered([batch]).values() for p in parts):
-                    start, _ = _members(x["key"])
-                    place = np.arange(len(start)) - start
-                    at = np.flatnonzero(place > 1)
-                    at = at[bloom.may_hold(open_.value, x["h"][at])]
-                    if not len(at):
-                        continue
-                    lines, back = np.unique(x["h"], return_inverse=True)
-                    x = x | {k: v[back] for k, v in finer.rows(lines, "n", "marks").items()}
-                    allowed = np.zeros(len(start), np.int64)
-                    for begin, end in zip(TURNS, (*TURNS[1:], None)):
-                        at = at[place[at] > begin]
-                        if high is not None:
-                            at = at[allowed[at] < high]
-                        others = (place[at] if end is None else np.minimum(place[at], end)) - begin
-                        for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
-                            i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + begin, others[a:b])
-                            fits = np.flatnonzero(_may_be_near(x, i, j))
-                            i, j = i[fits], j[fits]
-                            _, once, same = np.unique(K.mix(x["h"][i]) ^ x["h"][j], return_index=True, return_inverse=True)
-                            fits = finer.may_be_near(x, i[once], j[once])[same]
-                            i, j = i[fits], j[fits]
-                            first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
-                            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0)) + allowed[i] if len(i) else i
-                            allowed += np.bincount(i, minlength=len(allowed))
-                            fits = np.flatnonzero((rank >= low) & (rank < (high or len(start))))
-                            yield _distinct_pairs(x, i[fits], j[fits])
-                    if high is not None:
-                        more = np.unique(x["h"][allowed >= high]).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(more), pa.nulls(len(more), pa.int64())], ["h", "by"])
-
-        return run
-
-    large = rows.filter("shard >= 0")
-    several = written(large.mapInArrow(members, "h long").distinct(), "members")
-    found = first
-    for low, high in zip((0, *ALLOWED), (*ALLOWED, None)):
-        still = written(several.join(found, "h", "left_anti"), "open")
-        open_ = sc.broadcast(bloom.build(still, "h"))
-        tries = written(large.mapInArrow(earlier(open_, low, high), "h long, by long").distinct(), "tries")
-        dropped(still, several)
-        several = written(tries.filter("by IS NULL").select("h"), "more")
-        pairs = written(tries.filter("by IS NOT NULL"), "pairs")
-        dropped(tries)
-        if not pairs.isEmpty():
-            found = found.union(_verified_long(frame, files, pairs))
-        if several.isEmpty():
-            break
-    dropped(rows, several)
-    return found
-
-
-def _verified_long(frame: DataFrame, files: tuple[str, int], pairs: DataFrame) -> DataFrame:
-    """:func:`_verified` of long lines of the frame, whose words are fetched for the pairs."""
-    words = written(_long_words(frame, files, pairs.select("h").union(pairs.select("by")).distinct()), "long-lines")
-    out = written(_verified(pairs, words), "near")
-    dropped(words, pairs)
-    return out
-
 
-def _long_words(frame: DataFrame, files: tuple[str, int], wanted: DataFrame) -> DataFrame:
-    """h and words of the lines of the frame with the hashes wanted, once each; some others too. Only documents where one of
-    these lines is first are taken to words."""
-
-    def first_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = LineFiles(*files)
-        for batch in batches:
-            if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.rows(batch.column(0).to_numpy().view(_U), "doc")["doc"])], ["h", "doc"])
-
-    sc, wanted = frame.sparkSession.sparkContext, written(wanted.mapInArrow(first_docs, "h long, doc long"), "wanted")
-    n = wanted.count()
-    filter_words, filter_docs = sc.broadcast(bloom.build(wanted, "h", n)), sc.broadcast(bloom.build_from(wanted.select("doc"), _mixed, n))
-    dropped(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = filter_words.value
-        for batch in batches:
-            batch = batch.filter(pa.array(bloom.may_hold(filter_docs.value, K.mix(batch.column(0).to_numpy().view(_U)))))
-            buf, offsets = K.buffers(batch.column(1))
-            for a, b in K.slices(offsets, SLICE):
-                _, _, _, first, last, seq, h, _ = line_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                long = np.flatnonzero(last - first >= LONG_WORDS - LONG_WORDS // MIN_WORDS)
-                pick = long[np.unique(h[long], return_index=True)[1]]
-                pick = pick[bloom.may_hold(held, h[pick])] if len(pick) else pick
-                words = np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), K.binary_array(words.view(np.uint8), first[pick] * 8, (last[pick] - first[pick]) * 8)], ["h", "words"])
-
-    return frame.mapInArrow(run, "h long, words binary").groupBy("h").agg(F.first("words").alias("words"))
+        for parts in blocks.gathered(batches).values():
+            x = blocks.joined(parts)
+            yield _near_block(_near_ones(x["h"], x["by"], known), near_bits)
+
+    pairs = rows.filter("shard < 0").repartitionById(1 << bits, F.col("shard") + (1 << bits))
+    near = written(pairs.mapInArrow(verified, blocks.SCHEMA), "near-early")
+    spark = buckets.sparkSession
+    folder = shared_dir(spark, "near-first")
+    first = folder, near_bits, _write_gone(near, folder, near_bits)
+
+    def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Open lines of large buckets that are near to a later one than the earliest there."""
+        finer, gone = FineMarks(*files), Gone(*first)
+        for x in _gathered_rows(batches):
+            start, _ = _members(x["key"])
+            place = np.arange(len(start)) - start
+            at = np.flatnonzero(place > 1)
+            at = at[~gone.goes(x["h"][at], np.zeros(len(at), np.int64))]
+            if not len(at):
+                continue
+            lines, back = np.unique(x["h"], return_inverse=True)
+            x = x | {k: v[back] for k, v in finer.rows(lines, "n", "marks").items()}
+            for begin, end in zip(TURNS, (*TURNS[1:], None)):
+                at = at[place[at] > begin]
+                others = (place[at] if end is None else np.minimum(place[at], end)) - begin
+                near = [np.empty(0, _U)]
+                for a, b in K.slices(np.concatenate([[0], np.cumsum(others)])):
+                    i, j = np.repeat(at[a:b], others[a:b]), K.ragged_positions(start[at[a:b]] + begin, others[a:b])
+                    fits = np.flatnonzero(_may_be_near(x, i, j))
+                    i, j = i[fits], j[fits]
+                    once = np.sort(np.unique(K.mix(x["h"][i]) ^ x["h"][j], return_index=True)[1])
+                    i, j = i[once], j[once]
+                    fits = finer.may_be_near(x, i, j)
+                    near.append(_near_ones(x["h"][i[fits]], x["h"][j[fits]], finer))
+                found = np.unique(np.concatenate(near))
+                yield _near_block(found, near_bits)
+                at = at[~np.isin(x["h"][at], found)]
+
+    out = written(near.union(rows.filter("shard = 0").mapInArrow(earlier, blocks.SCHEMA)), "near-long")
+    removed(spark, folder)
+    dropped(rows, near)
+    return out
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Document keys, spread, as keys of a filter."""
+def _gathered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of several blocks at once, BUCKET_ROWS or more but for the last."""
+    held, size = [], 0
     for batch in batches:
-        yield {"key": K.mix(batch.column(0).to_numpy().view(_U))}
+        for x in (p for parts in blocks.gathered([batch]).values() for p in parts):
+            held.append(x)
+            size += len(x["key"])
+            if size >= BUCKET_ROWS:
+                yield blocks.joined(held)
+                held, size = [], 0
+    if held:
+        yield blocks.joined(held)
 
 
-def _write_gone(seen: DataFrame, near: DataFrame | None, folder: str, bits: int) -> set[int]:
-    """Writes the hashes of lines that go to files: with the first document that has the line, whose own one stays, or as near
-    ones, that go everywhere; gives the files there are."""
+def _near_block(h: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Near lines for :func:`_write_gone`."""
+    h = np.unique(h)
+    return blocks.dealt(blocks.shard_of(h, bits), {"h": h, "low": np.zeros(len(h), np.int64), "near": np.ones(len(h), np.uint8)})
 
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for parts in blocks.gathered([batch]).values():
-                for x in parts:
-                    yield blocks.dealt(blocks.shard_of(x["h"], bits), x | {"near": np.zeros(len(x["h"]), np.uint8)})
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.unique(batch.column(0).to_numpy().view(_U))
-            yield blocks.dealt(blocks.shard_of(h, bits), {"h": h, "low": np.zeros(len(h), np.int64), "near": np.ones(len(h), np.uint8)})
+def _write_gone(rows: DataFrame, folder: str, bits: int) -> set[int]:
+    """Writes the hashes of lines that go to files, from blocks by these files: with the first document that has the line, whose
+    own one stays, or as near ones, that go everywhere; gives the files there are."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in blocks.gathered(batches).items():
             x = blocks.joined(parts)
-            order = np.lexsort((1 - x["near"], x["h"]))
+            order = np.argsort(x["h"], kind="stable")
             h = x["h"][order]
-            order = order[np.r_[True, h[1:] != h[:-1]]]
-            write_shared(f"{folder}/{shard:06d}", pack_arrays({k: v[order] for k, v in x.items()}))
-            yield pa.RecordBatch.from_arrays([pa.array([shard])], ["shard"])
-
-    rows = seen.mapInArrow(cuts, blocks.SCHEMA)
-    if near is not None:
-        rows = rows.union(near.mapInArrow(packed, blocks.SCHEMA))
-    with released(seen.sparkSession):
+            order = order[np.r_[True, h[1:] != h[:-1]]] if len(h) else order
+            if len(order):
+                write_shared(f"{folder}/{shard:06d}", pack_arrays({k: v[order] for k, v in x.items()}))
+                yield pa.RecordBatch.from_arrays([pa.array([shard])], ["shard"])
+
+    with released(rows.sparkSession):
         return {r["shard"] for r in rows.repartitionById(1 << bits, F.col("shard")).mapInArrow(write, "shard long").collect()}
 
 
@@ -729,32 +808,59 @@ class Gone(LineFiles):
         return out
 
 
-def _near(frame: DataFrame, met: DataFrame, bits: int, n: int) -> DataFrame:
-    """Hashes of the lines that an earlier line is within the bound of. n: the number of different lines."""
-    spark = frame.sparkSession
-    halves, buckets = (met.filter(F.shiftright("shard", bits) == kind) for kind in (HALVES, RUNS))
+def _near(frame: DataFrame, met: DataFrame, bits: int, n: int, cuts: tuple[str, int, set[int]]) -> DataFrame:
+    """Blocks for :func:`_write_gone` of the lines that an earlier line is within the bound of. n: the number of different lines; cuts: files of the lines that several documents have."""
+    spark, near_bits = frame.sparkSession, cuts[1]
+    halves, buckets = (met.filter(F.shiftright("shard", bits) == kind).select("shard", "block", "n") for kind in (HALVES, RUNS))
     some = halves.agg(F.sum("n")).first()[0] or 0
-    short, large = (spark.sparkContext.broadcast(bloom.build_from(rows.select("shard", "block"), read, k)) for rows, read, k in ((halves, _hashes, some), (buckets, _large_hashes, n)))
+    short = spark.sparkContext.broadcast(bloom.build_from(halves.select("shard", "block"), _hashes, some))
     files = shared_dir(spark, "long-lines"), min((n // FINE_LINES).bit_length(), 14)
-    lines = written(_write_lines(frame, short, large, *files), "short-lines")
-    found = near_lines(written(_short_lines(lines), "lines"))
-    out = written(found.union(near_long_lines(frame, buckets.select("shard", "block"), files)).distinct(), "near-lines")
+    lines = written(_write_lines(frame, short, cuts, *files), "short-lines")
+    short_lines = written(_short_lines(lines), "lines")
+    dropped(lines)
+    found = near_lines(short_lines)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _near_block(batch.column(0).to_numpy().view(_U), near_bits)
+
+    out = written(found.mapInArrow(packed, blocks.SCHEMA), "near-short").union(near_long_lines(buckets.select("shard", "block"), files, near_bits, bits))
     removed(spark, files[0])
+    dropped(short_lines)
     return out
 
 
+def _cuts(seen: DataFrame, bits: int) -> DataFrame:
+    """Blocks for :func:`_write_gone` of the lines that several documents have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parts in blocks.gathered([batch]).values():
+                for x in parts:
+                    yield blocks.dealt(blocks.shard_of(x["h"], bits), x | {"near": np.zeros(len(x["h"]), np.uint8)})
+
+    return seen.mapInArrow(run, blocks.SCHEMA)
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = True) -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and n_lines and n_removed after the other columns."""
     docs = docs.drop("n_lines", "n_removed")
     frame = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
     bits = max(0, (count_slices(spark) - 1).bit_length())
-    met = written(_met(_keys(frame, bits, near), bits), "met")
+    common = spark.sparkContext.broadcast(_common_runs(frame, bits)) if near else None
+    met = written(_met(_keys(frame, bits, common), bits), "met")
     seen = met.filter(F.shiftright("shard", bits) == LINES)
     n = seen.agg(F.sum("n")).first()[0] or 0
-    found = _near(frame, met, bits, n) if near else None
-    folder, file_bits = shared_dir(spark, "gone"), min((n // GONE_LINES).bit_length(), 14)
-    there = _write_gone(seen.select("shard", "block"), found, folder, file_bits)
+    file_bits = min((n // GONE_LINES).bit_length(), 14)
+
+    def files_of(rows: DataFrame, name: str) -> tuple[str, int, set[int]]:
+        folder = shared_dir(spark, name)
+        return folder, file_bits, _write_gone(rows, folder, file_bits)
+
+    files = [files_of(_cuts(seen.select("shard", "block"), file_bits), "gone")]
+    if near:
+        files.append(files_of(_near(frame, met, bits, n, files[0]), "near"))
     dropped(met)
     names = docs.columns
     joined = docs.select(*names, F.col(key).cast("long").alias("__doc"))
@@ -762,7 +868,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
     k, t = names.index(key), names.index(text)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gone = Gone(folder, file_bits, there)
+        gone = [Gone(*x) for x in files]
         for batch in batches:
             buf, offsets = K.buffers(batch.column(t))
             for a, b in K.slices(offsets, SLICE):
@@ -772,7 +878,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
                 row = np.repeat(np.arange(b - a), np.diff(at))
                 keep = np.zeros(len(h), bool)
                 keep[np.unique(h ^ K.mix(row.astype(_U) + _U(1)), return_index=True)[1]] = True
-                keep &= ~gone.goes(h, pc.fill_null(part.column(len(names)), 0).to_numpy(zero_copy_only=False)[row])
+                of = pc.fill_null(part.column(len(names)), 0).to_numpy(zero_copy_only=False)[row]
+                for x in gone:
+                    keep &= ~x.goes(h, of)
                 keep |= h == 0
                 keep |= ~part.column(k).is_valid().to_numpy(zero_copy_only=False)[row]
                 # a kept line brings its newline unless it is the last of its row that is kept
