@@ -85,11 +85,22 @@ def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, at
 
 
+def _word_spans(space: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words between white space, which rows set apart, too."""
+    edge = np.ones(len(space) + 1, bool)
+    edge[1:-1] = space[1:] != space[:-1]
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    word = ~space[at[:-1]]
+    return at[:-1][word], at[1:][word]
+
+
 class Sequences:
     """Hashes of any runs of a sequence of words, from one running polynomial."""
 
     def __init__(self, words: np.ndarray):
-        K.span_hashes(np.zeros(len(words) + 1, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))  # extends the powers
+        if len(K._powers[0]) <= len(words):
+            K.span_hashes(np.zeros(len(words) + 1, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))  # extends the powers
         self.power, self.inverse = K._powers
         self.run = np.zeros(len(words) + 1, _U)
         np.cumsum(words * self.power[: len(words)], out=self.run[1:])
@@ -105,8 +116,10 @@ class Sequences:
 def line_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Sequences, np.ndarray, np.ndarray]:
     """Lines' starts, ends, row bounds, first and last word, the sequences of the words, the lines' hashes (0: no word) and the words' lengths."""
     starts, ends, at = line_spans(buf, offsets)
-    spans, stops, _ = K.word_spans(buf, offsets)
-    words = K.span_hashes(K.LOWER[buf], spans, stops)
+    # A-Z to a-z; white space is a space and tab to carriage return
+    small = buf | ((buf - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+    spans, stops = _word_spans((buf == 32) | (buf - np.uint8(9) < 5), offsets)
+    words = K.span_hashes(small, spans, stops)
     first, last = np.searchsorted(spans, starts), np.searchsorted(spans, ends)
     seq = Sequences(words)
     h = np.where(last > first, seq(first, last), _U(0))
@@ -311,8 +324,8 @@ def _write_lines(frame: DataFrame, short, cuts: tuple[str, int, set[int]], folde
                     row = np.repeat(np.arange(b - a), np.diff(at))
                     real = np.flatnonzero(last - first >= MIN_WORDS - 1)
                     real = real[~gone.goes(h[real], docs[a + row[real]])]
-                    real = real[np.lexsort((real, docs[a + row[real]], h[real]))]
-                    pick = real[np.r_[True, h[real][1:] != h[real][:-1]]] if len(real) else real
+                    # what is left of a line lies in one document
+                    pick = real[np.unique(h[real], return_index=True)[1]]
                     size, words = last - first, np.diff(seq.run) * seq.inverse[: len(seq.run) - 1]
                     x = {"words": words, "first": first, "size": size}
                     place = {"h": h[pick], "doc": docs[a + row[pick]], "line": (pick - at[row[pick]]).astype(np.int32), "n": np.minimum(size[pick], 1 << 30).astype(np.int32)}
@@ -434,14 +447,16 @@ def _known_runs(parsed: tuple, common: np.ndarray | None = None) -> dict[str, np
     if common is not None:
         late |= bloom.may_hold(common, runs).astype(_U) << _U(6)
     if len(pick) < 1 << 19:
-        order = np.argsort((owner.astype(_U) << _U(45)) | (late << _U(38)) | (runs >> _U(26)), kind="stable")
+        order = np.argsort((owner.astype(_U) << _U(45)) | (late << _U(38)) | (runs >> _U(26)))
     else:
         order = np.lexsort((runs >> _U(26), late, owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(size - RUN + 1) - (size - RUN + 1), size - RUN + 1)
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(size - RUN + 1) - (size - RUN + 1), size - RUN + 1)
+    rank[order] = place
     # a line of n words has near ones of up to 5n/4 words, n/4 edits away
-    known = np.flatnonzero(rank < _prefix(rank, owner, size // (MIN_WORDS - 1))[owner]) if len(order) else order
-    known = known[np.unique(runs[known] ^ K.mix(owner[known].astype(_U) + _U(1)), return_index=True)[1]]
+    known = order[place < _prefix(rank, owner, size // (MIN_WORDS - 1))[owner]] if len(order) else order
+    key, of = runs[known], owner[known]
+    known = known[np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]] if len(known) else known
     return {"h": h[pick], "owner": owner[known], "key": runs[known]}
 
 
@@ -574,10 +589,14 @@ class FineMarks(LineFiles):
 def _in_buckets(x: dict[str, np.ndarray], files: LineFiles) -> dict[str, np.ndarray]:
     """Rows of buckets with size and marks, each line once in a bucket, the earliest first."""
     lines, back = np.unique(x["h"], return_inverse=True)
-    x = x | {k: v[back] for k, v in files.rows(lines, "doc", "line", "n", "marks").items()}
-    order = np.lexsort((x["line"], x["doc"], x["key"]))
-    once = np.sort(np.unique(K.mix(x["key"][order]) ^ x["h"][order], return_index=True)[1])
-    return {k: v[order[once]] for k, v in x.items()}
+    found = files.rows(lines, "doc", "line", "n", "marks")
+    rank = np.empty(len(lines), np.int64)
+    rank[np.lexsort((found["line"], found["doc"]))] = np.arange(len(lines))
+    at = np.cumsum(np.r_[False, x["key"][1:] != x["key"][:-1]]) << 32 | rank[back]
+    order = np.argsort(at)
+    at = at[order]
+    pick = order[np.r_[True, at[1:] != at[:-1]]]
+    return {k: v[pick] for k, v in x.items()} | {k: found[k][back[pick]] for k in ("n", "marks")}
 
 
 def near_pairs(words: np.ndarray, first: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -593,6 +612,8 @@ def near_pairs(words: np.ndarray, first: np.ndarray, size: np.ndarray, i: np.nda
         some = some[np.argsort(-size[b[some]], kind="stable")]
         for at in range(0, len(some), 1 << 13):
             part = some[at : at + (1 << 13)]
+            if len(part) < FEW * (limbs - 1):
+                continue  # not worth a band's steps
             found = _band_distances(words, first[a[part]], size[a[part]], first[b[part]], size[b[part]], widest, kind, limbs)
             out[part] = found <= np.minimum(most[part], widest)
             open_[part] = (found > widest) & (most[part] > widest)
@@ -887,12 +908,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
                 index = np.flatnonzero(keep)
                 last = np.ones(len(index), bool)
                 last[:-1] = row[index[1:]] != row[index[:-1]]
-                sizes = ends[index] - starts[index]
-                full = sizes + ~last
-                out_at = np.cumsum(full) - full
-                out = np.full(int(full.sum()), 10, np.uint8)
-                out[K.ragged_positions(out_at, sizes)] = body[K.ragged_positions(starts[index], sizes)]
-                per = np.bincount(row[index], weights=full, minlength=b - a).astype(np.int64)
+                extent = np.diff(starts, append=len(body))
+                held = np.repeat(keep, extent)
+                cut = index[last & (ends[index] < starts[index] + extent[index])]
+                held[ends[cut]] = False
+                out = body if keep.all() else body[held]
+                per = np.bincount(row[index], weights=np.where(last, ends[index] - starts[index], extent[index]), minlength=b - a).astype(np.int64)
                 texts = pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.py_buffer(out)])
                 old = part.column(t)
                 if old.null_count:
