@@ -16,17 +16,17 @@ their first or their last half words. Lines that share such a half, like the var
 told to the tasks by a Bloom filter of fixed size, whose false answers cost time only.
 
 Where the longer has ten words or more, near lines are found by the pairs of neighbouring words that they share. Each
-line is known by its first pairs in one order for all lines, long words first: by so many that more of them lie apart
-than there may be edits. Then no near line can lack all of them, and of two near lines the one whose first pairs end
-earlier in the order shares one with the first pairs of the other. Pairs that two lines have are found by their hashes
-alone, which with the lines' hashes make the buckets; places, numbers of words and marks of these lines, counts of their words
-by a few bits of their hashes, which bound the edits from below, lie in files, once for each line.
+line is known by its first pairs in one order for all lines: by so many that more of them lie apart than there may be
+edits. Then no near line can lack all of them, and of two near lines the one whose first pairs end earlier in the order
+shares one with the first pairs of the other. Any order will do; long words come first, and last the pairs that several
+lines of a part of the documents are known by, so that a passage that many unlike lines have doesn't bring these together.
+Pairs that two lines have are found by their hashes alone, which with the lines' hashes make the buckets; places, numbers
+of words and marks of these lines, counts of their words by a few bits of their hashes, which bound the edits from below,
+lie in files, once for each line, and so do their words.
 Lines of a small bucket are tried by marks against every earlier one in it, those of a large one first against its earliest
-line only; what passes is verified on the words. Lines of large buckets that stay open after that are tried against the next
-eight, the next 56 and every earlier line there, until marks allow eight; these are verified, and lines that stay open and had
-eight seek on, up to 64 and then to the end, so that a group of near lines costs little more than its size. What passes the marks in these turns is also held against finer
-marks, which lie in files, too, for the lines of large buckets: lines that share a group's words, but not enough of them to
-be near, are told apart by these before a pair is made.
+line only; what passes is dealt by line and verified on the words, many pairs at once. Lines of large buckets that stay open
+after that are tried in their buckets against the next eight, the next 56 and every earlier line there, by marks, by finer
+marks and on the words, until one is near.
 
 Texts are read where they lie and never shuffled: what goes is told by files, too, hashes of lines with the first document
 that has them, or of near ones, and each task looks up the lines of its own texts.
