@@ -57,14 +57,14 @@ MIN_WORDS = 5
 #: Marks by which pairs of lines are passed over, a power of two, and the count at which they end; the longer of two lines from which on shared runs of RUN words (two: _prefix counts on it) find them, below it variants; lines of a small bucket.
 MARKS, FULL, LONG_WORDS, RUN, FEW = 64, 15, 2 * MIN_WORDS, 2, 16
 #: Finer marks of lines in large buckets, a power of two, and the count at which they end; lines of a file of them.
-FINE, FINE_FULL, FINE_LINES = 512, 3, 1 << 16
+FINE, FINE_FULL, FINE_LINES = 512, 3, 1 << 18
 #: Places in a large bucket from which on, turn by turn, earlier lines are tried by marks; and at which of those that marks allow a line's words are compared anew if it is still open.
 TURNS, TRIED = (1, 9, 65), (1, 8, 64)
 #: One document in LOOKED tells the common runs, which COMMON of its lines are known by; bits of a word's hash in files, where words of lines are compared.
 LOOKED, COMMON, WORD_BITS = 16, 3, 48
-#: Kinds of keys that are dealt; bytes of text, keys and rows of buckets handled at once, a larger bucket alone; different lines for each file of lines that go.
+#: Kinds of keys that are dealt; bytes of text, keys and rows of buckets handled at once, a larger bucket alone; different lines for each file of lines that go; places of lines dealt at once.
 LINES, HALVES, RUNS = 0, 1, 2
-SLICE, SENT, BUCKET_ROWS, GONE_LINES = 1 << 19, 1 << 19, 1 << 17, 1 << 18
+SLICE, SENT, BUCKET_ROWS, GONE_LINES, HELD_LINES = 1 << 19, 1 << 19, 1 << 17, 1 << 18, 1 << 17
 #: Bands in which distances are sought, by kind and number of the numbers that hold a column; longer lines are compared one by one.
 BANDS, BAND_WORDS = ((np.uint16, 1), (np.uint32, 1), (np.uint64, 1), (np.uint64, 2), (np.uint64, 4)), 600
 _U = np.uint64
@@ -315,6 +315,16 @@ def _write_lines(frame: DataFrame, short, cuts: tuple[str, int, set[int]], folde
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone, name, end = Gone(*cuts), uuid.uuid4().int >> 64, 0
+        held: list[list[dict[str, np.ndarray]]] = [[], []]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in enumerate(held):
+                if parts:
+                    columns = blocks.joined(parts)
+                    order = np.argsort(columns["h"])
+                    yield blocks.dealt((kind << bits) + blocks.shard_of(columns["h"][order], bits), {k: v[order] for k, v in columns.items()})
+                    parts.clear()
+
         with open_shared(f"{folder}/{name:016x}") as out:
             for batch in batches:
                 buf, offsets = K.buffers(batch.column(1))
@@ -334,14 +344,17 @@ def _write_lines(frame: DataFrame, short, cuts: tuple[str, int, set[int]], folde
                     starts = end + np.cumsum(size[long]) - size[long]
                     end += int(size[long].sum())
                     out.write(_packed_words(words[K.ragged_positions(first[long], size[long])]))
-                    yield blocks.dealt(blocks.shard_of(h[long], bits), {k: v[some] for k, v in place.items()} | {"marks": _marks(x, long), "file": np.full(len(long), name, _U), "at": starts})
+                    held[0].append({k: v[some] for k, v in place.items()} | {"marks": _marks(x, long), "file": np.full(len(long), name, _U), "at": starts})
                     some = np.flatnonzero(size[pick] < LONG_WORDS)
                     some = some[bloom.may_hold(short.value, h[pick[some]])]
                     padded = np.zeros((len(some), LONG_WORDS), _U)
                     for k in range(LONG_WORDS - 1):
                         has = size[pick[some]] > k
                         padded[has, k] = words[first[pick[some[has]]] + k]
-                    yield blocks.dealt((1 << bits) + blocks.shard_of(h[pick[some]], bits), {k: v[some] for k, v in place.items()} | {"words": padded})
+                    held[1].append({k: v[some] for k, v in place.items()} | {"words": padded})
+                    if sum(len(part["h"]) for part in held[0]) + sum(len(part["h"]) for part in held[1]) >= HELD_LINES:
+                        yield from flush()
+            yield from flush()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in sorted(blocks.gathered(batches).items()):
